@@ -18,7 +18,7 @@ def collect_series(
 
     The panel holds one row per entity and period, so a list is at most the calendar long.
     """
-    steps = F.array_sort(F.collect_list(F.struct(date, *columns)))
+    steps = F.array_sort(F.collect_list(F.struct(date, *[c for c in columns if c != date])))
     grouped = panel.groupBy(entity).agg(
         steps.alias("_s"), F.min(date).alias("series_start"), *[F.min_by(c, date).alias(c) for c in static]
     )

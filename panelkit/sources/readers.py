@@ -61,9 +61,12 @@ def read_complete(spark: SparkSession, path: str, ignored: Sequence[str] = ()) -
 
 
 def variables_in(spark: SparkSession, directory: str) -> DataFrame:
-    """Name and path of every ``{variable}_{date}_{date}.parquet`` dataset, from the scan's metadata."""
-    files = spark.read.option("recursiveFileLookup", True).parquet(directory)
-    path = F.col("_metadata.file_path")
+    """Name and path of every ``{variable}_{date}_{date}.parquet`` dataset.
+
+    Only the file listing is read, one row per file.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(directory)
+    path = F.col("path")
     named = files.select(variable_from_path(path).alias("variable"), F.regexp_extract(path, r"^(.*?\.parquet)", 1).alias("path"))
     return named.filter(F.col("variable") != "").distinct()
 
