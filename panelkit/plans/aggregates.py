@@ -6,13 +6,17 @@ from functools import reduce
 
 from pyspark.sql import Window as W, functions as F
 
+from ..functions.numeric import guarded_corr
 from ..operators import association, metrics, periods, zonal
 from ..operators.forecast import seasonal_naive
+from ..operators.lags import add_lags
+from ..operators.ranking import dense_code
 from ..operators.series import collect_series
 from ..operators.splits import zero_entities
 from ..operators.targets import expectations, risk_bands
 from .joining import _LAGGED, lagged_series
 from .registry import query
+from .standins import TRAIN_END
 
 
 @query(
@@ -133,8 +137,6 @@ def _(t):
     uses="dense entities",
 )
 def _(t):
-    from ..operators.ranking import dense_code
-
     prefix = t.dense.filter(F.col("start_date") <= F.lit("2000-01-01").cast("date"))
     rows = prefix.withColumn("month", F.month("start_date")).join(t.entities.select("entity", "nation"), "entity")
     lists = collect_series(rows, ["count", "month"], static=["nation"])
@@ -259,10 +261,6 @@ def _(t):
     uses="dense",
 )
 def _(t):
-    from ..functions.numeric import guarded_corr
-    from ..operators.lags import add_lags
-    from .standins import TRAIN_END
-
     lagged = add_lags(t.dense, {"count": [1]}).filter(F.col("1_shifted_count").isNotNull())
     early = lagged.filter(F.col("start_date") < F.lit(TRAIN_END).cast("date"))
     low, high = t.dense.agg(F.min("entity")).scalar(), t.dense.agg(F.max("entity")).scalar()
@@ -408,8 +406,6 @@ _RUNS = """r AS (SELECT entity, sqrt(avg(pow(CAST(count AS DOUBLE) - l1, 2))) AS
 
 
 def _two_runs(t):
-    from ..operators.lags import add_lags
-
     rows = add_lags(t.dense, {"count": [1, 12]}).filter(F.col("12_shifted_count").isNotNull())
     seasonal = metrics.regression_scores(rows, ["entity"], "count", "12_shifted_count")
     return metrics.compare_runs(seasonal, metrics.regression_scores(rows, ["entity"], "count", "1_shifted_count"), ["entity"])
@@ -473,12 +469,13 @@ def _(t):
 
 @query(
     "agg_29_zonal_mean", "AGG-29",
-    "SELECT region, CAST(date_trunc('month', date) AS DATE) AS period, round(sum(weight * value) / sum(weight), 4) AS mean FROM pixels GROUP BY 1, 2",
+    "SELECT region, CAST(date_trunc('month', date) AS DATE) AS period, sum(weight * round(value * 100)) / sum(weight) AS mean FROM pixels GROUP BY 1, 2",
     uses="pixels",
 )
 def _(t):
-    dated = t.pixels.withColumn("period", periods.period_start(F.col("date"), "month"))
-    return zonal.zonal_mean(dated, ["region", "period"], "value", "weight").withColumn("mean", F.round("mean", 4))
+    # whole cents keep the sums exact in both engines
+    cents = t.pixels.withColumns({"period": periods.period_start(F.col("date"), "month"), "value": F.round(F.col("value") * 100)})
+    return zonal.zonal_mean(cents, ["region", "period"], "value", "weight")
 
 
 @query(

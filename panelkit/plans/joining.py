@@ -92,7 +92,7 @@ def _(t):
 
 @query(
     "jon_7_semi_join", "JON-7",
-    f"""SELECT entity, event_date, kind, value FROM daily WHERE entity IN
+    """SELECT entity, event_date, kind, value FROM daily WHERE entity IN
         (SELECT entity FROM daily WHERE kind = 'error' AND event_date < DATE '2024-01-05')""",
     uses="daily",
 )
@@ -127,7 +127,7 @@ def _(t):
 
 @query(
     "jon_10_apply_expectations", "JON-10 TGT-6",
-    f"""WITH x AS (SELECT entity, month(start_date) AS month, CAST(sum(count) AS DOUBLE) / count(count) AS expected FROM counts
+    """WITH x AS (SELECT entity, month(start_date) AS month, CAST(sum(count) AS DOUBLE) / count(count) AS expected FROM counts
           WHERE start_date < DATE '1996-06-01' GROUP BY 1, 2)
         SELECT c.entity, c.start_date, c.count, x.expected FROM counts c JOIN x ON x.entity = c.entity
           AND x.month = month(c.start_date) WHERE c.start_date >= DATE '1996-06-01'""",
@@ -211,7 +211,7 @@ def _(t):
 
 _KNN = """v AS (SELECT vec_id AS id, embedding FROM embeddings),
     p AS (SELECT a.id AS i, b.id AS j, sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding),
-        z -> pow(CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE), 2)))) AS distance FROM v a CROSS JOIN v b),
+        lambda z: pow(CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE), 2)))) AS distance FROM v a CROSS JOIN v b),
     near AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY distance, j) AS rank FROM p QUALIFY rank <= 15)"""
 
 
