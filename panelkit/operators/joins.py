@@ -10,9 +10,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .schema import drop_any_null
 
 
-def join_named(left: DataFrame, right: DataFrame, keys: Mapping[str, str], how: str = "left") -> DataFrame:
-    """Equi-join on differently named keys (left name -> right name); the left names stay."""
+def join_named(
+    left: DataFrame, right: DataFrame, keys: Mapping[str, str], how: str = "left", spread_on: Sequence[str] = ()
+) -> DataFrame:
+    """Equi-join on differently named keys (left name -> right name); the left names stay.
+
+    With ``spread_on`` hot keys of the left side are salted; the right side is then unique per key.
+    """
     renamed = right.withColumnsRenamed({r: l for l, r in keys.items()})
+    if spread_on:
+        return salted_join(left, renamed, list(keys), spread_on, how=how)
     return left.join(renamed, list(keys), how)
 
 
@@ -35,7 +42,7 @@ def join_variables(frames: Mapping[str, DataFrame], keys: Sequence[str]) -> Data
 
 
 def salted_join(
-    big: DataFrame, small: DataFrame, keys: Sequence[str], spread_on: Sequence[str], salts: int = 32, how: str = "inner"
+    big: DataFrame, small: DataFrame, keys: Sequence[str], spread_on: Sequence[str], salts: int = 8, how: str = "inner"
 ) -> DataFrame:
     """Equi-join of a fact with hot keys to a side that is unique per key.
 

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
+from .joins import salted_join
+
 
 def ordinal_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str = "rank") -> DataFrame:
     """1-based rank without ties inside groups bounded by the calendar."""
@@ -66,49 +68,62 @@ def exact_quantiles(
     quantile is the first value whose running weight reaches the share of the total.
 
     Equal values are merged first. Weights are then summed per equal-width bucket of the value
-    range to find the bucket that holds each quantile, and only the values of that bucket are
-    ordered. A group with a third of all rows is spread over its buckets.
+    range to find the bucket that holds each quantile; that bucket is split once more between its
+    own least and greatest value, and only the values of the inner bucket are ordered. A group with
+    a third of all rows, or values crowded beside far outliers, is spread over many tasks.
     """
     keys = list(keys)
+    is_weighted = weight is not None
     known = df.filter(F.col(value).isNotNull())
-    amount = F.sum(F.col(weight)) if weight else F.count("*")
+    amount = F.sum(F.col(weight)) if is_weighted else F.count("*")
     merged = known.groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(amount.alias("_w"))
     low, high = known.agg(F.min(value).cast("double")).scalar(), known.agg(F.max(value).cast("double")).scalar()
-    share = F.coalesce(F.try_divide(F.col("_v") - low, high - low), F.lit(0.0))
-    merged = merged.withColumn("_b", F.least(F.floor(share * buckets), F.lit(buckets - 1)))
+    merged = merged.withColumn("_b", _bucket(low, high, buckets))
 
-    by_bucket = merged.groupBy(*keys, "_b").agg(F.sum("_w").alias("_bw"))
-    w = W.partitionBy(*keys).orderBy("_b") if keys else W.orderBy("_b")
+    outer = merged.groupBy(*keys, "_b").agg(
+        F.sum("_w").alias("_bw"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
+    )
     whole = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    running = by_bucket.select(
-        *keys, "_b",
-        (F.sum("_bw").over(w.rowsBetween(W.unboundedPreceding, 0)) - F.col("_bw")).alias("_before"),
-        F.col("_bw"),
-        F.sum("_bw").over(whole).alias("_total"),
+    upto = F.sum("_bw").over(whole.orderBy("_b").rowsBetween(W.unboundedPreceding, 0))
+    placed = outer.withColumns({"_before": upto - F.col("_bw"), "_total": F.sum("_bw").over(whole)})
+    aims = F.flatten(F.array(*[_targets(name, p, is_weighted) for name, p in probs.items()]))
+    wanted = placed.withColumn("_t", F.explode(aims)).select("*", "_t.*").drop("_t").filter(
+        _holds(F.col("_before"), F.col("_before") + F.col("_bw"), is_weighted)
+    )
+
+    ranges = wanted.select(*keys, "_b", "_lo", "_hi").distinct()
+    near = salted_join(merged, ranges, [*keys, "_b"], ["_v"], salts=16).withColumn(
+        "_c", _bucket(F.col("_lo"), F.col("_hi"), buckets)
     )
-    targets = F.array(*[_targets(name, p, weight is not None) for name, p in probs.items()])
-    wanted = (
-        running.withColumn("_t", F.explode(F.flatten(targets)))
-        .select("*", "_t.*")
-        .filter(_holds(F.col("_before"), F.col("_before") + F.col("_bw"), weight is not None))
-        .select(*keys, "_b", "_before", "_name", "_side", "_aim", "_frac")
+    inner = near.groupBy(*keys, "_b", "_c").agg(F.sum("_w").alias("_cw"))
+    within = F.sum("_cw").over(W.partitionBy(*keys, "_b").orderBy("_c").rowsBetween(W.unboundedPreceding, 0))
+    inside = (
+        wanted.join(inner.withColumn("_in", within - F.col("_cw")), [*keys, "_b"])
+        .withColumn("_from", F.col("_before") + F.col("_in"))
+        .filter(_holds(F.col("_from"), F.col("_from") + F.col("_cw"), is_weighted))
+        .select(*keys, "_b", "_c", "_from", "_name", "_side", "_aim", "_frac")
     )
-    near = merged.join(wanted, [*keys, "_b"])
-    inner = W.partitionBy(*keys, "_b", "_name", "_side").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
-    placed = near.withColumn("_upto", F.col("_before") + F.sum("_w").over(inner))
-    hit = placed.filter(_holds(F.col("_upto") - F.col("_w"), F.col("_upto"), weight is not None))
-    lower = lambda name: F.max(F.when((F.col("_name") == name) & (F.col("_side") == 0), F.col("_v")))
-    upper = lambda name: F.max(F.when((F.col("_name") == name) & (F.col("_side") == 1), F.col("_v")))
-    part = lambda name: F.max(F.when(F.col("_name") == name, F.col("_frac")))
+    last = W.partitionBy(*keys, "_b", "_c", "_name", "_side").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
+    lined = near.join(inside, [*keys, "_b", "_c"]).withColumn("_upto", F.col("_from") + F.sum("_w").over(last))
+    hit = lined.filter(_holds(F.col("_upto") - F.col("_w"), F.col("_upto"), is_weighted))
+
+    def at(name: str, side: int, column: str = "_v") -> Column:
+        return F.max(F.when((F.col("_name") == name) & (F.col("_side") == side), F.col(column)))
+
     out = []
     for name in probs:
-        if weight:
-            out.append(lower(name).alias(name))
+        if is_weighted:
+            out.append(at(name, 0).alias(name))
         else:
-            out.append((lower(name) + (upper(name) - lower(name)) * part(name)).alias(name))
+            out.append((at(name, 0) + (at(name, 1) - at(name, 0)) * at(name, 0, "_frac")).alias(name))
     return hit.groupBy(*keys).agg(*out)
 
 
+def _bucket(low: Column, high: Column, buckets: int) -> Column:
+    share = F.coalesce(F.try_divide(F.col("_v") - low, high - low), F.lit(0.0))
+    return F.least(F.floor(share * buckets), F.lit(buckets - 1))
+
+
 def _targets(name: str, p: float, weighted: bool) -> Column:
     """Rank (or running weight) to look for, one entry per neighbouring rank."""
     if weighted:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.arrays import named_fields
@@ -114,6 +116,16 @@ def equal_breaks(df: DataFrame, metric: str, classes: int = 5) -> DataFrame:
     return df.withColumn("class", at)
 
 
+def natural_breaks(df: DataFrame, metric: str, classes: int = 5, seed: int = 42) -> DataFrame:
+    """Class number 1..classes from one-dimensional clusters, numbered from the lowest."""
+    packed = df.withColumn("_v", array_to_vector(F.array(F.col(metric).cast("double"))))
+    fit = KMeans(k=classes, seed=seed, featuresCol="_v", predictionCol="_c").fit(packed)
+    centers = [float(c[0]) for c in fit.clusterCenters()]  # one number per class
+    order = sorted(range(len(centers)), key=centers.__getitem__)
+    at = F.array_position(F.array(*[F.lit(i) for i in order]), F.col("_c")).cast("int")
+    return fit.transform(packed).withColumn("class", at).drop("_v", "_c")
+
+
 def run_reports(results: DataFrame, run: str = "run") -> DataFrame:
     """Classification report per run, rows with an error left out."""
     good = results.filter(F.col("error") == "NONE")

@@ -22,22 +22,26 @@ def temporal_holdout(df: DataFrame, train_start: str, train_end: str, test_end:
     return df.filter((day >= a) & (day < b)), df.filter((day >= b) & (day < c))
 
 
-def expanding_folds(df: DataFrame, n_splits: int = 4, date: str = "start_date", entity: str = "entity") -> DataFrame:
-    """Rows of each fold with role ``train`` or ``test``.
+def fold_blocks(df: DataFrame, n_splits: int = 4, date: str = "start_date", entity: str = "entity") -> DataFrame:
+    """Add ``block``: rows ordered by date then entity, the last ``n_splits`` blocks of n // (n_splits + 1) rows.
 
-    Rows are ordered by date then entity. Each test block holds n // (n_splits + 1) rows and the
-    training rows of a fold are all rows before its block.
+    Block 0 holds the rows before them. Fold k tests on block k and trains on all earlier blocks.
     """
     placed = global_position(df, date, [entity], "_row")
     total = df.agg(F.count("*")).scalar()
     size = F.floor(total / F.lit(n_splits + 1))
-    folds = placed.withColumns({"_size": size, "_total": total}).withColumn(
-        "fold", F.explode(F.sequence(F.lit(1), F.lit(n_splits)))
-    )
-    begin = F.col("_total") - (F.lit(n_splits + 1) - F.col("fold")) * F.col("_size")
-    index = F.col("_row") - 1
-    role = F.when(index < begin, F.lit("train")).when(index < begin + F.col("_size"), F.lit("test"))
-    return folds.withColumn("role", role).filter(F.col("role").isNotNull()).drop("_row", "_size", "_total")
+    past = F.col("_row") - 1 - (total - size * n_splits)
+    block = F.when(past < 0, 0).otherwise(F.try_divide(past, size).cast("int") + 1).cast("int")
+    return placed.withColumn("block", block).drop("_row")
+
+
+def expanding_folds(df: DataFrame, n_splits: int = 4, date: str = "start_date", entity: str = "entity") -> DataFrame:
+    """Rows of each expanding-window fold with role ``train`` or ``test``."""
+    blocks = fold_blocks(df, n_splits, date, entity)
+    first = F.greatest(F.col("block"), F.lit(1))
+    folds = blocks.withColumn("fold", F.explode(F.sequence(first, F.lit(n_splits))))
+    role = F.when(F.col("block") == F.col("fold"), F.lit("test")).otherwise(F.lit("train"))
+    return folds.withColumn("role", role).drop("block")
 
 
 def entity_split(

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from .joins import salted_join
 from .ranking import exact_quantiles
 
 
@@ -29,9 +30,15 @@ def zonal_median(pixels: DataFrame, keys: Sequence[str], value: str, weight: str
     return exact_quantiles(pixels, keys, value, {"median": 0.5}, weight=weight)
 
 
-def add_period_weight(pixels: DataFrame, yearly: DataFrame, keys: Sequence[str], period: str, weight: str) -> DataFrame:
-    """Join the yearly table on the year of the period."""
-    return pixels.withColumn("year", F.year(period)).join(yearly.select(*keys, "year", weight), [*keys, "year"], "left")
+def add_period_weight(
+    pixels: DataFrame, yearly: DataFrame, keys: Sequence[str], period: str, weight: str, spread_on: Sequence[str] = ()
+) -> DataFrame:
+    """Join the yearly table on the year of the period; with ``spread_on`` hot keys are salted."""
+    dated = pixels.withColumn("year", F.year(period))
+    table = yearly.select(*keys, "year", weight)
+    if spread_on:
+        return salted_join(dated, table, [*keys, "year"], spread_on, how="left")
+    return dated.join(table, [*keys, "year"], "left")
 
 
 def fixed_histogram(

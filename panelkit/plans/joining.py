@@ -53,7 +53,7 @@ def _(t):
 )
 def _(t):
     right = t.customer.select("c_custkey", "c_name", "c_nationkey")
-    return joins.join_named(t.orders.select("o_orderkey", "o_custkey"), right, {"o_custkey": "c_custkey"})
+    return joins.join_named(t.orders.select("o_orderkey", "o_custkey"), right, {"o_custkey": "c_custkey"}, spread_on=["o_orderkey"])
 
 
 @query(
@@ -99,7 +99,7 @@ def _(t):
 def _(t):
     early = t.daily.filter((F.col("kind") == "error") & (F.col("event_date") < F.lit("2024-01-05").cast("date")))
     kept = early.select("entity").distinct()
-    return t.daily.join(kept, "entity", "left_semi").select("entity", "event_date", "kind", "value")
+    return joins.salted_join(t.daily, kept, ["entity"], ["event_id"], how="left_semi").select("entity", "event_date", "kind", "value")
 
 
 @query(
@@ -267,4 +267,4 @@ def _(t):
 )
 def _(t):
     yearly = t.exposure.withColumnRenamed("entity", "region")
-    return add_period_weight(t.pixels, yearly, ["region"], "date", "pop").select("pixel", "region", "date", "year", "pop")
+    return add_period_weight(t.pixels, yearly, ["region"], "date", "pop", ["pixel", "date", "value"]).select("pixel", "region", "date", "year", "pop")

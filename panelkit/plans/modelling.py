@@ -1 +1,322 @@
-"""Queries."""
+"""Model jobs, grids and sweeps."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Window as W, functions as F
+
+from ..functions.numeric import log_offset
+from ..operators import linear, metrics, models, splits, sweeps, targets, zonal
+from ..operators.forecast import seasonal_naive
+from ..operators.joins import salted_join
+from ..operators.lags import add_lags, lag_frame, lag_name
+from ..operators.metrics import quantile_column
+from ..operators.results import result_frame
+from ..operators.schema import drop_any_null
+from ..operators.series import collect_series
+from ..session import cut_lineage
+from .aggregates import FORECAST_SQL
+from .registry import query
+from .standins import TEST_END, TRAIN_END, TRAIN_START
+
+CASE_LAGS = [lag_name(i, "cases") for i in range(1, 7)]
+
+
+def _frame(t, lookback: int = 6):
+    return lag_frame(t.panel, TRAIN_START, TEST_END, "count", case_lookback=lookback, dense=True)
+
+
+def _labelled(t, style: str):
+    """Training and test frames with ``label`` as double, expectations from training only."""
+    train, test = splits.temporal_holdout(_frame(t), TRAIN_START, TRAIN_END, TEST_END)
+    a, b = targets.label_splits(train, test, style)
+    label = lambda df: df.withColumn("label", F.col("cat_target").cast("double"))
+    return label(a), label(b)
+
+
+@query(
+    "ml_1_robust_scaling", "ML-1",
+    """WITH q AS (SELECT quantile_cont(l_extendedprice, [0.25, 0.5, 0.75]) AS p, quantile_cont(l_quantity, [0.25, 0.5, 0.75]) AS v FROM lineitem WHERE l_shipdate < TIMESTAMP '2000-01-01')
+       SELECT l_orderkey, l_linenumber, l_suppkey, round((l_extendedprice - p[2]) / (p[3] - p[1]), 5) AS l_extendedprice, round((l_quantity - v[2]) / (v[3] - v[1]), 5) AS l_quantity FROM lineitem, q""",
+)
+def _(t):
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate")
+    train = rows.filter(F.col("l_shipdate") < F.lit("2000-01-01").cast("timestamp_ntz"))
+    scaled = models.robust_scale(train, [rows], ["l_extendedprice", "l_quantity"])[1]
+    return scaled.drop("l_shipdate").withColumns({c: F.round(c, 5) for c in ("l_extendedprice", "l_quantity")})
+
+
+@query("ml_2_global_binary_classifier", "ML-2 RES-1")
+def _(t):
+    train, test = _labelled(t, "relative_binary")
+    features = [*CASE_LAGS, "month"]
+    scored = models.tree_classifier(train, test, features, 2, iterations=5)
+    settings = {"env_vars": ["none"], "additional_vars": ["month"], "case_lag": 1, "env_lag": 0, "specific_cases": [1, 2, 3, 4, 5, 6]}
+    return result_frame(scored, "relative_binary", settings)
+
+
+@query("ml_2_global_ternary_classifier", "ML-2 RES-1")
+def _(t):
+    train, test = _labelled(t, "relative_ternary")
+    scored = models.tree_classifier(train, test, [*CASE_LAGS, "month"], 3, iterations=10)
+    return result_frame(scored, "relative_ternary", {"case_lag": 1})
+
+
+@query("ml_3_ridge_classifier", "ML-3")
+def _(t):
+    train, test = _labelled(t, "relative_ternary")
+    scored = models.ridge_classifier(train, test, CASE_LAGS, 3)
+    return result_frame(scored, "relative_ternary", {"case_lag": 1}, probabilities=None)
+
+
+@query(
+    "ml_4_local_lag_regression", "ML-4",
+    """WITH l AS (SELECT entity, CAST(count AS DOUBLE) AS y, CAST(lag(count) OVER (PARTITION BY entity ORDER BY start_date) AS DOUBLE) AS x FROM dense)
+       SELECT entity, count(*) AS n, round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 6) AS intercept FROM l WHERE x IS NOT NULL GROUP BY 1""",
+    uses="dense",
+)
+def _(t):
+    lagged = add_lags(t.dense, {"count": [1]})
+    fit = linear.lag_regression(lagged, "count", lag_name(1, "count"))
+    return fit.select("entity", "n", F.round("slope", 6).alias("slope"), F.round("intercept", 6).alias("intercept"))
+
+
+@query("ml_4_local_classifiers", "ML-4 SPL-5")
+def _(t):
+    train, test = _labelled(t, "relative_binary")
+    zero = splits.zero_entities(train)
+    rows = train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
+    fitted = linear.local_ridge_classes(rows.join(zero, "entity", "left_anti"), CASE_LAGS, "relative_binary_local")
+    return fitted.unionByName(splits.bypass_rows(zero).drop("probabilities"))
+
+
+@query("ml_5_poisson_regression", "ML-5")
+def _(t):
+    logged = _frame(t).withColumns({c: log_offset(F.col(c)) for c in CASE_LAGS})
+    train, test = splits.temporal_holdout(logged, TRAIN_START, TRAIN_END, TEST_END)
+    out = models.poisson_regression(train, test, CASE_LAGS, "target")
+    return out.select("entity", "start_date", "target", "prediction")
+
+
+def _season_series(t):
+    season = t.dense.filter(F.month("start_date").isin(11, 12, 1, 2, 3, 4, 5))
+    return collect_series(season, ["count"])
+
+
+@query("ml_6_flat_clusters", "ML-6 FLT-4")
+def _(t):
+    return models.flat_clusters(_season_series(t), "count", 10)
+
+
+@query("ml_6_cluster_tree", "ML-6 D16")
+def _(t):
+    return models.cluster_tree(_season_series(t), "count", levels=2, rounds=2)
+
+
+def _node_rows(t, members, level: int):
+    """Rate per node and month with 12 lags, marked train or test."""
+    here = members.filter(F.col("level") == level).select("entity", "node", "parent")
+    sums = t.panel.join(here, "entity").groupBy("node", "parent", "start_date").agg(
+        F.sum("count").alias("count"), F.sum("pop").alias("pop")
+    )
+    rate = sums.withColumn("rate", F.try_divide(F.col("count").cast("double"), F.col("pop")) * 100000)
+    lagged = drop_any_null(add_lags(rate, {"rate": range(1, 13)}, "node"), ["rate", *[lag_name(i, "rate") for i in range(1, 13)]])
+    split = F.when(F.col("start_date") < F.lit(TRAIN_END).cast("date"), "train").otherwise("test")
+    return lagged.withColumns({"split": split, "label": F.col("rate")})
+
+
+@query("ml_7_hierarchical_refinement", "ML-7 AGG-10 AGG-18 AGG-25 SRT-7")
+def _(t):
+    members = models.cluster_tree(_season_series(t), "count", levels=2, rounds=2)
+    lags = [lag_name(i, "rate") for i in range(1, 13)]
+    above, scores = None, []
+    for level in range(3):  # one job graph per level, all nodes of the level together
+        rows = _node_rows(t, members, level)
+        plain = linear.local_ridge(rows, lags, entity="node")
+        best = plain
+        if above is not None:
+            parent = above.select(F.col("node").alias("parent"), "start_date", F.col("prediction").alias("parent_prediction"))
+            both = rows.join(parent, ["parent", "start_date"])
+            best = linear.local_ridge(both, [*lags, "parent_prediction"], entity="node")
+        above = cut_lineage(best)
+        marks = lambda df: metrics.regression_scores(df.filter(F.col("split") == "test"), ["node"], "label", "prediction")
+        scores.append(metrics.compare_runs(marks(above), marks(plain), ["node"]).withColumn("level", F.lit(level)))
+    return reduce(lambda a, b: a.unionByName(b), scores)
+
+
+def _cluster_forecast(t):
+    """One ridge per cluster (nation), its one-step forecasts of the last 3 months and their quantiles."""
+    lagged = add_lags(t.dense, {"count": range(1, 13)})
+    names = [lag_name(i, "count") for i in range(1, 13)]
+    rows = drop_any_null(splits.evaluation_cut(lagged, 3), names).join(t.entities.select("entity", "nation"), "entity")
+    history = rows.filter(F.col("part") == "history")
+    fitted = linear.grouped_ridge(history, ["nation"], names, "count")
+    truth = salted_join(rows.filter(F.col("part") == "truth"), fitted, ["nation"], ["entity", "start_date"])
+    steps = truth.withColumns({"mean": linear.predict_linear(names), "y": F.col("count").cast("double")})
+    normal = {0.1: -1.2815515655446004, 0.5: 0.0, 0.9: 1.2815515655446004}  # fixed values: normal quantiles
+    steps = steps.withColumns({quantile_column(p): F.col("mean") + F.col("sigma") * F.lit(z) for p, z in normal.items()})
+    return steps.select("nation", "entity", "start_date", "y", "mean", "q_0_1", "q_0_5", "q_0_9"), history
+
+
+@query("ml_8_model_per_cluster", "ML-8 AGG-24")
+def _(t):
+    steps, history = _cluster_forecast(t)
+    season = metrics.seasonal_error(history, "count", ["nation", "entity"])
+    return metrics.agg_metrics(metrics.item_metrics(steps, season, ["nation", "entity"]), ["nation"])
+
+
+@query(
+    "ml_9_seasonal_forecast", "ML-9 SPL-6",
+    "WITH " + FORECAST_SQL + " SELECT entity, start_date, step, y, mean, round(q_0_1, 6) AS q_0_1, round(q_0_5, 6) AS q_0_5, round(q_0_9, 6) AS q_0_9 FROM steps",
+    uses="dense",
+)
+def _(t):
+    steps, _ = seasonal_naive(t.dense, 3, "count")
+    return steps.withColumns({c: F.round(c, 6) for c in ("q_0_1", "q_0_5", "q_0_9")})
+
+
+@query(
+    "ml_10_partial_pooling", "ML-10 PRJ-10 WIN-6",
+    """WITH l AS (SELECT entity, ln(count + 0.1) AS y, ln(lag(count) OVER (PARTITION BY entity ORDER BY start_date) + 0.1) AS x FROM dense),
+       f AS (SELECT entity, count(*) AS n, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept,
+           (regr_syy(y, x) - regr_slope(y, x) * regr_sxy(y, x)) / (count(*) - 2) AS s2, regr_sxx(y, x) AS sxx, regr_avgx(y, x) AS mx FROM l WHERE x IS NOT NULL GROUP BY 1),
+       v AS (SELECT *, s2 / sxx AS slope_var, s2 * (1.0 / n + mx * mx / sxx) AS intercept_var FROM f),
+       b AS (SELECT avg(slope) AS ms, avg(intercept) AS mi, greatest(var_pop(slope) - avg(slope_var), 0) AS ts, greatest(var_pop(intercept) - avg(intercept_var), 0) AS ti FROM v)
+       SELECT entity, n, round(slope, 5) AS slope, round(intercept, 5) AS intercept, round(ms + ts / (ts + slope_var) * (slope - ms), 5) AS slope_shrunk,
+         round(mi + ti / (ti + intercept_var) * (intercept - mi), 5) AS intercept_shrunk FROM v, b""",
+    uses="dense",
+)
+def _(t):
+    logged = add_lags(t.dense, {"count": [1]}).withColumns(
+        {"y": log_offset(F.col("count")), "x": log_offset(F.col(lag_name(1, "count")))}
+    )
+    out = linear.shrink(linear.lag_regression(logged, "y", "x"))
+    return out.withColumns({c: F.round(c, 5) for c in out.columns if c not in ("entity", "n")})
+
+
+@query("ml_11_presence_model", "ML-11 CAL-5 AGG-30 SET-4")
+def _(t):
+    rows = t.daily.select("event_id", "entity", F.col("event_date").alias("date"), "kind")
+    here, away = rows.filter(F.col("kind") == "error"), rows.filter(F.col("kind") != "error")
+    points = zonal.presence_records(here.drop("kind"), away.drop("kind"), 10)
+    bins = zonal.lookback_histogram(points, t.daily, ["entity"], "date", "event_date", "value", 10, 0, 100, 5, "value")
+    features = [f"{k}value" for k in range(1, 6)]
+    joined = points.join(bins, ["entity", "date"])
+    return models.presence_model(joined, features).select("event_id", "presence", "probability")
+
+
+_GRID = {"style": ["threshold"], "lag": [1, 2, 12], "factor": [0.5, 1.0]}
+
+
+@query(
+    "ml_12_parameter_grid", "ML-12",
+    """WITH f AS (SELECT p.*, x.expected, lag(p.count, 1) OVER w AS l1, lag(p.count, 2) OVER w AS l2, lag(p.count, 12) OVER w AS l12
+           FROM panel p JOIN expected x USING (entity, month) WINDOW w AS (PARTITION BY entity ORDER BY start_date)),
+       g AS (SELECT * FROM (VALUES (1), (2), (12)) a(lag) CROSS JOIN (VALUES (0.5::DOUBLE), (1.0::DOUBLE)) b(factor)),
+       r AS (SELECT g.lag, g.factor, CASE WHEN f.count > f.expected THEN 1 ELSE 0 END AS truth,
+           CASE WHEN (CASE g.lag WHEN 1 THEN l1 WHEN 2 THEN l2 ELSE l12 END) > f.expected * g.factor THEN 1 ELSE 0 END AS pred FROM f, g WHERE l12 IS NOT NULL)
+       SELECT lag, factor, count(*) AS n, CAST(sum(CASE WHEN truth = pred THEN 1 ELSE 0 END) AS BIGINT) AS hits FROM r GROUP BY 1, 2""",
+    uses="panel expected",
+)
+def _(t):
+    # every grid point scores the rule "the lagged count exceeds factor times the seasonal mean"
+    lagged = add_lags(t.panel, {"count": [1, 2, 12]}).filter(F.col("12_shifted_count").isNotNull())
+    expected = targets.expectations(t.panel, ("entity", "month"), "count")
+    rows = sweeps.explode_grid(lagged.join(expected, ["entity", "month"]), _GRID)
+    past = F.when(F.col("lag") == 1, F.col("1_shifted_count")).when(F.col("lag") == 2, F.col("2_shifted_count")).otherwise(F.col("12_shifted_count"))
+    hit = (F.col("count") > F.col("expected")) == (past > F.col("expected") * F.col("factor"))
+    return rows.groupBy("lag", "factor").agg(F.count("*").alias("n"), F.sum(F.when(hit, 1).otherwise(0)).alias("hits"))
+
+
+STYLES = {"relative_ternary": 3, "relative_binary": 2, "simple_binary": 2, "simple_ternary": 3}
+
+
+def _sweep_frames(t, lookback: int):
+    """Widest lag frame with one label column per target style, cut into training and test."""
+    frame = _frame(t, lookback)
+    train, test = splits.temporal_holdout(frame, TRAIN_START, TRAIN_END, TEST_END)
+    for style in STYLES:
+        train, test = targets.label_splits(train, test, style)
+        train, test = (df.withColumnRenamed("cat_target", style).withColumn(style, F.col(style).cast("int")) for df in (train, test))
+    return train, test
+
+
+@query("ml_13_lag_target_sweep", "ML-13")
+def _(t):
+    train, test = _sweep_frames(t, 9)
+    names = [lag_name(i, "cases") for i in range(1, 10)]
+    sweep = sweeps.RidgeSweep(train, names, STYLES)
+    grid = [
+        sweeps.Model(f"{style}/lag{lag}", tuple(lag_name(i, "cases") for i in range(lag, lag + 6)), style)
+        for style in STYLES for lag in (1, 2, 3, 4)
+    ]
+    return sweep.scores(test, grid)
+
+
+@query("ml_13_lookback_sweep", "ML-13")
+def _(t):
+    train, test = _sweep_frames(t, 24)
+    names = [lag_name(i, "cases") for i in range(1, 25)]
+    sweep = sweeps.RidgeSweep(train, names, STYLES)
+    grid = [sweeps.Model(f"{style}/lookback{k}", tuple(names[:k]), style) for style in STYLES for k in range(1, 25)]
+    return sweep.scores(test, grid)
+
+
+def _covariate_rows(t):
+    """Counts with lags of counts and of three covariates, labelled relative to the training mean."""
+    joined = t.panel.join(t.parameters.select("entity", "start_date", "volume", "top_price", "low_tax"), ["entity", "start_date"], "left")
+    filled = joined.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in COVARIATES})
+    frame = lag_frame(
+        filled, TRAIN_START, TEST_END, "count", case_lookback=6, env_list=COVARIATES, env_lookback=6, env_lag=1, dense=True
+    )
+    train, test = splits.temporal_holdout(frame, TRAIN_START, TRAIN_END, TEST_END)
+    a, b = targets.label_splits(train, test, "relative_binary")
+    return a.withColumn("label", F.col("cat_target").cast("int")), b.withColumn("label", F.col("cat_target").cast("int"))
+
+
+COVARIATES = ["volume", "top_price", "low_tax"]
+
+
+@query("ml_13_covariate_sweep", "ML-13")
+def _(t):
+    train, test = _covariate_rows(t)
+    env = {c: [lag_name(i, c) for i in range(1, 7)] for c in COVARIATES}
+    sweep = sweeps.RidgeSweep(train, [*CASE_LAGS, *sum(env.values(), [])], {"label": 2})
+    sets = [[], *[[c] for c in COVARIATES], COVARIATES]
+    grid = [
+        sweeps.Model(f"{'+'.join(s) or 'none'}/lag{lag}", tuple(CASE_LAGS[lag - 1:]) + tuple(sum((env[c] for c in s), [])), "label")
+        for s in sets for lag in (1, 2, 3, 4)
+    ]
+    return sweep.scores(test, grid)
+
+
+@query("ml_14_forward_selection", "ML-14 SPL-2 AGG-21")
+def _(t):
+    frame = _frame(t, 12)
+    labelled, _ = targets.relative_binary(frame)
+    coded = labelled.withColumn("label", F.col("cat_target").cast("int")).drop("cat_target")
+    blocks = cut_lineage(splits.fold_blocks(coded, 4))
+    names = [lag_name(i, "cases") for i in range(1, 13)]
+    sweep = sweeps.RidgeSweep(blocks, names, {"label": 2}, block="block")
+    chosen = sweeps.forward_selection(sweep, blocks.filter(F.col("block") > 0), "label", (1, 2, 3, 4))
+    rows = [(i + 1, name, score) for i, (name, score) in enumerate(chosen)]
+    return t.spark.createDataFrame(rows, "step int, feature string, f1_macro double")
+
+
+@query("ml_15_successive_halving", "ML-15 SPL-2 AGG-27")
+def _(t):
+    labelled, _ = targets.relative_binary(_frame(t))
+    coded = labelled.withColumn("label", F.col("cat_target").cast("double")).drop("cat_target")
+    blocks = splits.fold_blocks(coded, 4)
+    history = models.halving_search(blocks, CASE_LAGS, sweeps.random_candidates(4), folds=(4,), start=1, most=4)
+    rows = [(h["rung"], h["candidate"], h["resource"], h["step"], h["depth"], h["leaf"], h["score"]) for h in history]
+    return t.spark.createDataFrame(rows, "rung int, candidate int, resource int, step double, depth int, leaf int, balanced_accuracy double")
+
+
+@query("ml_16_model_per_feature", "ML-16")
+def _(t):
+    train, test = _covariate_rows(t)
+    env = {c: [lag_name(i, c) for i in range(1, 7)] for c in COVARIATES}
+    sweep = sweeps.RidgeSweep(train, [*CASE_LAGS, *sum(env.values(), [])], {"label": 2})
+    return sweep.scores(test, [sweeps.Model(c, (*CASE_LAGS, *env[c]), "label") for c in COVARIATES])
