@@ -60,14 +60,20 @@ def tree_classifier(
 def ridge_classifier(
     train: DataFrame, test: DataFrame, features: Sequence[str], classes: int, label: str = "label", alpha: float = 1.0
 ) -> DataFrame:
-    """Least squares with L2 on +1 / -1 per class; the class with the largest score wins."""
-    n = train.count()
+    """Least squares with L2 on +1 / -1 per class; the class with the largest score wins.
+
+    MLlib divides the penalty by the deviation of the label, so it is multiplied in beforehand.
+    """
+    counts = {int(r[label]): r["count"] for r in train.groupBy(label).count().collect()}  # one row per class
+    n = sum(counts.values())
     packed = assemble(train, features)
     scored = assemble(test, features)
     for k in range(classes):
         side = packed.withColumn("_y", F.when(F.col(label) == k, 1.0).otherwise(-1.0))
+        share = counts.get(k, 0) / n
+        deviation = 2.0 * (share * (1.0 - share)) ** 0.5
         fit = LinearRegression(
-            labelCol="_y", regParam=alpha / n, elasticNetParam=0.0, standardization=False, solver="normal",
+            labelCol="_y", regParam=alpha / n * deviation, elasticNetParam=0.0, standardization=False, solver="normal",
             predictionCol=f"score_{k}",
         ).fit(side)
         scored = fit.transform(scored)

@@ -60,24 +60,54 @@ def exact_quantiles(
     value: str,
     probs: dict[str, float],
     weight: str | None = None,
-    buckets: int = 1024,
+    most: int = 200_000,
 ) -> DataFrame:
     """Exact quantiles of groups of any size.
 
     Without a weight, quantiles are interpolated between neighbouring ranks. With one, the
     quantile is the first value whose running weight reaches the share of the total.
 
+    Groups of up to ``most`` rows (or a millionth of all rows) are ordered in one task each. The
+    keys of larger groups, a million at the most, are broadcast to set their rows apart, and those
+    groups are spread over many tasks.
+    """
+    keys, weighted = list(keys), weight is not None
+    picked = [F.col(value).cast("double").alias("_v"), *([F.col(weight).alias("_w")] if weighted else [])]
+    known = df.filter(F.col(value).isNotNull()).select(*keys, *picked)
+    if not keys:
+        return _spread_quantiles(known, keys, probs, weighted)
+    limit = known.agg(F.greatest(F.lit(most), F.ceil(F.count("*") / F.lit(1_000_000)))).scalar()
+    large = known.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit).select(*keys)
+    small = known.join(F.broadcast(large), keys, "left_anti")
+    big = known.join(F.broadcast(large), keys, "left_semi")
+    return _task_quantiles(small, keys, probs, weighted).unionByName(_spread_quantiles(big, keys, probs, weighted))
+
+
+def _task_quantiles(known: DataFrame, keys: list[str], probs: dict[str, float], weighted: bool) -> DataFrame:
+    if not weighted:
+        grouped = known.groupBy(*keys).agg(F.percentile("_v", list(probs.values())).alias("_q"))
+        return grouped.select(*keys, *[F.get("_q", F.lit(i)).alias(name) for i, name in enumerate(probs)])
+    w = W.partitionBy(*keys)
+    running = F.sum("_w").over(w.orderBy("_v").rowsBetween(W.unboundedPreceding, 0))
+    merged = known.groupBy(*keys, "_v").agg(F.sum("_w").alias("_w"))
+    placed = merged.withColumns({"_upto": running, "_total": F.sum("_w").over(w)})
+    reached = {name: F.col("_upto") >= F.col("_total").cast("double") * F.lit(p) for name, p in probs.items()}
+    return placed.groupBy(*keys).agg(*[F.min(F.when(at, F.col("_v"))).alias(name) for name, at in reached.items()])
+
+
+def _spread_quantiles(
+    known: DataFrame, keys: list[str], probs: dict[str, float], weighted: bool, buckets: int = 1024
+) -> DataFrame:
+    """Quantiles of large groups.
+
     Equal values are merged first. Weights are then summed per equal-width bucket of the value
     range to find the bucket that holds each quantile; that bucket is split once more between its
     own least and greatest value, and only the values of the inner bucket are ordered. A group with
     a third of all rows, or values crowded beside far outliers, is spread over many tasks.
     """
-    keys = list(keys)
-    is_weighted = weight is not None
-    known = df.filter(F.col(value).isNotNull())
-    amount = F.sum(F.col(weight)) if is_weighted else F.count("*")
-    merged = known.groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(amount.alias("_w"))
-    low, high = known.agg(F.min(value).cast("double")).scalar(), known.agg(F.max(value).cast("double")).scalar()
+    amount = F.sum("_w") if weighted else F.count("*")
+    merged = known.groupBy(*keys, "_v").agg(amount.alias("_w"))
+    low, high = known.agg(F.min("_v")).scalar(), known.agg(F.max("_v")).scalar()
     merged = merged.withColumn("_b", _bucket(low, high, buckets))
 
     outer = merged.groupBy(*keys, "_b").agg(
@@ -86,9 +116,9 @@ def exact_quantiles(
     whole = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
     upto = F.sum("_bw").over(whole.orderBy("_b").rowsBetween(W.unboundedPreceding, 0))
     placed = outer.withColumns({"_before": upto - F.col("_bw"), "_total": F.sum("_bw").over(whole)})
-    aims = F.flatten(F.array(*[_targets(name, p, is_weighted) for name, p in probs.items()]))
+    aims = F.flatten(F.array(*[_targets(name, p, weighted) for name, p in probs.items()]))
     wanted = placed.withColumn("_t", F.explode(aims)).select("*", "_t.*").drop("_t").filter(
-        _holds(F.col("_before"), F.col("_before") + F.col("_bw"), is_weighted)
+        _holds(F.col("_before"), F.col("_before") + F.col("_bw"), weighted)
     )
 
     ranges = wanted.select(*keys, "_b", "_lo", "_hi").distinct()
@@ -100,19 +130,19 @@ def exact_quantiles(
     inside = (
         wanted.join(inner.withColumn("_in", within - F.col("_cw")), [*keys, "_b"])
         .withColumn("_from", F.col("_before") + F.col("_in"))
-        .filter(_holds(F.col("_from"), F.col("_from") + F.col("_cw"), is_weighted))
+        .filter(_holds(F.col("_from"), F.col("_from") + F.col("_cw"), weighted))
         .select(*keys, "_b", "_c", "_from", "_name", "_side", "_aim", "_frac")
     )
     last = W.partitionBy(*keys, "_b", "_c", "_name", "_side").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
     lined = near.join(inside, [*keys, "_b", "_c"]).withColumn("_upto", F.col("_from") + F.sum("_w").over(last))
-    hit = lined.filter(_holds(F.col("_upto") - F.col("_w"), F.col("_upto"), is_weighted))
+    hit = lined.filter(_holds(F.col("_upto") - F.col("_w"), F.col("_upto"), weighted))
 
     def at(name: str, side: int, column: str = "_v") -> Column:
         return F.max(F.when((F.col("_name") == name) & (F.col("_side") == side), F.col(column)))
 
     out = []
     for name in probs:
-        if is_weighted:
+        if weighted:
             out.append(at(name, 0).alias(name))
         else:
             out.append((at(name, 0) + (at(name, 1) - at(name, 0)) * at(name, 0, "_frac")).alias(name))

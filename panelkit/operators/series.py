@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.dates import shift
+from ..functions.draws import unit_draw
 from ..functions.numeric import scaled_month, series_age
 
 
@@ -89,7 +90,7 @@ def instance_windows(
 
 
 def split_point(mode: str, values: str, key: str, future: int, seed: int = 42) -> Column:
-    """Number of steps before the split: hashed for train, last full horizon for valid, the end for test."""
+    """Number of steps before the split: drawn for train, last full horizon for valid, the end for test."""
     length = F.size(F.col(values))
     if mode == "test":
         return length
@@ -98,4 +99,4 @@ def split_point(mode: str, values: str, key: str, future: int, seed: int = 42) -
     if mode != "train":
         raise ValueError("mode must be train, valid or test")
     room = F.greatest(length - F.lit(future) + 1, F.lit(1))
-    return F.pmod(F.xxhash64(F.col(key), F.lit(seed)), room.cast("long")).cast("int")
+    return F.floor(unit_draw(seed, key) * room).cast("int")

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..functions.draws import unit_draw
 from .ranking import global_position
 
 # The bypass row of an entity without any case.
@@ -48,7 +49,7 @@ def entity_split(
     df: DataFrame, train: float = 0.6, valid: float = 0.2, seed: int = 42, entity: str = "entity"
 ) -> DataFrame:
     """Add ``split`` by entity: the train and valid counts are rounded down, the rest is test."""
-    hashed = df.select(entity).distinct().withColumn("_h", F.xxhash64(entity, F.lit(seed)))
+    hashed = df.select(entity).distinct().withColumn("_h", unit_draw(seed, entity))
     placed = global_position(hashed, "_h", [entity], "_row")
     total = hashed.agg(F.count("*")).scalar()
     n_train, n_valid = F.floor(total * F.lit(train)), F.floor(total * F.lit(valid))
@@ -58,8 +59,7 @@ def entity_split(
 
 def hashed_sample(df: DataFrame, fraction: float, on: Sequence[str], seed: int = 42) -> DataFrame:
     """Keep about ``fraction`` of the rows; a rerun keeps the same ones."""
-    unit = F.pmod(F.xxhash64(*on, F.lit(seed)), F.lit(1_000_000)) / F.lit(1_000_000.0)
-    return df.filter(unit <= F.lit(fraction))
+    return df.filter(unit_draw(seed, *on) <= F.lit(fraction))
 
 
 def evaluation_cut(panel: DataFrame, horizon: int, entity: str = "entity", date: str = "start_date") -> DataFrame:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.numeric import right_closed_bins
+from .schema import drop_any_null
 
 # Class limits of the simple targets, in cases per 100,000.
 HIGH_RATE = 300.0
@@ -33,6 +34,22 @@ def apply_expectations(df: DataFrame, expected: DataFrame, keys: Sequence[str])
     return df.join(expected, list(keys), "inner")
 
 
+def _with_expected(df: DataFrame, expected: DataFrame | None, keys: Sequence[str], target: str, entity: str):
+    """Rows with ``expected``, and the expectations for later data.
+
+    A key that holds the entity has one row per year, so its own expectation comes from a window
+    and the rows are computed once. Coarser keys are aggregated first and joined.
+    """
+    if expected is not None:
+        return apply_expectations(df, expected, keys), expected
+    made = expectations(df, keys, target)
+    if entity not in keys:
+        return apply_expectations(df, made, keys), made
+    w = W.partitionBy(*keys)
+    mean = F.sum(target).over(w) / F.count(target).over(w)
+    return drop_any_null(df, list(keys)).withColumn("expected", mean), made
+
+
 def simple_binary(df: DataFrame, expected: DataFrame | None = None, keys: Sequence[str] = (), target: str = "target"):
     return df.withColumn("cat_target", right_closed_bins(F.col(target), [HIGH_RATE], ["0", "1"])), None
 
@@ -43,22 +60,24 @@ def simple_ternary(df: DataFrame, expected: DataFrame | None = None, keys: Seque
 
 
 def relative_binary(
-    df: DataFrame, expected: DataFrame | None = None, keys: Sequence[str] = ("entity", "month"), target: str = "target"
+    df: DataFrame, expected: DataFrame | None = None, keys: Sequence[str] = ("entity", "month"), target: str = "target",
+    entity: str = "entity",
 ):
     """``1`` above the seasonal expectation. Returns the expectations for use on later data."""
-    expected = expectations(df, keys, target) if expected is None else expected
+    rows, expected = _with_expected(df, expected, keys, target, entity)
     label = F.when(F.col(target) > F.col("expected"), F.lit("1")).otherwise(F.lit("0"))
-    return apply_expectations(df, expected, keys).withColumn("cat_target", label).drop("expected"), expected
+    return rows.withColumn("cat_target", label).drop("expected"), expected
 
 
 def relative_ternary(
-    df: DataFrame, expected: DataFrame | None = None, keys: Sequence[str] = ("entity", "month"), target: str = "target"
+    df: DataFrame, expected: DataFrame | None = None, keys: Sequence[str] = ("entity", "month"), target: str = "target",
+    entity: str = "entity",
 ):
     """``0`` up to half of the expectation, ``1`` up to the expectation, ``2`` above."""
-    expected = expectations(df, keys, target) if expected is None else expected
+    rows, expected = _with_expected(df, expected, keys, target, entity)
     value, mean = F.col(target), F.col("expected")
     label = F.when(value <= mean * 0.5, F.lit("0")).when(value <= mean, F.lit("1")).otherwise(F.lit("2"))
-    return apply_expectations(df, expected, keys).withColumn("cat_target", label).drop("expected"), expected
+    return rows.withColumn("cat_target", label).drop("expected"), expected
 
 
 def target_registry() -> dict[str, Target]:

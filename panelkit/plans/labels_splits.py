@@ -138,7 +138,16 @@ def _(t):
     return splits.expanding_folds(t.dense)
 
 
-@query("spl_3_entity_split", "SPL-3")
+_DRAW = "(('0x' || substr(md5({} || '|42'), 1, 13)) :: BIGINT / 4503599627370496.0)"
+
+
+@query(
+    "spl_3_entity_split", "SPL-3",
+    "WITH r AS (SELECT entity, row_number() OVER (ORDER BY " + _DRAW.format("CAST(entity AS VARCHAR)")
+    + """, entity) AS i, count(*) OVER () AS n FROM (SELECT DISTINCT entity FROM dense))
+      SELECT d.*, CASE WHEN i <= floor(n * 0.6) THEN 'train' WHEN i <= floor(n * 0.6) + floor(n * 0.2) THEN 'valid' ELSE 'test' END AS split FROM dense d JOIN r USING (entity)""",
+    uses="dense",
+)
 def _(t):
     return splits.entity_split(t.dense)
 
@@ -153,7 +162,10 @@ def _(t):
     return splits.entity_split(t.dense).select("split", "entity").distinct().groupBy("split").agg(F.count("*").alias("entities"))
 
 
-@query("spl_4_fraction_sample", "SPL-4")
+@query(
+    "spl_4_fraction_sample", "SPL-4",
+    "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem WHERE " + _DRAW.format("concat_ws('|', l_orderkey, l_linenumber, l_partkey)") + " <= 0.1",
+)
 def _(t):
     return splits.hashed_sample(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity"), 0.1, ["l_orderkey", "l_linenumber", "l_partkey"])
 

@@ -233,8 +233,8 @@ STYLES = {"relative_ternary": 3, "relative_binary": 2, "simple_binary": 2, "simp
 
 
 def _sweep_frames(t, lookback: int):
-    """Widest lag frame with one label column per target style, cut into training and test."""
-    frame = _frame(t, lookback)
+    """Widest lag frame, written once, with one label column per target style, cut into training and test."""
+    frame = cut_lineage(_frame(t, lookback))
     train, test = splits.temporal_holdout(frame, TRAIN_START, TRAIN_END, TEST_END)
     for style in STYLES:
         train, test = targets.label_splits(train, test, style)
@@ -270,7 +270,7 @@ def _covariate_rows(t):
     frame = lag_frame(
         filled, TRAIN_START, TEST_END, "count", case_lookback=6, env_list=COVARIATES, env_lookback=6, env_lag=1, dense=True
     )
-    train, test = splits.temporal_holdout(frame, TRAIN_START, TRAIN_END, TEST_END)
+    train, test = splits.temporal_holdout(cut_lineage(frame), TRAIN_START, TRAIN_END, TEST_END)
     a, b = targets.label_splits(train, test, "relative_binary")
     return a.withColumn("label", F.col("cat_target").cast("int")), b.withColumn("label", F.col("cat_target").cast("int"))
 

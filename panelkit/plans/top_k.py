@@ -47,8 +47,7 @@ def _(t):
 )
 def _(t):
     low = t.dense.agg(F.min("entity")).scalar()
-    pairs = association.top_correlated(collect_series(t.dense, ["count"]), "count", k=10)
-    best = pairs.filter(F.col("i") == low).orderBy(F.col("corr").desc(), "j").limit(10)
+    best = association.most_like(collect_series(t.dense, ["count"]), F.col("entity") == low, "count", 10)
     return best.select("j", F.round("corr", 9).alias("corr"))
 
 

@@ -234,7 +234,10 @@ def _(t):
     return _instances(t, "test")
 
 
-@query("win_17_instance_sampler_train", "WIN-17")
+_DRAW = "(('0x' || substr(md5(CAST(entity AS VARCHAR) || '|42'), 1, 13)) :: BIGINT / 4503599627370496.0)"
+
+
+@query("win_17_instance_sampler_train", "WIN-17", _windows_sql(f"CAST(floor({_DRAW} * greatest(len(v) - 3 + 1, 1)) AS INTEGER)"), uses="dense")
 def _(t):
     return _instances(t, "train")
 
