@@ -13,7 +13,6 @@ from ..sources.geometry import region_centroids
 from .registry import query
 
 
-_TEXT_DAY = F.date_format("l_shipdate", "yyyyMMdd")
 
 
 @query("src_1_read_parquet", "SRC-1", "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
@@ -28,7 +27,7 @@ def _(t):
 )
 def _(t):
     path = scratch_path(t.spark, "parts")
-    t.lineitem.withColumn("shipped", _TEXT_DAY).write.parquet(path)
+    t.lineitem.withColumn("shipped", F.date_format("l_shipdate", "yyyyMMdd")).write.parquet(path)
     return readers.read_line_list(
         t.spark, f"{path}/*.parquet", ["l_suppkey", "shipped", "l_returnflag"], "shipped", 1996
     )
