@@ -67,7 +67,8 @@ def lookup_in_list(
 ) -> DataFrame:
     """Map each element of a list column through a table, keeping the order."""
     exploded = df.select(*row_keys, F.posexplode(values).alias("_pos", key))
-    mapped = exploded.join(table.select(key, F.col(value).alias("_value")), key, "left")
+    named = table.select(key, F.col(value).alias("_value"))
+    mapped = salted_join(exploded, named, [key], [*row_keys, "_pos"], how="left")
     ordered = F.array_sort(F.collect_list(F.struct("_pos", "_value")))
     lists = mapped.groupBy(*row_keys).agg(F.transform(ordered, lambda x: x["_value"]).alias(alias))
     return df.join(lists, list(row_keys), "left")
@@ -100,4 +101,5 @@ def join_lagged_partner(df: DataFrame, partners: DataFrame, series: DataFrame, e
                         value: str) -> DataFrame:
     """Add the value of each entity's partner at the same date."""
     other = series.select(F.col(entity).alias(partner), date, value)
-    return df.join(partners, entity, "inner").join(other, [partner, date], "inner")
+    paired = df.join(partners, entity, "inner")
+    return salted_join(paired, other, [partner, date], [entity])  # a hub is the partner of many

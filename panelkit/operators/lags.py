@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.dates import month_index
+from .joins import salted_join
 from .schema import drop_any_null
 
 
@@ -138,7 +139,7 @@ def neighbour_matrix(
     other = own.select(F.col(entity).alias("neighbour"), date, F.col("own").alias("theirs"))
     needed = neighbours.groupBy(entity).agg(F.count("*").alias("_needed"))
     lists = (
-        neighbours.join(other, "neighbour")
+        salted_join(neighbours, other, ["neighbour"], [entity])  # a hub is the neighbour of many
         .groupBy(entity, date)
         .agg(F.array_sort(F.collect_list(F.struct("rank", "theirs"))).alias("_theirs"))
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.dates import period_start, shift
 from ..functions.numeric import rate_per
@@ -44,12 +44,12 @@ def sliding_counts(
     """Events in ``[d, d + months)`` for every day ``d`` from an entity's first to last event day.
 
     Events are counted per day first; each day then adds to the at most 31 * ``months`` windows
-    that cover it. Windows without events are left out.
+    that cover it. Windows without events are left out. The final sums need no further shuffle, as
+    the days are already placed by entity.
     """
     daily = events.groupBy(entity, F.col(date).alias("_day")).agg(F.count("*").alias("_n"))
-    limits = daily.groupBy(entity).agg(F.min("_day").alias("_first"))
     spread = (
-        daily.join(limits, entity)
+        daily.withColumn("_first", F.min("_day").over(W.partitionBy(entity)))
         .withColumn(
             period,
             F.explode(F.sequence(F.greatest(F.date_sub("_day", 31 * months - 1), F.col("_first")), F.col("_day"))),

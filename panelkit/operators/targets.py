@@ -30,8 +30,9 @@ def risk_bands(df: DataFrame, keys: Sequence[str] = ("entity", "month"), value:
 
 
 def apply_expectations(df: DataFrame, expected: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner join: rows whose key was never seen drop out."""
-    return df.join(expected, list(keys), "inner")
+    """Inner join: rows whose key was never seen drop out. Expectations by month alone are twelve rows."""
+    side = F.broadcast(expected) if tuple(keys) == ("month",) else expected
+    return df.join(side, list(keys), "inner")
 
 
 def _with_expected(df: DataFrame, expected: DataFrame | None, keys: Sequence[str], target: str, entity: str):

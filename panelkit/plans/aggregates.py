@@ -154,11 +154,11 @@ _PIVOT = ", ".join(f"CAST(sum(CASE WHEN c_nationkey = {k} THEN 1 END) AS BIGINT)
     f"SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS start_date, {_PIVOT} FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1",
 )
 def _(t):
-    # nations are a fixed list of 25, so the pivot needs no pass for the values
-    rows = t.orders.select("o_custkey", "o_orderdate").join(
-        t.customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")
-    )
-    long = rows.groupBy(F.to_date(F.date_trunc("month", "o_orderdate")).alias("start_date"), "c_nationkey").agg(F.count("*").alias("n"))
+    # nations are a fixed list of 25, so the pivot needs no pass for the values; orders are counted before the join
+    month = F.to_date(F.date_trunc("month", "o_orderdate")).alias("start_date")
+    counted = t.orders.groupBy(F.col("o_custkey").alias("c_custkey"), month).agg(F.count("*").alias("k"))
+    rows = counted.join(t.customer.select("c_custkey", "c_nationkey"), "c_custkey")
+    long = rows.groupBy("start_date", "c_nationkey").agg(F.sum("k").alias("n"))
     return long.groupBy("start_date").pivot("c_nationkey", list(range(25))).agg(F.first("n"))
 
 
@@ -208,8 +208,9 @@ def _(t):
     "SELECT c_nationkey, count(DISTINCT c_custkey) AS customers, count(DISTINCT o_orderpriority) AS priorities FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1",
 )
 def _(t):
-    rows = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
-    # one distinct set at a time, merged before the shuffle: no row is repeated per distinct column
+    # orders shrink to one row per customer and priority before they meet the customers
+    seen = t.orders.select(F.col("o_custkey").alias("c_custkey"), "o_orderpriority").distinct()
+    rows = seen.join(t.customer.select("c_custkey", "c_nationkey"), "c_custkey")
     pairs = rows.select("c_nationkey", "c_custkey").distinct().groupBy("c_nationkey").agg(F.count("*").alias("customers"))
     kinds = rows.select("c_nationkey", "o_orderpriority").distinct().groupBy("c_nationkey").agg(F.count("*").alias("priorities"))
     return pairs.join(kinds, "c_nationkey")

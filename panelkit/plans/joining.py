@@ -75,7 +75,8 @@ def _(t):
 def _(t):
     static = t.entities.select("entity", "nation", "name")
     cols = t.panel.select("entity", "start_date", "count", "year", "month")
-    return cols.join(t.index, ["year", "month"], "left").join(static, "entity", "left").drop("year", "month")
+    index = F.broadcast(t.index)  # one row per calendar month
+    return cols.join(index, ["year", "month"], "left").join(static, "entity", "left").drop("year", "month")
 
 
 @query(

@@ -82,6 +82,28 @@ def _(t):
     return fit.select("entity", "n", F.round("slope", 6).alias("slope"), F.round("intercept", 6).alias("intercept"))
 
 
+_LAG_FRAME = f"""f AS (SELECT entity, start_date, month, count AS target, {", ".join(f"lag(count, {i}) OVER w AS l{i}" for i in range(1, 7))} FROM panel
+      WINDOW w AS (PARTITION BY entity ORDER BY start_date)),
+    fr AS (SELECT * FROM f WHERE l6 IS NOT NULL AND start_date >= DATE '{TRAIN_START}' AND start_date < DATE '{TEST_END}'),
+    ex AS (SELECT entity, month, CAST(sum(target) AS DOUBLE) / count(*) AS e FROM fr WHERE start_date < DATE '{TRAIN_END}' GROUP BY 1, 2),
+    lab AS (SELECT fr.*, CASE WHEN target > e THEN 1 ELSE 0 END AS label, start_date < DATE '{TRAIN_END}' AS is_train FROM fr JOIN ex USING (entity, month)),
+    long AS (UNPIVOT lab ON l1, l2, l3, l4, l5, l6 INTO NAME lag VALUE x),
+    fit AS (SELECT lag, (sum(x * (2 * label - 1)) - sum(x) * sum(2 * label - 1) / count(*)) / (sum(x * x) - sum(x) * sum(x) / count(*) + 1.0) AS coef,
+        avg(x) AS mx, avg(2 * label - 1) AS my FROM long WHERE is_train GROUP BY 1),
+    scored AS (SELECT l.entity, l.start_date, l.lag, l.label, CASE WHEN my + coef * (x - mx) > 0 THEN 1 ELSE 0 END AS predicted FROM long l JOIN fit USING (lag) WHERE NOT is_train)"""
+
+
+@query(
+    "ml_3_ridge_one_lag", "ML-3 TGT-6",
+    "WITH " + _LAG_FRAME + " SELECT entity, start_date, CAST(label AS DOUBLE) AS ground_truth, CAST(predicted AS DOUBLE) AS predictions FROM scored WHERE lag = 'l1'",
+    uses="panel",
+)
+def _(t):
+    train, test = _labelled(t, "relative_binary")
+    scored = models.ridge_classifier(train, test, CASE_LAGS[:1], 2)
+    return scored.select("entity", "start_date", F.col("label").alias("ground_truth"), F.col("prediction").alias("predictions"))
+
+
 @query("ml_4_local_classifiers", "ML-4 SPL-5")
 def _(t):
     train, test = _labelled(t, "relative_binary")
@@ -159,6 +181,23 @@ def _cluster_forecast(t):
     return steps.select("nation", "entity", "start_date", "y", "mean", "q_0_1", "q_0_5", "q_0_9"), history
 
 
+@query(
+    "ml_8_one_lag_per_cluster", "ML-8",
+    """WITH l AS (SELECT e.nation, CAST(d.count AS DOUBLE) AS y, CAST(lag(d.count) OVER (PARTITION BY d.entity ORDER BY d.start_date) AS DOUBLE) AS x FROM dense d JOIN entities e USING (entity)),
+       s AS (SELECT nation, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) - sum(x) * sum(x) / count(*) AS sxx, sum(x * y) - sum(x) * sum(y) / count(*) AS sxy,
+           sum(y * y) - sum(y) * sum(y) / count(*) AS syy FROM l WHERE x IS NOT NULL GROUP BY 1),
+       f AS (SELECT *, sxy / (sxx + 1.0) AS b FROM s)
+       SELECT nation, n, round(b, 6) AS slope, round((sy - b * sx) / n, 6) AS intercept, round(sqrt((syy - 2 * b * sxy + b * b * sxx) / n), 6) AS sigma FROM f""",
+    uses="dense entities",
+)
+def _(t):
+    lagged = add_lags(t.dense, {"count": [1]}).filter(F.col("1_shifted_count").isNotNull())
+    rows = lagged.join(t.entities.select("entity", "nation"), "entity")
+    fit = linear.grouped_ridge(rows, ["nation"], ["1_shifted_count"], "count")
+    slope = F.get("coef", F.lit(0))
+    return fit.select("nation", "n", F.round(slope, 6).alias("slope"), F.round("intercept", 6).alias("intercept"), F.round("sigma", 6).alias("sigma"))
+
+
 @query("ml_8_model_per_cluster", "ML-8 AGG-24")
 def _(t):
     steps, history = _cluster_forecast(t)
@@ -254,6 +293,19 @@ def _(t):
     return sweep.scores(test, grid)
 
 
+@query(
+    "ml_13_single_lag_sweep", "ML-13 AGG-19",
+    "WITH " + _LAG_FRAME + """ SELECT 'lag' || lag[2:] AS model, label AS truth, predicted, count(*) AS n FROM scored GROUP BY 1, 2, 3""",
+    uses="panel",
+)
+def _(t):
+    train, test = splits.temporal_holdout(cut_lineage(_frame(t)), TRAIN_START, TRAIN_END, TEST_END)
+    a, b = targets.label_splits(train, test, "relative_binary")
+    coded = [df.withColumn("label", F.col("cat_target").cast("int")) for df in (a, b)]
+    sweep = sweeps.RidgeSweep(coded[0], CASE_LAGS, {"label": 2})
+    return sweep.confusion(coded[1], [sweeps.Model(f"lag{i}", (CASE_LAGS[i - 1],), "label") for i in range(1, 7)])
+
+
 @query("ml_13_lookback_sweep", "ML-13")
 def _(t):
     train, test = _sweep_frames(t, 24)

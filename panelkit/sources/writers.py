@@ -12,19 +12,13 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), mo
     df.write.mode(mode).partitionBy(*partition_by).parquet(path)
 
 
-def write_csv_per_entity(df: DataFrame, path: str, entity: str = "entity", files_per_entity: int = 1,
-                         spread_on: Sequence[str] = ()) -> None:
+def write_csv_per_entity(df: DataFrame, path: str, entity: str = "entity") -> None:
     """One folder of CSV per entity.
 
-    Rows are brought together by entity first, so each entity gets few files. With more than one
-    file per entity, rows spread over them by a hash of ``spread_on``.
+    Rows are rebalanced by entity, so most entities get one file and an entity with many rows is
+    split over several tasks and files.
     """
-    if files_per_entity > 1:
-        part = F.pmod(F.xxhash64(*spread_on), F.lit(files_per_entity))
-        placed = df.withColumn("_f", part).repartition(F.col(entity), F.col("_f")).drop("_f")
-    else:
-        placed = df.repartition(F.col(entity))
-    flat = placed.select(*[_as_text(df, c) for c in df.columns])
+    flat = df.select(*[_as_text(df, c) for c in df.columns]).hint("rebalance", entity)
     flat.write.mode("overwrite").option("header", True).partitionBy(entity).csv(path)
 
 
@@ -47,7 +41,7 @@ def consolidate_years(parts: DataFrame, path: str, year: str = "year", rows_per_
     limited by row count, so a year with most of the rows becomes many files.
     """
     done = years_present(parts.sparkSession, path)
-    todo = parts if done is None else parts.join(done, year, "left_anti")
+    todo = parts if done is None else parts.join(F.broadcast(done), year, "left_anti")  # one row per year
     todo.write.mode("append").option("maxRecordsPerFile", rows_per_file).partitionBy(year).parquet(path)
 
 

@@ -48,7 +48,7 @@ def test_result_tables_hold_the_expected_columns():
 def test_csv_per_entity_makes_one_folder_each(spark, rows):
     path = scratch_path(spark, "t-entity")
     df = spark.createDataFrame([("A", 1, [0.5]), ("B", 2, [1.0]), ("A", 3, [2.0])], "entity string, v int, p array<double>")
-    writers.write_csv_per_entity(df, path, files_per_entity=2, spread_on=["v"])
+    writers.write_csv_per_entity(df, path)
     back = readers.read_csv(spark, path, "v int, p string, entity string")
     assert rows(back, "entity", "v", "p") == [("A", 1, "[0.5]"), ("A", 3, "[2.0]"), ("B", 2, "[1.0]")]
 
