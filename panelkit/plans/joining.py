@@ -201,7 +201,7 @@ def _(t):
 
 
 @query(
-    "jon_14_dictionary_lookup", "JON-14",
+    "jon_14_dictionary_lookup", "JON-14 UDF-3",
     "SELECT c.entity, c.start_date, c.count, n.n_name AS cluster FROM counts c LEFT JOIN entities e USING (entity) LEFT JOIN nation n ON n.n_nationkey = e.nation AND e.balance >= 0",
     uses="counts entities",
 )

@@ -366,6 +366,28 @@ def _(t):
     return t.spark.createDataFrame(rows, "rung int, candidate int, resource int, step double, depth int, leaf int, balanced_accuracy double")
 
 
+@query(
+    "ml_16_one_feature_models", "ML-16",
+    f"""WITH j AS (SELECT p.entity, p.start_date, p.month, p.count, coalesce(q.volume, 0) AS volume, coalesce(q.top_price, 0) AS top_price, coalesce(q.low_tax, 0) AS low_tax
+           FROM panel p LEFT JOIN parameters q USING (entity, start_date)),
+      g AS (SELECT *, lag(volume) OVER w AS volume1, lag(top_price) OVER w AS top_price1, lag(low_tax) OVER w AS low_tax1, lag(count, 6) OVER w AS l6 FROM j WINDOW w AS (PARTITION BY entity ORDER BY start_date)),
+      fr AS (SELECT * FROM g WHERE l6 IS NOT NULL AND start_date >= DATE '{TRAIN_START}' AND start_date < DATE '{TEST_END}'),
+      ex AS (SELECT entity, month, CAST(sum(count) AS DOUBLE) / count(*) AS e FROM fr WHERE start_date < DATE '{TRAIN_END}' GROUP BY 1, 2),
+      lab AS (SELECT volume1, top_price1, low_tax1, CASE WHEN count > e THEN 1 ELSE 0 END AS label, start_date < DATE '{TRAIN_END}' AS is_train FROM fr JOIN ex USING (entity, month)),
+      long AS (UNPIVOT lab ON volume1, top_price1, low_tax1 INTO NAME model VALUE x),
+      fit AS (SELECT model, (sum(x * (2 * label - 1)) - sum(x) * sum(2 * label - 1) / count(*)) / (sum(x * x) - sum(x) * sum(x) / count(*) + 1.0) AS coef, avg(x) AS mx, avg(2 * label - 1) AS my
+        FROM long WHERE is_train GROUP BY 1)
+      SELECT left(model, length(model) - 1) AS model, label AS truth, CASE WHEN my + coef * (x - mx) > 0 THEN 1 ELSE 0 END AS predicted, count(*) AS n
+      FROM long JOIN fit USING (model) WHERE NOT is_train GROUP BY 1, 2, 3""",
+    uses="panel parameters",
+)
+def _(t):
+    train, test = _covariate_rows(t)
+    names = [lag_name(1, c) for c in COVARIATES]
+    sweep = sweeps.RidgeSweep(train, names, {"label": 2})
+    return sweep.confusion(test, [sweeps.Model(c, (lag_name(1, c),), "label") for c in COVARIATES])
+
+
 @query("ml_16_model_per_feature", "ML-16")
 def _(t):
     train, test = _covariate_rows(t)
