@@ -22,6 +22,11 @@ def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="features").transform(df)
 
 
+def training_rows(df: DataFrame, features: Sequence[str], *columns: str) -> DataFrame:
+    """Feature vectors written once, as every fit passes over them many times."""
+    return cut_lineage(assemble(df, features).select("features", *columns))
+
+
 def robust_scale(train: DataFrame, others: Sequence[DataFrame], columns: Sequence[str]) -> list[DataFrame]:
     """Center on the median and divide by the quartile range, both from the training rows.
 
@@ -47,7 +52,7 @@ def tree_classifier(
     depth: int = 4, seed: int = 42,
 ) -> DataFrame:
     """Boosted trees for two classes, a forest for three, with balanced class weights."""
-    weighted = assemble(class_weights(train, label), features)
+    weighted = training_rows(class_weights(train, label), features, label, "weight")
     common = {"labelCol": label, "weightCol": "weight", "maxDepth": depth, "seed": seed}
     if classes == 2:
         model = GBTClassifier(maxIter=iterations, **common).fit(weighted)
@@ -64,9 +69,9 @@ def ridge_classifier(
 
     MLlib divides the penalty by the deviation of the label, so it is multiplied in beforehand.
     """
-    counts = {int(r[label]): r["count"] for r in train.groupBy(label).count().collect()}  # one row per class
+    packed = training_rows(train, features, label)
+    counts = {int(r[label]): r["count"] for r in packed.groupBy(label).count().collect()}  # one row per class
     n = sum(counts.values())
-    packed = assemble(train, features)
     scored = assemble(test, features)
     for k in range(classes):
         side = packed.withColumn("_y", F.when(F.col(label) == k, 1.0).otherwise(-1.0))
@@ -83,21 +88,24 @@ def ridge_classifier(
 
 
 def poisson_regression(train: DataFrame, test: DataFrame, features: Sequence[str], label: str = "label", l2: float = 0.01) -> DataFrame:
-    fit = GeneralizedLinearRegression(family="poisson", link="log", labelCol=label, regParam=l2, maxIter=25).fit(assemble(train, features))
+    fit = GeneralizedLinearRegression(family="poisson", link="log", labelCol=label, regParam=l2, maxIter=25).fit(
+        training_rows(train, features, label)
+    )
     return fit.transform(assemble(test, features)).drop("features")
 
 
 def presence_model(rows: DataFrame, features: Sequence[str], label: str = "presence") -> DataFrame:
     """Probability of presence from histogram features."""
-    packed = assemble(rows, features)
-    fit = LogisticRegression(labelCol=label, regParam=0.01, maxIter=50).fit(packed)
-    out = fit.transform(packed)
+    fit = LogisticRegression(labelCol=label, regParam=0.01, maxIter=50).fit(training_rows(rows, features, label))
+    out = fit.transform(assemble(rows, features))
     return out.withColumn("probability", F.get(vector_to_array("probability"), F.lit(1))).drop("features", "rawPrediction")
 
 
 def flat_clusters(series: DataFrame, values: str, k: int = 10, entity: str = "entity", seed: int = 42) -> DataFrame:
     """``k`` clusters of the series vectors."""
-    packed = series.select(entity, array_to_vector(F.transform(values, lambda x: x.cast("double"))).alias("features"))
+    packed = cut_lineage(
+        series.select(entity, array_to_vector(F.transform(values, lambda x: x.cast("double"))).alias("features"))
+    )
     return KMeans(k=k, seed=seed, maxIter=20).fit(packed).transform(packed).select(entity, F.col("prediction").alias("cluster"))
 
 

@@ -9,7 +9,7 @@ from .registry import ENTRIES, callables, oracles
 _MODULES = (
     # one module per group of the inventory
     "flagship", "scans", "projections", "joining", "aggregates", "windows", "top_k", "sets", "scalars", "calendar",
-    "labels_splits", "modelling", "reporting",
+    "labels_splits", "modelling", "reporting", "whole_runs",
 )
 
 
