@@ -338,7 +338,7 @@ FORECAST_SQL = """cut AS (SELECT entity, start_date, CAST(count AS DOUBLE) AS y,
         CAST(lag(count, 12) OVER w AS DOUBLE) AS mean, row_number() OVER (PARTITION BY entity ORDER BY start_date DESC) AS back
       FROM dense WINDOW w AS (PARTITION BY entity ORDER BY start_date)),
     spread AS (SELECT entity, quantile_cont(y - mean, [0.1, 0.5, 0.9, 0.025, 0.975]) AS q FROM cut WHERE back > 3 AND mean IS NOT NULL GROUP BY 1),
-    steps AS (SELECT c.entity, c.start_date, 3 - c.back AS step, c.y, c.mean, c.mean + q[1] AS q_0_1, c.mean + q[2] AS q_0_5, c.mean + q[3] AS q_0_9,
+    steps AS (SELECT c.entity, c.start_date, CAST(3 - c.back AS INTEGER) AS step, c.y, c.mean, c.mean + q[1] AS q_0_1, c.mean + q[2] AS q_0_5, c.mean + q[3] AS q_0_9,
         c.mean + q[4] AS q_0_025, c.mean + q[5] AS q_0_975 FROM cut c JOIN spread s USING (entity) WHERE back <= 3)"""
 
 _ITEM = FORECAST_SQL + """, season AS (SELECT entity, avg(abs(y - mean)) AS seasonal_error FROM cut WHERE back > 3 GROUP BY 1),

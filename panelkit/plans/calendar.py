@@ -35,7 +35,7 @@ def _(t):
 @query(
     "cal_3_explode_units", "CAL-3 UDF-4",
     f"""WITH {_RANGES}, c AS (SELECT entity, b, CAST(unnest(generate_series(a, b, INTERVAL 1 MONTH)) AS DATE) AS unit_start FROM r)
-        SELECT entity, row_number() OVER (PARTITION BY entity ORDER BY unit_start) - 1 AS unit_no, unit_start, CAST(unit_start + INTERVAL 1 MONTH AS DATE) AS unit_end
+        SELECT entity, CAST(row_number() OVER (PARTITION BY entity ORDER BY unit_start) - 1 AS INTEGER) AS unit_no, unit_start, CAST(unit_start + INTERVAL 1 MONTH AS DATE) AS unit_end
         FROM c WHERE unit_start < b""",
     uses="counts",
 )

@@ -213,7 +213,7 @@ def _(t):
 _KNN = """v AS (SELECT vec_id AS id, embedding FROM embeddings),
     p AS (SELECT a.id AS i, b.id AS j, sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding),
         lambda z: pow(CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE), 2)))) AS distance FROM v a CROSS JOIN v b),
-    near AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY distance, j) AS rank FROM p QUALIFY rank <= 15)"""
+    near AS (SELECT *, CAST(row_number() OVER (PARTITION BY i ORDER BY distance, j) AS INTEGER) AS rank FROM p QUALIFY rank <= 15)"""
 
 
 def _neighbour_lists(t):

@@ -267,7 +267,7 @@ def _(t):
 
 @query(
     "flt_7_complete_lists", "FLT-7 AGG-6",
-    """SELECT entity, count(*) AS n, sum(count) AS total FROM counts GROUP BY 1
+    """SELECT entity, count(*) AS n, CAST(sum(count) AS BIGINT) AS total FROM counts GROUP BY 1
        HAVING count(*) = (SELECT count(DISTINCT start_date) FROM counts)""",
     uses="counts",
 )

@@ -32,7 +32,7 @@ def _(t):
     "res_2_forecast_rows", "RES-2",
     """SELECT 'run1' AS model_id, 'task1' AS task_id, CAST(entity AS VARCHAR) AS muni_id, min(start_date) OVER (PARTITION BY entity) AS start_date,
          CAST(min(start_date) OVER (PARTITION BY entity) + to_months(CAST(row_number() OVER (PARTITION BY entity ORDER BY start_date) - 1 AS INTEGER)) AS DATE) AS predict_date,
-         row_number() OVER (PARTITION BY entity ORDER BY start_date) - 1 AS step, 'M' AS time_unit, CAST(count AS DOUBLE) AS mean FROM dense""",
+         CAST(row_number() OVER (PARTITION BY entity ORDER BY start_date) - 1 AS SMALLINT) AS step, 'M' AS time_unit, CAST(count AS DOUBLE) AS mean FROM dense""",
     uses="dense",
 )
 def _(t):
@@ -63,7 +63,7 @@ _CONFIG = {
 @query(
     "res_4_run_table", "RES-4",
     """SELECT 'nation' || e.nation AS model_id, 'task1' AS task_id, 'seasonal' AS model_type, CAST(max(c.start_date) - INTERVAL 24 MONTH AS TIMESTAMP) AS train_limit,
-         CAST(max(c.start_date) - INTERVAL 12 MONTH AS TIMESTAMP) AS valid_limit, CAST(max(c.start_date) AS TIMESTAMP) AS test_limit, 1024 AS batch_size, 3 AS prediction_length, 10 AS train_epochs,
+         CAST(max(c.start_date) - INTERVAL 12 MONTH AS TIMESTAMP) AS valid_limit, CAST(max(c.start_date) AS TIMESTAMP) AS test_limit, 1024 AS batch_size, 3::SMALLINT AS prediction_length, 10::SMALLINT AS train_epochs,
          '1M' AS frequency, 'x,y' AS static_features, 'volume' AS dynamic_features, '{''context_length'': 24}' AS model_args
        FROM counts c JOIN entities e USING (entity) GROUP BY e.nation""",
     uses="counts entities",

@@ -37,8 +37,8 @@ def _(t):
 
 @query(
     "scl_4_extract_numbers", "SCL-4 UDF-5",
-    """SELECT event_id, list_sum(list_transform(regexp_extract_all(' ' || printf('%.2f', value) || ' ' || printf('%.2f', value + 1.5), '\\s[0-9]*\\.[0-9]*'),
-         lambda x: CAST(round(CAST(trim(x) AS DOUBLE) * 100) AS BIGINT))) AS cents FROM events""",
+    """SELECT event_id, CAST(list_sum(list_transform(regexp_extract_all(' ' || printf('%.2f', value) || ' ' || printf('%.2f', value + 1.5), '\\s[0-9]*\\.[0-9]*'),
+         lambda x: CAST(round(CAST(trim(x) AS DOUBLE) * 100) AS BIGINT))) AS BIGINT) AS cents FROM events""",
 )
 def _(t):
     written = F.concat(F.lit(" "), F.format_string("%.2f", "value"), F.lit(" "), F.format_string("%.2f", F.col("value") + 1.5))
@@ -125,7 +125,7 @@ def _(t):
     "scl_13_rank_quantile_cut", "SCL-13 WIN-8",
     """WITH r AS (SELECT entity, start_date, count, row_number() OVER (PARTITION BY entity, month ORDER BY count, start_date) AS rank FROM panel),
        q AS (SELECT quantile_cont(rank, [0.1, 0.3, 0.5]) AS b FROM r)
-       SELECT entity, start_date, count, rank, CASE WHEN rank <= b[1] THEN 'low' WHEN rank <= b[2] THEN 'medium' WHEN rank <= b[3] THEN 'high' ELSE 'very_high' END AS qcut FROM r, q""",
+       SELECT entity, start_date, count, CAST(rank AS INTEGER) AS rank, CASE WHEN rank <= b[1] THEN 'low' WHEN rank <= b[2] THEN 'medium' WHEN rank <= b[3] THEN 'high' ELSE 'very_high' END AS qcut FROM r, q""",
     uses="panel",
 )
 def _(t):
@@ -147,8 +147,8 @@ def _(t):
 
 @query(
     "scl_15_list_functions", "SCL-15",
-    """SELECT vec_id, len(embedding) AS n, CAST(embedding[64] AS DOUBLE) AS first_reversed, CAST(embedding[2] AS DOUBLE) AS second,
-         len(list_concat(embedding[1:3], embedding[1:5])) AS joined, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) AS total FROM embeddings""",
+    """SELECT vec_id, CAST(len(embedding) AS INTEGER) AS n, CAST(embedding[64] AS DOUBLE) AS first_reversed, CAST(embedding[2] AS DOUBLE) AS second,
+         CAST(len(list_concat(embedding[1:3], embedding[1:5])) AS INTEGER) AS joined, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) AS total FROM embeddings""",
 )
 def _(t):
     e = F.col("embedding")

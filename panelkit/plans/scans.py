@@ -158,7 +158,7 @@ def _forecasts(t):
 
 _FORECAST_SQL = """SELECT 'run1' AS model_id, 'task1' AS task_id, CAST(entity AS VARCHAR) AS muni_id,
     CAST(first AS TIMESTAMP) AS start_date, CAST(first + to_months(CAST(n AS INTEGER)) AS TIMESTAMP) AS predict_date,
-    n AS step, 'M' AS time_unit, CAST(count AS DOUBLE) AS mean
+    CAST(n AS SMALLINT) AS step, 'M' AS time_unit, CAST(count AS DOUBLE) AS mean
     FROM (SELECT *, min(start_date) OVER (PARTITION BY entity) AS first,
             row_number() OVER (PARTITION BY entity ORDER BY start_date) - 1 AS n FROM counts)"""
 

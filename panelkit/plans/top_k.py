@@ -31,7 +31,7 @@ _BOTH = ", both_ways AS (SELECT i, j, corr FROM corrs WHERE corr IS NOT NULL UNI
 
 @query(
     "srt_3_top_nine", "SRT-3",
-    "WITH " + _CORR + _BOTH + """ SELECT i, j, round(corr, 9) AS corr, row_number() OVER (PARTITION BY i ORDER BY corr DESC, j) AS rank
+    "WITH " + _CORR + _BOTH + """ SELECT i, j, round(corr, 9) AS corr, CAST(row_number() OVER (PARTITION BY i ORDER BY corr DESC, j) AS INTEGER) AS rank
       FROM both_ways QUALIFY rank <= 9""",
     uses="dense",
 )
@@ -73,7 +73,7 @@ def _distances(t):
 
 @query(
     "srt_6_partner_path", "SRT-6",
-    "WITH " + _PLACES + ", " + _NINE + " SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY distance, j) AS step, round(distance, 6) AS distance FROM dist",
+    "WITH " + _PLACES + ", " + _NINE + " SELECT i, j, CAST(row_number() OVER (PARTITION BY i ORDER BY distance, j) AS INTEGER) AS step, round(distance, 6) AS distance FROM dist",
     uses="dense line_list",
 )
 def _(t):

@@ -100,7 +100,7 @@ def _(t):
 
 @query(
     "win_8_ordinal_rank", "WIN-8",
-    """SELECT entity, start_date, month, count, row_number() OVER (PARTITION BY entity, month ORDER BY count, start_date) AS rank FROM panel""",
+    """SELECT entity, start_date, month, count, CAST(row_number() OVER (PARTITION BY entity, month ORDER BY count, start_date) AS INTEGER) AS rank FROM panel""",
     uses="panel",
 )
 def _(t):
