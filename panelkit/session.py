@@ -52,13 +52,28 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/panelkit/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def cut_lineage(df: DataFrame, name: str = "frame") -> DataFrame:
+    """Write ``df`` as parquet to the shared folder and read it back.
 
-    The written files outlive lost executors, so later stages never recompute what came
-    before, and values that depend on row order are fixed once.
+    The written files outlive lost executors, so later stages never recompute what came before, values that
+    depend on row order are fixed once, and later scans read only the columns they need.
     """
-    shared_dir(df.sparkSession)
-    if df.sparkSession.sparkContext.getCheckpointDir() is None:
-        df.sparkSession.sparkContext.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    _WRITTEN.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+#: Scratch folders this process has written through ``cut_lineage``.
+_WRITTEN: list[str] = []
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete what ``cut_lineage`` wrote, once no result that reads it is needed; returns how many folders."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    dropped = 0
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        dropped += bool(path.getFileSystem(conf).delete(path, True))
+    return dropped
