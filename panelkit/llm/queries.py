@@ -6,6 +6,9 @@ from importlib import import_module
 
 #: query -> (module, oracle name or None); the function has the query's name.
 _QUERIES = {
+    "op2_token_counts": ("token_counts", None),
+    "op4_quality_rules": ("quality_rules", None),
+    "op7_packing": ("packing", None),
     "op9_fingerprints": ("fingerprints", None),
     "op10_source_mix": ("mixing", "OP10_SQL"),
 }
