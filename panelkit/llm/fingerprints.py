@@ -77,7 +77,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def with_neighbours(rows: DataFrame, key: list[str], carry: str, tasks: int) -> DataFrame:
-    """``key, carry`` of unique rows -> with ``prev_<key>, prev_<carry>`` of the row before in key order, the last
+    """``key, carry`` of unique rows (no nulls) -> with ``prev_<key>, prev_<carry>`` of the row before in key order, the last
     one's before the first. Range partitions are numbered and ordered apart; only their ends meet in one task."""
     ranged = rows.repartitionByRange(tasks, *key).withColumn("part", F.spark_partition_id())
     ranged = cut_lineage(ranged, "ranged")
@@ -98,18 +98,19 @@ def neighbour_edits(docs: DataFrame, **options) -> DataFrame:
     null doc_id comes first, a null text is empty. One shuffle of the texts by id, one of the heads of texts to
     the document before.
     """
-    rows = docs.select("doc_id", text_of().alias("text")).withColumn("tie", F.xxhash64("text"))
-    key = ["doc_id", "tie"]
-    rows = rows.dropDuplicates(key)
+    null_first = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))  # plain keys: one partitioning serves all joins
+    tie = F.xxhash64(F.col("doc_id").isNull(), text_of()).alias("tie")
+    key = ["place", "tie"]
+    rows = docs.select("doc_id", null_first.alias("place"), tie, text_of().alias("text")).dropDuplicates(key)
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    links = with_neighbours(docs.select("doc_id", F.xxhash64(text_of()).alias("tie"), F.char_length(text_of()).alias("n")).distinct(), key, "n", tasks)
-    same = F.expr("a.doc_id <=> b.doc_id and a.tie = b.tie")
-    linked = rows.alias("a").join(links.alias("b"), same).select("a.*", "prev_doc_id", "prev_tie", "prev_n")
+    links = docs.select(null_first.alias("place"), tie, F.char_length(text_of()).alias("n")).distinct()
+    links = with_neighbours(links, key, "n", tasks)
+    linked = rows.join(links, key)
     heads = linked.select(
-        F.col("prev_doc_id").alias("doc_id"), F.col("prev_tie").alias("tie"),
+        F.col("prev_place").alias("place"), F.col("prev_tie").alias("tie"),
         F.expr("left(text, int(prev_n div 2))").alias("head"), hashes_of(winnowed(F.col("text"), **options)).alias("next_hashes"),
     )
-    met = rows.alias("a").join(heads.alias("b"), same).select("a.doc_id", "text", "head", "next_hashes")
+    met = rows.join(heads, key)
     n = F.char_length("text")
     edited = F.concat(F.left("text", (n - F.floor(n / 2)).cast("int")), F.col("head"))
     made = met.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), winnowed(F.col("text"), **options).alias("own"), "next_hashes")
