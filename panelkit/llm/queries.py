@@ -8,6 +8,7 @@ from importlib import import_module
 _QUERIES = {
     "op2_token_counts": ("token_counts", None),
     "op4_quality_rules": ("quality_rules", None),
+    "op6_toxicity": ("toxicity", None),
     "op7_packing": ("packing", None),
     "op9_fingerprints": ("fingerprints", None),
     "op10_source_mix": ("mixing", "OP10_SQL"),
