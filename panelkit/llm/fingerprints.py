@@ -98,19 +98,19 @@ def neighbour_edits(docs: DataFrame, **options) -> DataFrame:
     null doc_id comes first, a null text is empty. One shuffle of the texts by id, one of the heads of texts to
     the document before.
     """
-    null_first = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))  # plain keys: one partitioning serves all joins
-    tie = F.xxhash64(F.col("doc_id").isNull(), text_of()).alias("tie")
-    key = ["place", "tie"]
-    rows = docs.select("doc_id", null_first.alias("place"), tie, text_of().alias("text")).dropDuplicates(key)
+    # plain keys without nulls, all of them used on every side: one shuffle by key serves all joins
+    present, place = F.col("doc_id").isNotNull().alias("present"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("place")
+    key = ["present", "place", "tie"]
+    rows = docs.select(present, place, F.xxhash64(text_of()).alias("tie"), text_of().alias("text")).dropDuplicates(key)
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    links = docs.select(null_first.alias("place"), tie, F.char_length(text_of()).alias("n")).distinct()
+    links = docs.select(present, place, F.xxhash64(text_of()).alias("tie"), F.char_length(text_of()).alias("n")).distinct()
     links = with_neighbours(links, key, "n", tasks)
     linked = rows.join(links, key)
     heads = linked.select(
-        F.col("prev_place").alias("place"), F.col("prev_tie").alias("tie"),
+        *[F.col(f"prev_{k}").alias(k) for k in key],
         F.expr("left(text, int(prev_n div 2))").alias("head"), hashes_of(winnowed(F.col("text"), **options)).alias("next_hashes"),
     )
-    met = rows.join(heads, key)
+    met = rows.join(heads, key).withColumn("doc_id", F.when(F.col("present"), F.col("place")).cast(docs.schema["doc_id"].dataType))
     n = F.char_length("text")
     edited = F.concat(F.left("text", (n - F.floor(n / 2)).cast("int")), F.col("head"))
     made = met.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), winnowed(F.col("text"), **options).alias("own"), "next_hashes")
