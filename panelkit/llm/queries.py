@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: query -> (module, oracle name or None); the function has the query's name.
 _QUERIES = {
+    "op1_substring_dedup": ("substrings", None),
     "op2_token_counts": ("token_counts", None),
     "op4_quality_rules": ("quality_rules", None),
     "op6_toxicity": ("toxicity", None),
