@@ -9,6 +9,7 @@ _QUERIES = {
     "op1_substring_dedup": ("substrings", None),
     "op2_token_counts": ("token_counts", None),
     "op4_quality_rules": ("quality_rules", None),
+    "op5_jaccard_join": ("jaccard", None),
     "op6_toxicity": ("toxicity", None),
     "op7_packing": ("packing", None),
     "op9_fingerprints": ("fingerprints", None),

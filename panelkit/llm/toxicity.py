@@ -15,7 +15,7 @@ from .columns import free_name, read
 from .textarrays import Block, blocks, mix
 
 #: Labelled documents of each class the field is fitted on at most, those with the lowest hash of their id.
-SAMPLE = 1_500
+SAMPLE = 1_000
 #: Words of a chain while fitting; documents are scored as one chain each.
 FIT_CHAIN = 256
 #: Bytes of text whose chains step together.
