@@ -8,10 +8,12 @@ from importlib import import_module
 _QUERIES = {
     "op1_substring_dedup": ("substrings", None),
     "op2_token_counts": ("token_counts", None),
+    "op3_quality_resampling": ("resampling", None),
     "op4_quality_rules": ("quality_rules", None),
     "op5_jaccard_join": ("jaccard", None),
     "op6_toxicity": ("toxicity", None),
     "op7_packing": ("packing", None),
+    "op8_warc_revisits": ("revisits", "OP8_SQL"),
     "op9_fingerprints": ("fingerprints", None),
     "op10_source_mix": ("mixing", "OP10_SQL"),
 }
