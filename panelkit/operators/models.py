@@ -33,7 +33,7 @@ def robust_scale(train: DataFrame, others: Sequence[DataFrame], columns: Sequenc
     A column without spread is only centered. Returns the training frame and the others, scaled.
     """
     long = train.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "column", "x")
-    fitted = exact_quantiles(long, ["column"], "x", {"q1": 0.25, "q2": 0.5, "q3": 0.75})
+    fitted = exact_quantiles(long, ["column"], "x", {"q1": 0.25, "q2": 0.5, "q3": 0.75}, large=True)
     table = fitted.agg(F.map_from_entries(F.collect_list(F.struct("column", F.struct("q1", "q2", "q3"))))).scalar()
     done = []
     for df in (train, *others):

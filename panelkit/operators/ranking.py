@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..session import cut_lineage
 from .joins import salted_join
 
 
@@ -14,44 +15,26 @@ def ordinal_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column | st
     return df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
 
 
-def _order_bucket(df: DataFrame, column: str, buckets: int) -> Column:
-    """A bucket number, or prefix, that rises with the column."""
-    kind = df.schema[column].dataType
-    if isinstance(kind, T.StringType):
-        return F.substring(column, 1, 2)
-    if isinstance(kind, (T.DateType,)):
-        return F.col(column)
-    low = df.agg(F.min(F.col(column).cast("double"))).scalar()
-    high = df.agg(F.max(F.col(column).cast("double"))).scalar()
-    share = F.try_divide(F.col(column).cast("double") - low, high - low)
-    return F.least(F.floor(F.coalesce(share, F.lit(0.0)) * buckets), F.lit(buckets - 1))
+def global_position(df: DataFrame, first: str, rest: Sequence[str] = (), name: str = "position") -> DataFrame:
+    """1-based position over the whole table ordered by ``first`` then ``rest``, nulls first, columns of any type.
 
-
-def global_position(
-    df: DataFrame, first: str, rest: Sequence[str] = (), name: str = "position", buckets: int = 1024
-) -> DataFrame:
-    """1-based position over the whole table ordered by ``first`` then ``rest``.
-
-    Rows are numbered inside ordered buckets of ``first`` (split further by a bucket of the next
-    column) and shifted by the number of rows in earlier buckets, so the only window without a
-    partition runs over one row per bucket.
+    Spark cuts the table into ranges of even size by a sample of all order columns, whatever their values look
+    like; rows are numbered inside a range and shifted by the rows of earlier ranges. The ranges are written once, so
+    that a rerun task finds the same. The only window without a partition runs over one row per range.
     """
-    bucketed = df.withColumn("_b", _order_bucket(df, first, buckets))
-    parts = ["_b"]
-    if isinstance(df.schema[first].dataType, T.DateType) and rest:
-        bucketed = bucketed.withColumn("_c", _order_bucket(df, rest[0], buckets))
-        parts.append("_c")
-    sizes = bucketed.groupBy(*parts).agg(F.count("*").alias("_n"))
-    before = W.orderBy(*parts).rowsBetween(W.unboundedPreceding, -1)
-    starts = sizes.select(*parts, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = F.row_number().over(W.partitionBy(*parts).orderBy(first, *rest))
-    return bucketed.join(starts, parts).withColumn(name, F.col("_start") + inside).drop(*parts, "_start")
+    ranged = df.repartitionByRange(first, *rest).withColumn("_b", F.spark_partition_id())
+    ranged = cut_lineage(ranged, "ranges")
+    sizes = ranged.groupBy("_b").agg(F.count("*").alias("_n"))
+    before = W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(W.partitionBy("_b").orderBy(first, *rest))
+    return ranged.join(starts, "_b").withColumn(name, F.col("_start") + inside).drop("_b", "_start")
 
 
 def dense_code(df: DataFrame, column: str, name: str = "code") -> DataFrame:
-    """Dense rank of an id over the table: distinct ids are ranked, then joined back."""
+    """Dense rank of an id over the table: distinct ids are ranked, then joined back, rows of hot ids spread."""
     ids = global_position(df.select(column).filter(F.col(column).isNotNull()).distinct(), column, name=name)
-    return df.join(ids, column, "left")
+    return salted_join(df, ids, [column], df.columns, how="left")
 
 
 def exact_quantiles(
@@ -60,27 +43,22 @@ def exact_quantiles(
     value: str,
     probs: dict[str, float],
     weight: str | None = None,
-    most: int = 200_000,
+    large: bool = False,
 ) -> DataFrame:
     """Exact quantiles of groups of any size.
 
     Without a weight, quantiles are interpolated between neighbouring ranks. With one, the
     quantile is the first value whose running weight reaches the share of the total.
 
-    Groups of up to ``most`` rows (or a millionth of all rows) are ordered in one task each. The
-    keys of larger groups, a million at the most, are broadcast to set their rows apart, and those
-    groups are spread over many tasks.
+    ``large`` tells how the groups are handled: each ordered in one task, which suits many groups of bounded size, or
+    each spread over many tasks, which suits few groups of any size. Without ``keys`` the table is one large group.
     """
     keys, weighted = list(keys), weight is not None
     picked = [F.col(value).cast("double").alias("_v"), *([F.col(weight).alias("_w")] if weighted else [])]
     known = df.filter(F.col(value).isNotNull()).select(*keys, *picked)
-    if not keys:
+    if large or not keys:
         return _spread_quantiles(known, keys, probs, weighted)
-    limit = known.agg(F.greatest(F.lit(most), F.ceil(F.count("*") / F.lit(1_000_000)))).scalar()
-    large = known.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit).select(*keys)
-    small = known.join(F.broadcast(large), keys, "left_anti")
-    big = known.join(F.broadcast(large), keys, "left_semi")
-    return _task_quantiles(small, keys, probs, weighted).unionByName(_spread_quantiles(big, keys, probs, weighted))
+    return _task_quantiles(known, keys, probs, weighted)
 
 
 def _task_quantiles(known: DataFrame, keys: list[str], probs: dict[str, float], weighted: bool) -> DataFrame:
@@ -106,8 +84,9 @@ def _spread_quantiles(
     a third of all rows, or values crowded beside far outliers, is spread over many tasks.
     """
     amount = F.sum("_w") if weighted else F.count("*")
-    merged = known.groupBy(*keys, "_v").agg(amount.alias("_w"))
-    low, high = known.agg(F.min("_v")).scalar(), known.agg(F.max("_v")).scalar()
+    merged = cut_lineage(known.groupBy(*keys, "_v").agg(amount.alias("_w")), "values")
+    ends = merged.agg(F.min("_v"), F.max("_v")).first()
+    low, high = (F.lit(x).cast("double") for x in ends)
     merged = merged.withColumn("_b", _bucket(low, high, buckets))
 
     outer = merged.groupBy(*keys, "_b").agg(

@@ -45,6 +45,7 @@ class Model:
     features: tuple[str, ...]
     label: str
     fold: int = 0
+    alpha: float | None = None
 
 
 class RidgeSweep:
@@ -70,7 +71,7 @@ class RidgeSweep:
         g = sum(m for b, m in self._gram.items() if model.fold == 0 or b < model.fold)
         used = [self._at[c] for c in model.features]
         outputs = [self._at[self._indicator[model.label, k]] for k in range(self.labels[model.label])]
-        coef, intercept = solve(g, used, outputs, self.alpha)
+        coef, intercept = solve(g, used, outputs, self.alpha if model.alpha is None else model.alpha)
         full = np.zeros((len(self.features), len(outputs)))
         full[[i - 1 for i in used]] = coef
         return full, intercept
@@ -140,11 +141,12 @@ def halving_schedule(candidates: int, start: int, most: int, factor: int = 2) ->
 
 
 def random_candidates(n: int, seed: int = 42) -> list[dict]:
-    """Learning rate log-uniform in 0.0001..0.1, leaves and leaf size uniform over whole numbers."""
+    """Learning rate log-uniform in 0.0001..0.1, leaves, rows of a leaf and penalty uniform (fixed ranges). The depth is the
+    least that gives a tree so many leaves."""
     rng = random.Random(seed)
     return [
         {
-            "step": 10 ** rng.uniform(-4, -1), "depth": max(1, min(6, rng.randint(1, 100).bit_length())),
+            "step": 10 ** rng.uniform(-4, -1), "depth": max(1, (rng.randint(1, 100) - 1).bit_length()),
             "leaf": rng.randint(20, 250),
         }
         for _ in range(n)

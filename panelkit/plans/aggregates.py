@@ -15,6 +15,7 @@ from ..operators.series import collect_series
 from ..operators.splits import zero_entities
 from ..operators.targets import expectations, risk_bands
 from .joining import _LAGGED, lagged_series
+from ..session import cut_lineage
 from .registry import query
 from .standins import TRAIN_END
 
@@ -247,10 +248,10 @@ def _(t):
     uses="dense",
 )
 def _(t):
-    lists = collect_series(t.dense, ["count"])
-    pairs = association.pairwise_corr(lists, "count")
-    plain = association.mean_pairwise(pairs)
-    cells = association.mean_pairwise(pairs, lists, over_all_cells=True)
+    lists = cut_lineage(collect_series(t.dense, ["count"]), "series")
+    sums = cut_lineage(association.corr_sums(lists, "count"), "sums")
+    plain = association.mean_pairwise(sums)
+    cells = association.mean_pairwise(sums, lists, over_all_cells=True)
     return plain.select(F.round("mean_corr", 9).alias("mean_corr"), "n_pairs").join(
         cells.select(F.round("mean_corr", 9).alias("mean_all_cells"), "n_pairs"), "n_pairs"
     )

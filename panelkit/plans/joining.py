@@ -216,8 +216,9 @@ _KNN = """v AS (SELECT vec_id AS id, embedding FROM embeddings),
     near AS (SELECT *, CAST(row_number() OVER (PARTITION BY i ORDER BY distance, j) AS INTEGER) AS rank FROM p QUALIFY rank <= 15)"""
 
 
-def _neighbour_lists(t):
-    near = nearest(t.embeddings.select(F.col("vec_id").alias("entity"), "embedding"), "embedding", 15)
+def _neighbour_lists(t, chosen=None):
+    """Neighbour lists of all vectors, or of the chosen ones, which alone are then compared with all."""
+    near = nearest(t.embeddings.select(F.col("vec_id").alias("entity"), "embedding", "label"), "embedding", 15, chosen=chosen)
     return near.groupBy(F.col("i").alias("entity")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "j"))), lambda x: x["j"]).alias("indices")
     )
@@ -253,8 +254,7 @@ def _(t):
        (SELECT j FROM near JOIN embeddings e ON e.vec_id = near.i WHERE e.label = 3)""",
 )
 def _(t):
-    lists = _neighbour_lists(t)
-    chosen = lists.join(t.embeddings.filter(F.col("label") == 3).select(F.col("vec_id").alias("entity")), "entity", "left_semi")
+    chosen = _neighbour_lists(t, F.col("label") == 3)
     rows = t.embeddings.select(F.col("vec_id").alias("entity"), "label")
     out = joins.neighbour_rows(rows, chosen, F.lit(True), "entity", "indices")
     return out.select(F.col("entity").alias("vec_id"), "label")

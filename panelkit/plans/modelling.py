@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Window as W, functions as F
 
@@ -167,18 +168,44 @@ def _(t):
     return reduce(lambda a, b: a.unionByName(b), scores)
 
 
-def _cluster_forecast(t):
-    """One ridge per cluster (nation), its one-step forecasts of the last 3 months and their quantiles."""
-    lagged = add_lags(t.dense, {"count": range(1, 13)})
-    names = [lag_name(i, "count") for i in range(1, 13)]
-    rows = drop_any_null(splits.evaluation_cut(lagged, 3), names).join(t.entities.select("entity", "nation"), "entity")
-    history = rows.filter(F.col("part") == "history")
+def _cluster_forecast(t, lags: int = 12):
+    """One ridge per cluster (nation) on the history, rolled 3 months past its end on its own forecasts, with quantiles."""
+    lagged = add_lags(t.dense, {"count": range(1, lags + 1)})
+    names = [lag_name(i, "count") for i in range(1, lags + 1)]
+    rows = cut_lineage(splits.evaluation_cut(lagged, 3).join(t.entities.select("entity", "nation"), "entity"), "cut")
+    history, truth = drop_any_null(rows.filter(F.col("part") == "history"), names), rows.filter(F.col("part") == "truth")
     fitted = linear.grouped_ridge(history, ["nation"], names, "count")
-    truth = salted_join(rows.filter(F.col("part") == "truth"), fitted, ["nation"], ["entity", "start_date"])
-    steps = truth.withColumns({"mean": linear.predict_linear(names), "y": F.col("count").cast("double")})
+    newest = F.array(*[F.col(c).cast("double") for c in ["count", *names][:lags]])
+    state = history.groupBy("nation", "entity").agg(F.max_by(newest, "start_date").alias("recent"))
+    state = salted_join(state, fitted, ["nation"], ["entity"])
+    for step in (1, 2, 3):
+        dot = F.aggregate(F.zip_with("recent", "coef", lambda x, c: x * c), F.lit(0.0), lambda total, x: total + x)
+        state = state.withColumn(f"p{step}", F.col("intercept") + dot)
+        state = state.withColumn("recent", F.concat(F.array(f"p{step}"), F.slice("recent", 1, lags - 1)))
+    steps = truth.withColumn("step", F.row_number().over(W.partitionBy("entity").orderBy("start_date")))
+    steps = steps.join(state.select("entity", "sigma", F.array("p1", "p2", "p3").alias("path")), "entity")
+    steps = steps.withColumns({"mean": F.get("path", F.col("step") - 1), "y": F.col("count").cast("double")})
     normal = {0.1: -1.2815515655446004, 0.5: 0.0, 0.9: 1.2815515655446004}  # fixed values: normal quantiles
     steps = steps.withColumns({quantile_column(p): F.col("mean") + F.col("sigma") * F.lit(z) for p, z in normal.items()})
-    return steps.select("nation", "entity", "start_date", "y", "mean", "q_0_1", "q_0_5", "q_0_9"), history
+    return steps.select("nation", "entity", "start_date", "step", "y", "mean", "q_0_1", "q_0_5", "q_0_9"), history
+
+
+@query(
+    "ml_8_rolled_one_lag", "ML-8 SPL-6",
+    """WITH l AS (SELECT e.nation, d.entity, d.start_date, CAST(d.count AS DOUBLE) AS y, CAST(lag(d.count) OVER w AS DOUBLE) AS x,
+           row_number() OVER (PARTITION BY d.entity ORDER BY d.start_date DESC) AS back FROM dense d JOIN entities e USING (entity) WINDOW w AS (PARTITION BY d.entity ORDER BY d.start_date)),
+       s AS (SELECT nation, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) - sum(x) * sum(x) / count(*) AS sxx, sum(x * y) - sum(x) * sum(y) / count(*) AS sxy
+         FROM l WHERE x IS NOT NULL AND back > 3 GROUP BY 1),
+       f AS (SELECT nation, sxy / (sxx + 1.0) AS b, (sy - sxy / (sxx + 1.0) * sx) / n AS a FROM s),
+       p AS (SELECT l.nation, l.entity, a, b, a + b * y AS p1 FROM l JOIN f USING (nation) WHERE back = 4),
+       q AS (SELECT *, a + b * p1 AS p2, a + b * (a + b * p1) AS p3 FROM p)
+       SELECT q.nation, q.entity, l.start_date, CAST(4 - l.back AS INTEGER) AS step, l.y, round(CASE l.back WHEN 3 THEN p1 WHEN 2 THEN p2 ELSE p3 END, 6) AS mean
+       FROM q JOIN l ON l.entity = q.entity AND l.back <= 3""",
+    uses="dense entities",
+)
+def _(t):
+    steps, _ = _cluster_forecast(t, 1)
+    return steps.select("nation", "entity", "start_date", "step", "y", F.round("mean", 6).alias("mean"))
 
 
 @query(
@@ -268,6 +295,32 @@ def _(t):
     return rows.groupBy("lag", "factor").agg(F.count("*").alias("n"), F.sum(F.when(hit, 1).otherwise(0)).alias("hits"))
 
 
+_FITTED = {"lag": [1, 2, 3], "alpha": [0.1, 1.0, 10.0]}
+
+
+@query(
+    "ml_12_fitted_grid", "ML-12 ML-16",
+    "WITH " + _LAG_FRAME.split(",\n    fit AS")[0] + """,
+       a AS (SELECT * FROM (VALUES (0.1::DOUBLE), (1.0::DOUBLE), (10.0::DOUBLE)) v(alpha)),
+       sums AS (SELECT lag, sum(x * (2 * label - 1)) - sum(x) * sum(2 * label - 1) / count(*) AS sxy, sum(x * x) - sum(x) * sum(x) / count(*) AS sxx,
+         avg(x) AS mx, avg(2 * label - 1) AS my FROM long WHERE is_train AND lag IN ('l1', 'l2', 'l3') GROUP BY 1)
+       SELECT CAST(lag[2:] AS INTEGER) AS lag, alpha, label AS truth, CASE WHEN my + sxy / (sxx + alpha) * (x - mx) > 0 THEN 1 ELSE 0 END AS predicted, count(*) AS n
+       FROM long JOIN sums USING (lag) CROSS JOIN a WHERE NOT is_train GROUP BY 1, 2, 3, 4""",
+    uses="panel",
+)
+def _(t):
+    # every grid point fits a ridge of its own; the point's columns stand on every row of its result
+    train, test = splits.temporal_holdout(cut_lineage(_frame(t)), TRAIN_START, TRAIN_END, TEST_END)
+    a, b = targets.label_splits(train, test, "relative_binary")
+    coded = [df.withColumn("label", F.col("cat_target").cast("int")) for df in (a, b)]
+    sweep = sweeps.RidgeSweep(coded[0], CASE_LAGS, {"label": 2})
+    points = sweeps.grid_points(_FITTED)
+    grid = [sweeps.Model(f"{p['lag']}/{p['alpha']}", (CASE_LAGS[p["lag"] - 1],), "label", alpha=p["alpha"]) for p in points]
+    parts = F.split("model", "/")
+    out = sweep.confusion(coded[1], grid)
+    return out.select(parts[0].cast("int").alias("lag"), parts[1].cast("double").alias("alpha"), "truth", "predicted", "n")
+
+
 STYLES = {"relative_ternary": 3, "relative_binary": 2, "simple_binary": 2, "simple_ternary": 3}
 
 
@@ -308,34 +361,36 @@ def _(t):
 
 @query("ml_13_lookback_sweep", "ML-13")
 def _(t):
-    train, test = _sweep_frames(t, 24)
-    names = [lag_name(i, "cases") for i in range(1, 25)]
+    train, test = _sweep_frames(t, 48)
+    names = [lag_name(i, "cases") for i in range(1, 49)]
     sweep = sweeps.RidgeSweep(train, names, STYLES)
-    grid = [sweeps.Model(f"{style}/lookback{k}", tuple(names[:k]), style) for style in STYLES for k in range(1, 25)]
+    grid = [sweeps.Model(f"{style}/lookback{k}", tuple(names[:k]), style) for style in STYLES for k in range(1, 49)]
     return sweep.scores(test, grid)
 
 
-def _covariate_rows(t):
-    """Counts with lags of counts and of three covariates, labelled relative to the training mean."""
-    joined = t.panel.join(t.parameters.select("entity", "start_date", "volume", "top_price", "low_tax"), ["entity", "start_date"], "left")
-    filled = joined.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in COVARIATES})
+COVARIATES = ["volume", "top_price", "low_tax"]
+ALL_COVARIATES = [*COVARIATES, "mean_price", "low_quantity"]
+
+
+def _covariate_rows(t, covariates=COVARIATES, parameters=None):
+    """Counts with lags of counts and of covariates, labelled relative to the training mean."""
+    table = t.parameters if parameters is None else parameters
+    joined = t.panel.join(table.select("entity", "start_date", *covariates), ["entity", "start_date"], "left")
+    filled = joined.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in covariates})
     frame = lag_frame(
-        filled, TRAIN_START, TEST_END, "count", case_lookback=6, env_list=COVARIATES, env_lookback=6, env_lag=1, dense=True
+        filled, TRAIN_START, TEST_END, "count", case_lookback=6, env_list=covariates, env_lookback=6, env_lag=1, dense=True
     )
     train, test = splits.temporal_holdout(cut_lineage(frame), TRAIN_START, TRAIN_END, TEST_END)
     a, b = targets.label_splits(train, test, "relative_binary")
     return a.withColumn("label", F.col("cat_target").cast("int")), b.withColumn("label", F.col("cat_target").cast("int"))
 
 
-COVARIATES = ["volume", "top_price", "low_tax"]
-
-
 @query("ml_13_covariate_sweep", "ML-13")
 def _(t):
-    train, test = _covariate_rows(t)
-    env = {c: [lag_name(i, c) for i in range(1, 7)] for c in COVARIATES}
+    train, test = _covariate_rows(t, ALL_COVARIATES, t.wide_parameters)
+    env = {c: [lag_name(i, c) for i in range(1, 7)] for c in ALL_COVARIATES}
     sweep = sweeps.RidgeSweep(train, [*CASE_LAGS, *sum(env.values(), [])], {"label": 2})
-    sets = [[], *[[c] for c in COVARIATES], COVARIATES]
+    sets = [s for k in range(len(ALL_COVARIATES) + 1) for s in combinations(ALL_COVARIATES, k)]  # all 32
     grid = [
         sweeps.Model(f"{'+'.join(s) or 'none'}/lag{lag}", tuple(CASE_LAGS[lag - 1:]) + tuple(sum((env[c] for c in s), [])), "label")
         for s in sets for lag in (1, 2, 3, 4)
@@ -345,23 +400,26 @@ def _(t):
 
 @query("ml_14_forward_selection", "ML-14 SPL-2 AGG-21")
 def _(t):
-    frame = _frame(t, 12)
-    labelled, _ = targets.relative_binary(frame)
-    coded = labelled.withColumn("label", F.col("cat_target").cast("int")).drop("cat_target")
-    blocks = cut_lineage(splits.fold_blocks(coded, 4))
-    names = [lag_name(i, "cases") for i in range(1, 13)]
-    sweep = sweeps.RidgeSweep(blocks, names, {"label": 2}, block="block")
-    chosen = sweeps.forward_selection(sweep, blocks.filter(F.col("block") > 0), "label", (1, 2, 3, 4))
-    rows = [(i + 1, name, score) for i, (name, score) in enumerate(chosen)]
-    return t.spark.createDataFrame(rows, "step int, feature string, f1_macro double")
+    frame = _frame(t, 48)
+    for style in STYLES:
+        labelled, _ = getattr(targets, style)(frame)
+        frame = labelled.withColumnRenamed("cat_target", style).withColumn(style, F.col(style).cast("int"))
+    blocks = cut_lineage(splits.fold_blocks(frame, 4))
+    names = [*[lag_name(i, "cases") for i in range(1, 49)], "month"]
+    sweep = sweeps.RidgeSweep(blocks, names, STYLES, block="block")
+    rows = []
+    for style in STYLES:
+        chosen = sweeps.forward_selection(sweep, blocks.filter(F.col("block") > 0), style, (1, 2, 3, 4))
+        rows += [(style, i + 1, name, score) for i, (name, score) in enumerate(chosen)]
+    return t.spark.createDataFrame(rows, "style string, step int, feature string, f1_macro double")
 
 
 @query("ml_15_successive_halving", "ML-15 SPL-2 AGG-27")
 def _(t):
     labelled, _ = targets.relative_binary(_frame(t))
     coded = labelled.withColumn("label", F.col("cat_target").cast("double")).drop("cat_target")
-    blocks = splits.fold_blocks(coded, 4)
-    history = models.halving_search(blocks, CASE_LAGS, sweeps.random_candidates(4), folds=(4,), start=1, most=4)
+    blocks = cut_lineage(splits.fold_blocks(coded, 4))
+    history = models.halving_search(blocks, CASE_LAGS, sweeps.random_candidates(4), folds=(1, 2, 3, 4), start=1, most=4)
     rows = [(h["rung"], h["candidate"], h["resource"], h["step"], h["depth"], h["leaf"], h["score"]) for h in history]
     return t.spark.createDataFrame(rows, "rung int, candidate int, resource int, step double, depth int, leaf int, balanced_accuracy double")
 

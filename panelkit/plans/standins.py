@@ -16,9 +16,8 @@ from ..operators.periods import add_rate, count_by_period, densify, unpivot_year
 from ..operators.schema import blank_columns
 from ..operators.targets import relative_ternary
 
-YEARS = list(range(1995, 2002))
 UNKNOWN_YEARS = ["1997", "1999"]
-TRAIN_START, TRAIN_END, TEST_END = "1997-01-01", "2000-01-01", "2001-01-01"
+TRAIN_START, TRAIN_END, TEST_END = "1997-01-01", "2000-01-01", "2002-01-01"
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
     "conversations"
@@ -71,22 +70,28 @@ class Tables:
         """``counts`` with a zero row for every entity without cases in a month."""
         return densify(self.counts, self.entities, {"count": 0})
 
+    @cached_property
+    def years(self) -> list[int]:
+        """Years that the line list has, a few rows."""
+        found = self.line_list.select(F.year("event_date").alias("y")).filter("y is not null").distinct().collect()
+        return sorted(r["y"] for r in found)
+
     @cached_property
     def wide_exposure(self) -> DataFrame:
         """Exposure per entity with one column per year; two years unknown, some first years too."""
         dated = self.line_list.withColumn("_y", F.year("event_date"))
-        yearly = dated.groupBy("entity").pivot("_y", YEARS).agg(F.sum("quantity"))
+        yearly = dated.groupBy("entity").pivot("_y", self.years).agg(F.sum("quantity"))
         known = blank_columns(yearly, UNKNOWN_YEARS, "double")
-        first = str(YEARS[0])
+        first = str(self.years[0])
         return known.join(self.entities.select("entity", "balance"), "entity").select(
             "entity",
             F.when(F.col("balance") >= 0, F.col(first)).alias(first),
-            *[F.col(str(y)) for y in YEARS[1:]],
+            *[F.col(str(y)) for y in self.years[1:]],
         )
 
     @cached_property
     def raw_exposure(self) -> DataFrame:
-        return unpivot_years(self.wide_exposure, "entity", YEARS)
+        return unpivot_years(self.wide_exposure, "entity", self.years)
 
     @cached_property
     def exposure(self) -> DataFrame:
@@ -103,13 +108,24 @@ class Tables:
     @cached_property
     def parameters(self) -> DataFrame:
         """One row per entity and month end, labelled with the end of the period."""
+        return self._parameters()
+
+    @cached_property
+    def wide_parameters(self) -> DataFrame:
+        """The same with two more aggregates of the line list."""
+        return self._parameters("mean_price", "low_quantity")
+
+    def _parameters(self, *extra: str) -> DataFrame:
         monthly = count_by_period(
             self.line_list, "month",
-            aggs={"volume": F.sum("quantity"), "top_price": F.max("price"), "low_tax": F.min("tax")},
+            aggs={
+                "volume": F.sum("quantity"), "top_price": F.max("price"), "low_tax": F.min("tax"), "mean_price": F.avg("price"),
+                "low_quantity": F.min("quantity"),
+            },
         )
         return monthly.select(
             "entity", "start_date", shift(F.col("start_date"), 1, "month").alias("end_date"), "volume", "top_price",
-            "low_tax",
+            "low_tax", *extra,
         )
 
     @cached_property

@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from panelkit.operators import association, joins, linear, models, ranking, sweeps
 from panelkit.operators.metrics import quantile_column
@@ -22,23 +22,23 @@ def hot_values(seed=0):
     return data
 
 
-@pytest.mark.parametrize("most", [0, 50, 100_000])
-def test_exact_quantiles(spark, most):
+@pytest.mark.parametrize("large", [True, False])
+def test_exact_quantiles(spark, large):
     data = hot_values()
     df = spark.createDataFrame(data, "g string, v double, w double").repartition(5)
     probs = {"a": 0.25, "b": 0.5, "c": 0.9}
-    got = {r["g"]: r for r in ranking.exact_quantiles(df, ["g"], "v", probs, most=most).collect()}
+    got = {r["g"]: r for r in ranking.exact_quantiles(df, ["g"], "v", probs, large=large).collect()}
     frame = pd.DataFrame(data, columns=["g", "v", "w"])
     for g, part in frame.groupby("g"):
         for name, p in probs.items():
             assert got[g][name] == pytest.approx(np.quantile(part["v"], p), rel=1e-12), (g, name)
 
 
-@pytest.mark.parametrize("most", [0, 100_000])
-def test_weighted_quantiles(spark, most):
+@pytest.mark.parametrize("large", [True, False])
+def test_weighted_quantiles(spark, large):
     data = hot_values(1)
     df = spark.createDataFrame(data, "g string, v double, w double").repartition(3)
-    got = {r["g"]: r["m"] for r in ranking.exact_quantiles(df, ["g"], "v", {"m": 0.5}, "w", most=most).collect()}
+    got = {r["g"]: r["m"] for r in ranking.exact_quantiles(df, ["g"], "v", {"m": 0.5}, "w", large=large).collect()}
     for g, part in pd.DataFrame(data, columns=["g", "v", "w"]).groupby("g"):
         part = part.sort_values("v")
         upto = part["w"].cumsum()
@@ -120,6 +120,21 @@ def test_nearest_with_copies(spark, block):
         assert [got[i, r + 1][1] for r in range(6)] == pytest.approx([d for d, _ in order])
 
 
+@pytest.mark.parametrize("kind", ["prefix", "outlier", "timestamp_ntz"])
+def test_positions_use_even_ranges(spark, kind):
+    """Ids with one prefix, ids beside a far outlier and local timestamps: no task numbers more than a few shares."""
+    ids = spark.range(100_000).withColumn("r", F.xxhash64("id"))
+    value = {
+        "prefix": F.format_string("Customer#%09d", "id"), "outlier": F.when(F.col("id") == 5, 1e15).otherwise(F.col("id") / 7),
+        "timestamp_ntz": F.expr("timestamp_ntz'2020-01-01 00:00:00' + make_interval(0,0,0,0,0,0,id)"),
+    }[kind]
+    placed = ranking.global_position(ids.select("id", value.alias("v")).orderBy("r"), "v", ["id"])
+    wrong = placed.withColumn("expected", F.row_number().over(W.orderBy("v", "id"))).filter("expected <> position").count()
+    assert wrong == 0
+    sizes = [r["count"] for r in ids.select(value.alias("v"), "id").repartitionByRange("v", "id").groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 2.5 * 100_000 / 4
+
+
 def test_global_position_and_dense_code(spark):
     rng = random.Random(1)
     values = [rng.choice([1, 5, 5, 5, 10**12, -7]) for _ in range(200)]
