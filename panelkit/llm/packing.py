@@ -23,7 +23,7 @@ END = 0
 #: Slices in which pieces of one length are numbered, each in a task of its own.
 SLICES = 1024
 #: Words whose ids a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 
 
 class WordIds:
@@ -39,15 +39,28 @@ class WordIds:
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
 
     def ids(self, text: bytes) -> bytes:
-        words, known = text.split(), self.known  # bytes.split() cuts at ASCII white space alone
-        fresh = [w for w in dict.fromkeys(words) if w not in known]
-        if fresh:
-            if len(known) + len(fresh) > REMEMBERED:
-                known.clear()
-                fresh = list(dict.fromkeys(words))
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in fresh], add_special_tokens=False)
-            known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(fresh, found, strict=True))
-        return b"".join([known[w] for w in words])
+        # the vocabulary lower-cases anyway; only its special strings are told apart by case
+        words = (text if b"<|" in text else text.lower()).split()  # bytes.split() cuts at ASCII white space alone
+        known = self.known
+        try:
+            return b"".join(map(known.__getitem__, words))
+        except KeyError:
+            fresh = [w for w in dict.fromkeys(words) if w not in known]
+        if len(known) + 2 * len(fresh) > REMEMBERED:
+            known.clear()
+            fresh = list(dict.fromkeys(words))
+        self._learn(fresh)
+        return b"".join(map(known.__getitem__, words))
+
+    def _learn(self, fresh: list[bytes]) -> None:
+        """A mark after an ASCII letter or digit is a piece of its own, so only the word before it has to be known."""
+        known = self.known
+        cores = {w: w[:-1] for w in fresh if w[-1] in b".,!;:?" and w[-2:-1].isalnum()}
+        wanted = dict.fromkeys([*(cores.get(w, w) for w in fresh), *(w[-1:] for w in cores)])
+        wanted = [w for w in wanted if w not in known]
+        found = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in wanted], add_special_tokens=False)
+        known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(wanted, found, strict=True))
+        known.update((w, known[core] + known[w[-1:]]) for w, core in cores.items())
 
 
 @cache
