@@ -81,14 +81,11 @@ def _unpack(packed: bytes) -> np.ndarray:
 
 
 def _merge(group: pa.Table) -> pa.Table:
-    count = np.zeros(1 << LOG_BLOCK, np.uint16)
-    for column in ("seen", "again"):
-        for packed in group[column].to_pylist():
-            count[_unpack(packed)] += 1
+    hits = [_unpack(packed) for column in ("seen", "again") for packed in group[column].to_pylist()]
+    cell, count = np.unique(np.concatenate(hits), return_counts=True)
     return pa.table({
         "block": pa.array([group["block"][0].as_py()], pa.int64()),
-        "seen": pa.array([_pack(np.flatnonzero(count))], pa.binary()),
-        "again": pa.array([_pack(np.flatnonzero(count > 1))], pa.binary()),
+        "seen": pa.array([_pack(cell)], pa.binary()), "again": pa.array([_pack(cell[count > 1])], pa.binary()),
     })
 
 
@@ -102,11 +99,17 @@ def merge_parts(parts: DataFrame) -> DataFrame:
 
 
 class Bits:
-    """A merged bitmap that tells whether keys may be in it; it never denies one that is."""
+    """A merged bitmap that tells whether keys may be in it; it never denies one that is. It travels deflated."""
 
     def __init__(self, rows: list[np.ndarray], log_cells: int):
         self.rows, self.log_cells = rows, log_cells
 
+    def __getstate__(self):
+        return [zlib.compress(row, 1) for row in self.rows], self.log_cells
+
+    def __setstate__(self, state):
+        self.rows, self.log_cells = [np.frombuffer(zlib.decompress(row), np.uint8) for row in state[0]], state[1]
+
     def may_hold(self, keys: np.ndarray, other: np.ndarray) -> np.ndarray:
         held = np.arange(len(keys))
         for row, bits in enumerate(self.rows):
@@ -122,8 +125,6 @@ def share(parts: DataFrame, depth: int, log_cells: int, which: str) -> Broadcast
     log_block = min(LOG_BLOCK, log_cells)
     bits = np.zeros((depth << log_cells) // 8, np.uint8)
     for block, packed in merge_parts(parts).select("block", which).collect():
-        flags = np.zeros(1 << log_block, np.uint8)
-        flags[_unpack(bytes(packed))] = 1
-        at = (block << log_block) // 8
-        bits[at : at + len(flags) // 8] = np.packbits(flags, bitorder="little")
+        at = _unpack(bytes(packed))
+        np.bitwise_or.at(bits, ((block << log_block) + at) >> 3, np.left_shift(1, at & 7).astype(np.uint8))
     return parts.sparkSession.sparkContext.broadcast(Bits(list(bits.reshape(depth, -1)), log_cells))
