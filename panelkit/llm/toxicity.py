@@ -16,6 +16,8 @@ from .textarrays import Block, blocks, mix
 
 #: Labelled documents of each class the field is fitted on at most, those with the lowest hash of their id.
 SAMPLE = 1_000
+#: Least weight of a labelled word.
+WEIGHT = 0.7
 #: Words of a chain while fitting; documents are scored as one chain each.
 FIT_CHAIN = 256
 #: Bytes of text whose chains step together.
@@ -59,40 +61,41 @@ class Tagger:
     score_weights: np.ndarray
 
     def documents(self, chances: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Score of each document from the chances of its words: the highest, and how many are expected."""
-        return 1 / (1 + np.exp(-np.clip(np.column_stack([np.ones(len(first) - 1), _totals(chances, first)]) @ self.score_weights, -30, 30)))
+        """Score of each document from the chances of its words."""
+        return 1 / (1 + np.exp(-np.clip(self.score_weights[0] + self.score_weights[1] * _evidence(chances, first), -30, 30)))
 
 
-def _totals(chances: np.ndarray, first: np.ndarray) -> np.ndarray:
-    sums = np.concatenate([[0.0], np.cumsum(chances)])
-    highest = np.zeros(len(first) - 1)
-    full = np.flatnonzero(np.diff(first))
-    if len(full):
-        highest[full] = np.maximum.reduceat(chances, first[:-1][full])
-    return np.column_stack([highest, np.log1p(np.maximum(sums[first[1:]] - sums[first[:-1]], 0))])
+def _evidence(chances: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Log of one plus the squared chances of a document's words: many doubtful words say less than one sure word."""
+    sums = np.concatenate([[0.0], np.cumsum(chances**2)])
+    return np.log1p(np.maximum(sums[first[1:]] - sums[first[:-1]], 0))
 
 
-def labelled_tokens(words: np.ndarray, first: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+def _weights(code: np.ndarray, before: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Careful estimate (two standard errors down) of the log odds of each token's code in toxic documents."""
+    context, n = np.stack([code, before]), int(code.max()) + 1
+    bad, good = (np.bincount(np.unique(context[:, toxic == y], axis=1)[0], minlength=n) for y in (1, 0))
+    weight = np.log((bad + 0.5) / (bad.sum() + 1)) - np.log((good + 0.5) / (good.sum() + 1))
+    return (weight - 2 * np.sqrt(1 / (bad + 0.5) + 1 / (good + 0.5)))[code]
+
+
+def labelled_tokens(words: np.ndarray, openings: np.ndarray, first: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """State of each word, from labels of documents.
 
-    A word counts once for each word it follows, so that copies of one document count once. Its weight is a careful
-    estimate (two standard errors down) of the log odds of counts in toxic documents over those in others. In a
-    toxic document the words of a weight over 1 and within 1.5 of its heaviest are labelled.
+    A word weighs what it or its opening tells of toxic documents, counted once for each word before it, so that
+    copies of one document count once. In a toxic document the words of a weight over WEIGHT and within 1.5 of its
+    heaviest are labelled.
     """
     if not len(words):
         return np.zeros(0, np.int64)
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    _, code = np.unique(words, return_inverse=True)
+    code = np.unique(words, return_inverse=True)[1]
     before = np.append(-1, code[:-1])
     before[first[:-1][np.diff(first) > 0]] = -1
-    size = int(code.max()) + 1
-    context = code * (size + 1) + before + 1
-    bad, good = (np.bincount(np.unique(context[toxic[doc] == y]) // (size + 1), minlength=size) for y in (1, 0))
-    weight = np.log((bad + 0.5) / (bad.sum() + 1)) - np.log((good + 0.5) / (good.sum() + 1))
-    weight = (weight - 2 * np.sqrt(1 / (bad + 0.5) + 1 / (good + 0.5)))[code]
+    weight = np.maximum(_weights(code, before, toxic[doc]), _weights(openings, before, toxic[doc]))
     heaviest = np.full(len(first) - 1, -np.inf)
     np.maximum.at(heaviest, doc, weight)
-    return ((toxic[doc] == 1) & (weight > 1) & (weight >= heaviest[doc] - 1.5)).astype(np.int64)
+    return ((toxic[doc] == 1) & (weight > WEIGHT) & (weight >= heaviest[doc] - 1.5)).astype(np.int64)
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
@@ -127,15 +130,14 @@ def fit_tagger(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Tagg
     rows = rows.sort_values("doc_id", kind="stable")  # the order of tasks must not move the sums
     toxic = rows["toxic"].to_numpy(float)
     if not len(rows):
-        return Tagger(Chain(), np.zeros(3))
+        return Tagger(Chain(), np.zeros(2))
     words = np.frombuffer(b"".join(rows["words"]), np.uint64)
     features = np.frombuffer(b"".join(rows["features"]), np.int32).reshape(-1, 4).astype(np.int64)
     first = np.concatenate([[0], np.cumsum([len(w) // 8 for w in rows["words"]])])
     # only for fitting, chains are cut every FIT_CHAIN words, so that a step is short
     cuts = np.unique(np.concatenate([first, *[np.arange(a, b, FIT_CHAIN) for a, b in zip(first[:-1], first[1:], strict=True)]]))
-    chain = Chain().fit(features, cuts, labelled_tokens(words, first, toxic))
-    totals = _totals(chain.marginals(features, first), first)
-    return Tagger(chain, logistic(totals, toxic))
+    chain = Chain().fit(features, cuts, labelled_tokens(words, features[:, 1], first, toxic))
+    return Tagger(chain, logistic(_evidence(chain.marginals(features, first), first)[:, None], toxic))
 
 
 def tag(docs: DataFrame, tagger: Tagger, score: str = "score", spans: str | None = "spans") -> DataFrame:
