@@ -73,9 +73,9 @@ def importance(docs: DataFrame, ratios: np.ndarray, seed: int = 1) -> DataFrame:
             for block in blocks(batch.column("text")):
                 doc, bucket = gram_buckets(block, log_buckets=log_buckets)
                 order = np.argsort(doc, kind="stable")  # one order of addition for each text, wherever it is cut
-                weight = np.bincount(doc[order], shared.value[bucket[order]], block.texts)
+                weight = np.bincount(doc[order], shared.value[bucket[order]], block.texts).astype(float)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(block.first, block.texts), pa.array(np.bincount(doc, minlength=block.texts)), pa.array(weight)],
+                    [batch.column("doc_id").slice(block.first, block.texts), pa.array(np.bincount(doc, minlength=block.texts)), pa.array(weight, pa.float64())],
                     schema.names,
                 )
 
