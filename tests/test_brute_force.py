@@ -131,7 +131,7 @@ def test_positions_use_even_ranges(spark, kind):
     placed = ranking.global_position(ids.select("id", value.alias("v")).orderBy("r"), "v", ["id"])
     wrong = placed.withColumn("expected", F.row_number().over(W.orderBy("v", "id"))).filter("expected <> position").count()
     assert wrong == 0
-    sizes = [r["count"] for r in ids.select(value.alias("v"), "id").repartitionByRange("v", "id").groupBy(F.spark_partition_id()).count().collect()]
+    sizes = [r["count"] for r in ids.select(value.alias("v"), "id").repartitionByRange(4, "v", "id").groupBy(F.spark_partition_id()).count().collect()]
     assert max(sizes) < 2.5 * 100_000 / 4
 
 
