@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import struct
+import unicodedata
 import zlib
 from functools import cache
 
@@ -37,6 +39,9 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)  # ids at the end of a piece
+        self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def ids(self, text: bytes) -> bytes:
         # the vocabulary lower-cases anyway; only its special strings are told apart by case
@@ -57,12 +62,33 @@ class WordIds:
         known = self.known
         cores = {w: w[:-1] for w in fresh if w[-1] in b".,!;:?" and w[-2:-1].isalnum()}
         wanted = dict.fromkeys([*(cores.get(w, w) for w in fresh), *(w[-1:] for w in cores)])
-        wanted = [w for w in wanted if w not in known]
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in wanted], add_special_tokens=False)
-        known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(wanted, found, strict=True))
+        joined, others, merge = [], [], self.tokenizer.model.tokenize
+        for w in wanted:
+            if w in known:
+                continue
+            if w.isalpha():  # ASCII letters in lower case go through the merges as they are
+                ids = [token.id for token in merge(w.decode("ascii").lower())]
+                known[w] = struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                (joined if _one_piece(w) else others).append(w)
+        if joined:
+            found = self.tokenizer.encode_batch_fast([b" ".join(joined).decode("utf-8")], add_special_tokens=False)
+            ids = np.array(found[0].ids, "<u4")
+            ends = 4 * (np.flatnonzero(self.closes[ids]) + 1)
+            packed, starts = ids.tobytes(), [0, *ends.tolist()]
+            known.update((w, packed[a:b]) for w, a, b in zip(joined, starts[:-1], starts[1:], strict=True))
+        if others:
+            found = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in others], add_special_tokens=False)
+            known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(others, found, strict=True))
         known.update((w, known[core] + known[w[-1:]]) for w, core in cores.items())
 
 
+def _one_piece(word: bytes) -> bool:
+    """Whether a word is letters alone, composed and in lower case too: one piece, whose last id closes a word."""
+    text = word.decode("utf-8")
+    return text.isalpha() and unicodedata.normalize("NFC", text).lower().isalpha()
+
+
 @cache
 def word_ids(path: str) -> WordIds:
     return WordIds(path)
