@@ -11,13 +11,15 @@ from pyspark.sql import types as T
 from panelkit.session import cut_lineage
 
 from .columns import WORD, free_name, read
-from .sketches import HELD, PART, Parts, share
+from .sketches import PART, Parts, share
 from .textarrays import Block, blocks, mix
 
 #: Words of a window.
 WINDOW = 50
-#: The sketch: rows, and cells of a row as a power of two. Its bitmap has DEPTH * 2**LOG_CELLS bits, 128 MB.
-DEPTH, LOG_CELLS = 2, 29
+#: The sketch: rows, and cells of a row as a power of two. Its bitmap has DEPTH * 2**LOG_CELLS bits, 64 MB.
+DEPTH, LOG_CELLS = 2, 28
+#: Suspected windows a task merges before it sends their smallest ids.
+MERGED = 1 << 20
 #: The filter of documents that lose words: one row of 2**26 bits, 8 MB.
 LOG_TOUCHED = 26
 #: Bits for the place of a window within its text; those above tell rows with one doc_id apart.
@@ -83,7 +85,7 @@ def suspected(docs: DataFrame, bits, size: int, firsts: bool) -> DataFrame:
                 tie = block.byte_hash(block.bounds[:-1], block.bounds[1:]) >> np.uint64(_PLACE_BITS + 1)
                 held.append((a, b, ids[block.first + doc], place + (tie[doc].astype(np.int64) << _PLACE_BITS)))
                 n += len(a)
-                if n >= (HELD if firsts else 1 << 17):
+                if n >= (MERGED if firsts else 1 << 17):
                     yield batch_of(*(np.concatenate(x) for x in zip(*held, strict=True)))
                     held, n = [], 0
         if n:
