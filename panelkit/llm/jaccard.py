@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +25,8 @@ FREQUENT = 1 << 17
 NOTED = 8
 #: Cells of the filters of shingles and of ids, as powers of two: 32 MB and 8 MB at most.
 LOG_TOKENS, LOG_IDS = 28, 26
+#: Pairs of texts compared at a time.
+VERIFIED = 64
 #: Star rounds before the remaining pairs are all tried.
 ROUNDS = 3
 
@@ -145,7 +147,6 @@ def bitmap(df: DataFrame, column: str, log_cells: int, which: str = "seen"):
 
 def verified(docs: DataFrame, pairs: DataFrame, size: int, least: int) -> DataFrame:
     """Pairs ``x, y`` of ids whose texts' shingle sets are similar. Only texts of these ids are shuffled."""
-    pairs = cut_lineage(pairs.distinct(), "pairs")
     bits = bitmap(pairs.select("x").union(pairs.select("y")).distinct(), "x", LOG_IDS)
     texts = may_hold(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", bits)
     left, right = (texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}")) for k in "xy")
@@ -156,19 +157,21 @@ def verified(docs: DataFrame, pairs: DataFrame, size: int, least: int) -> DataFr
             doc, h = shingle_sets(block, size)
             rows.append(doc + block.first)
             hashes.append(h)
-        return (np.concatenate(rows), np.concatenate(hashes)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        return np.concatenate(rows), np.concatenate(hashes)
 
     def similar(batches):
-        for batch in batches:
-            (row_x, x), (row_y, y) = sets_of(batch.column("text_x")), sets_of(batch.column("text_y"))
-            row, hashes = np.concatenate([row_x, row_y]), np.concatenate([x, y])
-            order = np.lexsort((hashes, row))
-            row, hashes = row[order], hashes[order]
-            again = np.flatnonzero((row[1:] == row[:-1]) & (hashes[1:] == hashes[:-1]))
-            both = np.bincount(row[again], minlength=batch.num_rows)
-            either = np.bincount(row, minlength=batch.num_rows) - both
-            ok = pa.array((100 * both >= least * either) & (both > 0))
-            yield pa.RecordBatch.from_arrays([batch.column("x").filter(ok), batch.column("y").filter(ok)], ["x", "y"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, VERIFIED):
+                batch = whole.slice(at, VERIFIED)
+                (row_x, x), (row_y, y) = sets_of(batch.column("text_x")), sets_of(batch.column("text_y"))
+                row, hashes = np.concatenate([row_x, row_y]), np.concatenate([x, y])
+                order = np.lexsort((hashes, row))
+                row, hashes = row[order], hashes[order]
+                again = np.flatnonzero((row[1:] == row[:-1]) & (hashes[1:] == hashes[:-1]))
+                both = np.bincount(row[again], minlength=batch.num_rows)
+                either = np.bincount(row, minlength=batch.num_rows) - both
+                ok = pa.array((100 * both >= least * either) & (both > 0))
+                yield pa.RecordBatch.from_arrays([batch.column("x").filter(ok), batch.column("y").filter(ok)], ["x", "y"])
 
     met = pairs.join(left, "x").join(right, "y").select("x", "y", "text_x", "text_y")
     return met.mapInArrow(similar, "x long, y long")
@@ -191,8 +194,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, least: int = LEAST, ro
     1. Equal sets collapse to their smallest id (mergeable), equal prefixes and sizes to groups.
     2. Groups are listed under the shingles of their prefix; a bitmap of shingles seen twice drops the others before
        the shuffle.
-    3. Star rounds: in each list every component sends one member to be verified against one member of the largest.
-       Links join components, so large groups of near copies shrink to one component without trying all pairs.
+    3. Star rounds: in each list that holds several components, one drawn member is verified against the members of
+       other components. Links join components, so large groups of near copies shrink to one without trying all pairs.
     4. What is left: group pairs of different components that pass the size and place filters are expanded to members
        and verified, all of them. Only members outside a list's largest component look for partners in it.
     """
@@ -203,29 +206,22 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, least: int = LEAST, ro
     some = signed.filter("n > 0 and doc_id is not null")
     sets = some.groupBy("a", "b", "n").agg(F.min(node).alias("rep"), F.min("same").alias("same"))
     sets = cut_lineage(sets, "sets")
-    groups = sets.groupBy("same", "n").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("members"))
-    members = cut_lineage(sets.join(groups, ["same", "n"]).select("rep", "same", "n", "lead", "members"), "members")
-
-    # lists: the lead's prefix stands for its group; a group of several members is a list of its own
-    prefixes = some.select(node.alias("lead"), "same", "n", "prefix")
-    tokens = prefixes.select("lead", "same", "n", F.posexplode("prefix").alias("place", "token"))
+    # a group's prefix is listed once, whatever its members; a group of several sets is a list of its own
+    tokens = some.select("same", "n", F.posexplode("prefix").alias("place", "token"))
     again = bitmap(tokens, "token", LOG_TOKENS, "again")
-    tokens = may_hold(tokens.select("token", "place", "lead", "same", "n"), "token", again)
-    leads = groups.select("lead", "same", "n")
-    tokens = tokens.join(leads, ["lead", "same", "n"], "left_semi").distinct()
-    own = groups.filter("members > 1").select(F.col("same").alias("token"), F.lit(0).alias("place"), "lead", "same", "n")
-    listed = tokens.select("token", "place", "lead", "same", "n").union(own)
-    shared = listed.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.max("lead").alias("some_lead")).join(
-        own.select("token", F.lit(1).alias("own")), "token", "left").filter("k > 1 or own = 1").select("token")
-    lists = cut_lineage(listed.join(shared, "token", "left_semi"), "lists")
-
-    nodes = cut_lineage(members.select(F.col("rep").alias("node"), F.col("rep").alias("component")).distinct(), "nodes")
-    for turn in range(rounds):
-        pairs = _star_pairs(lists, members, nodes, least, turn)
-        nodes, joined = _joined(docs, nodes, pairs, size, least)
-        if not joined:
-            break
-    nodes, _ = _joined(docs, nodes, _remaining_pairs(lists, members, nodes, least), size, least)
+    tokens = may_hold(tokens.select("token", "place", "same", "n"), "token", again).distinct()
+    own = sets.groupBy("same", "n").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+    listed = tokens.unionByName(own.select(F.col("same").alias("token"), F.lit(0).alias("place"), "same", "n"))
+    lists = listed.join(sets.select("same", "n", "rep"), ["same", "n"]).select("token", "place", "n", "rep", F.col("rep").alias("component"))
+    lists = cut_lineage(lists, "lists")
+    nodes = cut_lineage(sets.select(F.col("rep").alias("node"), F.col("rep").alias("component")).distinct(), "nodes")
+    for turn in range(rounds + 1):
+        lists = _open_lists(lists)
+        pairs = _star_pairs(lists, least, turn) if turn < rounds else _remaining_pairs(lists, least)
+        pairs = cut_lineage(pairs.distinct(), "pairs")
+        merged = None if pairs.isEmpty() else _merged(nodes, verified(docs, pairs, size, least))
+        if merged is not None:
+            nodes, lists = cut_lineage(_moved(nodes, merged), "nodes"), _moved(lists, merged)
 
     reps = sets.select("a", "b", "n", "rep")
     placed = signed.select("doc_id", "n", "a", "b").join(reps, ["a", "b", "n"], "left")
@@ -236,45 +232,43 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, least: int = LEAST, ro
     return out.select("doc_id", "n_shingles", F.coalesce(F.col("component_id"), F.col("doc_id").cast("long")).alias("component_id"))
 
 
-def _members_of(lists: DataFrame, members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Lists at the level of members: ``token, place, n, rep, component``."""
-    at = members.join(nodes.withColumnRenamed("node", "rep"), "rep").select("same", "n", "rep", "component")
-    return lists.join(at, ["same", "n"]).select("token", "place", "n", "rep", "component")
+def _open_lists(lists: DataFrame) -> DataFrame:
+    """Rows of the lists that still hold several components."""
+    held = lists.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
+    return cut_lineage(lists.join(held.select("token"), "token", "left_semi"), "lists")
 
 
-def _star_pairs(lists: DataFrame, members: DataFrame, nodes: DataFrame, least: int, turn: int) -> DataFrame:
-    at = _members_of(lists, members, nodes)
+def _star_pairs(lists: DataFrame, least: int, turn: int) -> DataFrame:
+    """In each list, the member of a draw against all members of other components that pass the filters."""
     draw = F.xxhash64("rep", F.lit(turn))
-    sent = at.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct(draw.alias("draw"), "rep", "n", "place")).alias("one"))
-    center = sent.groupBy("token").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("k", F.negate(F.col("one.draw")).alias("d"), "component", "one")).alias("c"))
-    center = center.filter("parts > 1").select("token", F.col("c.component").alias("main"), F.col("c.one").alias("b"))
-    star = sent.select("token", "component", F.col("one").alias("a")).join(center, "token").filter("component <> main").filter(_possible(least, "a", "b"))
+    center = lists.groupBy("token").agg(F.min(F.struct(draw.alias("draw"), "rep", "n", "place", "component")).alias("b"))
+    star = lists.alias("a").join(center, "token").filter("a.component <> b.component").filter(_possible(least, "a", "b"))
     return star.select(F.least("a.rep", "b.rep").alias("x"), F.greatest("a.rep", "b.rep").alias("y"))
 
 
-def _remaining_pairs(lists: DataFrame, members: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
-    """All pairs of members of different components that share a list and pass the filters."""
-    at = cut_lineage(_members_of(lists, members, nodes), "members")
-    sizes = at.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k"))
-    main = sizes.groupBy("token").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("k", "component")).alias("m"))
-    main = main.filter("parts > 1").select("token", F.col("m.component").alias("main"))
-    split = at.join(main, "token")
-    few, all_ = split.filter("component <> main").alias("a"), split.alias("b")
-    differ = "a.token = b.token and a.component <> b.component and (b.component = b.main or a.rep < b.rep) and "
-    pairs = few.join(all_, F.expr(differ + _possible(least, "a", "b")))
+def _remaining_pairs(lists: DataFrame, least: int) -> DataFrame:
+    """All pairs of members of different components that share a list and pass the filters. The members of a list's
+    largest component look for no partners; they are found by the others."""
+    sizes = lists.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k"))
+    main = sizes.groupBy("token").agg(F.max(F.struct("k", "component")).alias("m")).select("token", F.col("m.component").alias("main"))
+    few = lists.join(main, "token").filter("component <> main").alias("a")
+    differ = "a.token = b.token and a.component <> b.component and (b.component = a.main or a.rep < b.rep) and "
+    pairs = few.join(lists.alias("b"), F.expr(differ + _possible(least, "a", "b")))
     return pairs.select(F.least("a.rep", "b.rep").alias("x"), F.greatest("a.rep", "b.rep").alias("y"))
 
 
-def _joined(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, least: int) -> tuple[DataFrame, bool]:
-    """Components after the links among ``pairs``, and whether there were any."""
-    links = verified(docs, pairs, size, least)
+def _merged(nodes: DataFrame, links: DataFrame) -> DataFrame | None:
+    """``component, lower`` of the components that links join; None without links."""
     a, b = nodes.select(F.col("node").alias("x"), F.col("component").alias("u")), nodes.select(F.col("node").alias("y"), F.col("component").alias("v"))
     edges = cut_lineage(links.join(a, "x").join(b, "y").select("u", "v").filter("u <> v").distinct(), "links")
     if edges.isEmpty():
-        return nodes, False
-    merged = components(edges).select(F.col("node").alias("component"), F.col("component").alias("lower"))
-    nodes = nodes.join(merged, "component", "left").select("node", F.coalesce("lower", "component").alias("component"))
-    return cut_lineage(nodes, "nodes"), True
+        return None
+    return components(edges).select(F.col("node").alias("component"), F.col("component").alias("lower"))
+
+
+def _moved(rows: DataFrame, merged: DataFrame) -> DataFrame:
+    others = [c for c in rows.columns if c != "component"]
+    return rows.join(merged, "component", "left").select(*others, F.coalesce("lower", "component").alias("component"))
 
 
 def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
