@@ -110,7 +110,7 @@ def local_ridge_classes(
             train, test = pdf[pdf[split] == "train"], pdf[pdf[split] == "test"]
             classes = np.unique(train[label])
             if len(classes) < 2:
-                raise ValueError(f"The number of classes has to be greater than one; got {len(classes)} class")
+                raise ValueError(f"a classifier needs two classes, the training rows have {len(classes)}")
             m = np.column_stack([np.ones(len(train)), train[names], np.where(train[label].to_numpy()[:, None] == classes, 1.0, -1.0)])
             k = len(names)
             coef, intercept = solve(m.T @ m, list(range(1, k + 1)), list(range(k + 1, m.shape[1])), alpha)
@@ -118,7 +118,7 @@ def local_ridge_classes(
             return pd.DataFrame({
                 "predictions": best, "ground_truth": test[label], "date": test[date], entity: one, "cat_style": style, "error": "NONE",
             })
-        except Exception as err:  # noqa: BLE001
+        except (ValueError, np.linalg.LinAlgError) as err:
             import datetime
 
             return pd.DataFrame({

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..session import cut_lineage
 from ..functions.numeric import safe_div
 
 QUANTILES = (0.1, 0.5, 0.9)
@@ -37,8 +38,9 @@ def confusion(df: DataFrame, truth: str, pred: str, keys: Sequence[str] = ()) ->
     counts = df.groupBy(*keys, F.col(truth).alias("truth"), F.col(pred).alias("predicted")).agg(
         F.count("*").alias("n")
     )
-    labels = df.select(F.explode(F.array(truth, pred)).alias("c")).agg(F.array_sort(F.collect_set("c"))).scalar()
-    groups = df.select(*keys).distinct() if keys else df.sparkSession.range(1)
+    counts = cut_lineage(counts, "confusion")  # a row for each pair of classes; the rows themselves are read once
+    labels = counts.select(F.explode(F.array("truth", "predicted")).alias("c")).agg(F.array_sort(F.collect_set("c"))).scalar()
+    groups = counts.select(*keys).distinct() if keys else df.sparkSession.range(1)
     spine = groups.select(*keys, F.explode(labels).alias("truth")).withColumn("predicted", F.explode(labels))
     return spine.join(counts, [*keys, "truth", "predicted"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 

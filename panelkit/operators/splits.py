@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.draws import unit_draw
+from .joins import salted_join
 from .ranking import global_position
 
 # The bypass row of an entity without any case.
@@ -62,6 +63,12 @@ def hashed_sample(df: DataFrame, fraction: float, on: Sequence[str], seed: int =
     return df.filter(unit_draw(seed, *on) <= F.lit(fraction))
 
 
+def sample_rows(df: DataFrame, n: int, on: Sequence[str], seed: int = 42) -> DataFrame:
+    """``n`` random rows, those with the lowest draw; a rerun keeps the same ones. Tasks send their ``n`` lowest."""
+    draw = unit_draw(seed, *on)
+    return df.withColumn("_draw", draw).orderBy("_draw", *on).limit(n).drop("_draw")
+
+
 def evaluation_cut(panel: DataFrame, horizon: int, entity: str = "entity", date: str = "start_date") -> DataFrame:
     """Mark the last ``horizon`` steps of every series as ``truth`` and the rest as ``history``."""
     back = F.row_number().over(W.partitionBy(entity).orderBy(F.col(date).desc()))
@@ -74,7 +81,7 @@ def zero_entities(df: DataFrame, target: str = "target", entity: str = "entity")
 
 def drop_zero_entities(df: DataFrame, train: DataFrame, target: str = "target", entity: str = "entity") -> DataFrame:
     """Rows of the entities with a non-zero training target."""
-    return df.join(zero_entities(train, target, entity), entity, "left_anti")
+    return salted_join(df, zero_entities(train, target, entity), [entity], df.columns, how="left_anti")
 
 
 def bypass_rows(entities: DataFrame, entity: str = "entity", classes: int = 2) -> DataFrame:

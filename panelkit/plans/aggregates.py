@@ -52,7 +52,7 @@ def _(t):
     uses="daily",
 )
 def _(t):
-    days = periods.count_by_period(t.daily, "day")  # weeks and months add up days, so events are read once per output
+    days = cut_lineage(periods.count_by_period(t.daily, "day"), "days")  # weeks and months add up days; events are read once
     out = [days.withColumn("period", F.lit("day"))]
     for unit in ("week", "month"):
         start = periods.period_start(F.col("start_date"), unit)

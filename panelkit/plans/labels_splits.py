@@ -170,6 +170,15 @@ def _(t):
     return splits.hashed_sample(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity"), 0.1, ["l_orderkey", "l_linenumber", "l_partkey"])
 
 
+@query(
+    "spl_4_random_rows", "SPL-4",
+    "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem ORDER BY " + _DRAW.format("concat_ws('|', l_orderkey, l_linenumber, l_partkey)")
+    + ", l_orderkey, l_linenumber, l_partkey LIMIT 500",
+)
+def _(t):
+    return splits.sample_rows(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity"), 500, ["l_orderkey", "l_linenumber", "l_partkey"])
+
+
 @query(
     "spl_5_zero_bypass", "SPL-5 SET-1",
     """WITH z AS (SELECT entity FROM daily GROUP BY 1 HAVING sum(CASE WHEN kind = 'error' AND event_date < DATE '2024-01-05' THEN 1 ELSE 0 END) = 0)
@@ -180,10 +189,10 @@ def _(t):
 def _(t):
     hit = (F.col("kind") == "error") & (F.col("event_date") < F.lit("2024-01-05").cast("date"))
     zero = splits.zero_entities(t.daily.withColumn("target", F.when(hit, 1).otherwise(0)))
-    fitted = t.daily.join(zero, "entity", "left_anti").groupBy("entity").agg(
+    fitted = t.daily.groupBy("entity").agg(  # one row an entity before the join
         F.count("*").cast("double").alias("predictions"), F.count("*").cast("double").alias("ground_truth"),
         F.max("event_date").alias("date"), F.count("*").alias("n"),
-    ).withColumns({"cat_style": F.lit("daily"), "error": F.lit("NONE")})
+    ).join(zero, "entity", "left_anti").withColumns({"cat_style": F.lit("daily"), "error": F.lit("NONE")})
     bypass = splits.bypass_rows(zero).drop("probabilities").withColumn("n", F.lit(0).cast("long"))
     return bypass.unionByName(fitted)
 

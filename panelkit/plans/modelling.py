@@ -28,9 +28,12 @@ def _frame(t, lookback: int = 6):
     return lag_frame(t.panel, TRAIN_START, TEST_END, "count", case_lookback=lookback, dense=True)
 
 
-def _labelled(t, style: str):
+LAGS_24 = [lag_name(i, "cases") for i in range(1, 25)]
+
+
+def _labelled(t, style: str, lookback: int = 24):
     """Training and test frames with ``label`` as double, expectations from training only."""
-    train, test = splits.temporal_holdout(cut_lineage(_frame(t)), TRAIN_START, TRAIN_END, TEST_END)
+    train, test = splits.temporal_holdout(cut_lineage(_frame(t, lookback)), TRAIN_START, TRAIN_END, TEST_END)
     a, b = targets.label_splits(train, test, style)
     label = lambda df: df.withColumn("label", F.col("cat_target").cast("double"))
     return label(a), label(b)
@@ -51,23 +54,22 @@ def _(t):
 @query("ml_2_global_binary_classifier", "ML-2 RES-1")
 def _(t):
     train, test = _labelled(t, "relative_binary")
-    features = [*CASE_LAGS, "month"]
-    scored = models.tree_classifier(train, test, features, 2, iterations=5)
-    settings = {"env_vars": ["none"], "additional_vars": ["month"], "case_lag": 1, "env_lag": 0, "specific_cases": [1, 2, 3, 4, 5, 6]}
+    scored = models.tree_classifier(train, test, [*LAGS_24, "month"], 2, iterations=20)
+    settings = {"env_vars": ["none"], "additional_vars": ["month"], "case_lag": 1, "env_lag": 0, "specific_cases": list(range(1, 25))}
     return result_frame(scored, "relative_binary", settings)
 
 
 @query("ml_2_global_ternary_classifier", "ML-2 RES-1")
 def _(t):
     train, test = _labelled(t, "relative_ternary")
-    scored = models.tree_classifier(train, test, [*CASE_LAGS, "month"], 3, iterations=10)
+    scored = models.tree_classifier(train, test, [*LAGS_24, "month"], 3, iterations=20)
     return result_frame(scored, "relative_ternary", {"case_lag": 1})
 
 
 @query("ml_3_ridge_classifier", "ML-3")
 def _(t):
     train, test = _labelled(t, "relative_ternary")
-    scored = models.ridge_classifier(train, test, CASE_LAGS, 3)
+    scored = models.ridge_classifier(train, test, LAGS_24, 3)
     return result_frame(scored, "relative_ternary", {"case_lag": 1}, probabilities=None)
 
 
@@ -100,7 +102,7 @@ _LAG_FRAME = f"""f AS (SELECT entity, start_date, month, count AS target, {", ".
     uses="panel",
 )
 def _(t):
-    train, test = _labelled(t, "relative_binary")
+    train, test = _labelled(t, "relative_binary", 6)
     scored = models.ridge_classifier(train, test, CASE_LAGS[:1], 2)
     return scored.select("entity", "start_date", F.col("label").alias("ground_truth"), F.col("prediction").alias("predictions"))
 
@@ -110,7 +112,7 @@ def _(t):
     train, test = _labelled(t, "relative_binary")
     zero = splits.zero_entities(train)
     rows = train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
-    fitted = linear.local_ridge_classes(rows.join(zero, "entity", "left_anti"), CASE_LAGS, "relative_binary_local")
+    fitted = linear.local_ridge_classes(rows.join(zero, "entity", "left_anti"), LAGS_24, "relative_binary_local")
     return fitted.unionByName(splits.bypass_rows(zero).drop("probabilities"))
 
 
@@ -134,27 +136,27 @@ def _(t):
 
 @query("ml_6_cluster_tree", "ML-6 D16")
 def _(t):
-    return models.cluster_tree(_season_series(t), "count", levels=2, rounds=2)
+    return models.cluster_tree(_season_series(t), "count")
 
 
 def _node_rows(t, members, level: int):
-    """Rate per node and month with 12 lags, marked train or test."""
+    """Rate per node and month with 24 lags, marked train or test."""
     here = members.filter(F.col("level") == level).select("entity", "node", "parent")
     sums = t.panel.join(here, "entity").groupBy("node", "parent", "start_date").agg(
         F.sum("count").alias("count"), F.sum("pop").alias("pop")
     )
     rate = sums.withColumn("rate", F.try_divide(F.col("count").cast("double"), F.col("pop")) * 100000)
-    lagged = drop_any_null(add_lags(rate, {"rate": range(1, 13)}, "node"), ["rate", *[lag_name(i, "rate") for i in range(1, 13)]])
+    lagged = drop_any_null(add_lags(rate, {"rate": range(1, 25)}, "node"), ["rate", *[lag_name(i, "rate") for i in range(1, 25)]])
     split = F.when(F.col("start_date") < F.lit(TRAIN_END).cast("date"), "train").otherwise("test")
     return lagged.withColumns({"split": split, "label": F.col("rate")})
 
 
 @query("ml_7_hierarchical_refinement", "ML-7 AGG-10 AGG-18 AGG-25 SRT-7")
 def _(t):
-    members = models.cluster_tree(_season_series(t), "count", levels=2, rounds=2)
-    lags = [lag_name(i, "rate") for i in range(1, 13)]
+    members = cut_lineage(models.cluster_tree(_season_series(t), "count"), "tree")
+    lags = [lag_name(i, "rate") for i in range(1, 25)]
     above, scores = None, []
-    for level in range(3):  # one job graph per level, all nodes of the level together
+    for level in range(4):  # one job graph per level, all nodes of the level together
         rows = _node_rows(t, members, level)
         plain = linear.local_ridge(rows, lags, entity="node")
         best = plain

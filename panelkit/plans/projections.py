@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F, types as T
 
+from ..functions.text import LAND_COVER_BANDS
 from ..functions import arrays, numeric
 from ..operators import schema, series
 from ..operators.lags import lag_frame
@@ -178,12 +179,12 @@ def _land_cover(t):
 _COVER_SQL = """SELECT entity, round(sum(CASE WHEN flag = 'A' THEN quantity ELSE 0 END) / sum(quantity), 6) AS water,
     round(sum(CASE WHEN flag = 'N' THEN quantity ELSE 0 END) / sum(quantity), 6) AS trees,
     round(sum(CASE WHEN flag NOT IN ('A', 'N') THEN quantity ELSE 0 END) / sum(quantity), 6) AS grass,
-    0.0 :: DOUBLE AS flooded_vegetation FROM line_list GROUP BY 1"""
+    """ + ", ".join(f"0.0 :: DOUBLE AS {band}" for band in LAND_COVER_BANDS[3:]) + " FROM line_list GROUP BY 1"
 
 
 @query("prj_18_land_cover_map", "PRJ-18", _COVER_SQL, uses="line_list")
 def _(t):
-    fractions = arrays.cover_fractions(F.col("histogram"))[:4]
+    fractions = arrays.cover_fractions(F.col("histogram"))
     return _land_cover(t).select("entity", *fractions).withColumns({c: F.round(c, 6) for c in ("water", "trees", "grass")})
 
 
@@ -192,7 +193,7 @@ def _(t):
     _COVER_SQL.replace("0.0 :: DOUBLE", "CAST(NULL AS DOUBLE)"), uses="line_list",
 )
 def _(t):
-    fractions = arrays.cover_fractions(F.col("histogram"), positional=True)[:4]
+    fractions = arrays.cover_fractions(F.col("histogram"), positional=True)
     return _land_cover(t).select("entity", *fractions).withColumns({c: F.round(c, 6) for c in ("water", "trees", "grass")})
 
 
