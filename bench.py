@@ -42,6 +42,11 @@ HEADLINE = [
     "ml_10_partial_pooling",
     "ml_13_lookback_sweep",
     "ml_14_forward_selection",
+    "ml_1_robust_scaling",
+    "ml_2_global_binary_classifier",
+    "ml_7_hierarchical_refinement",
+    "ml_15_successive_halving",
+    "spl_2_expanding_folds",
 ]
 
 
