@@ -20,19 +20,23 @@ WINDOW = 50
 DEPTH, LOG_CELLS = 2, 28
 #: Suspected windows a task merges before it sends their smallest ids.
 MERGED = 1 << 20
-#: The filter of documents that lose words: one row of 2**26 bits, 8 MB.
-LOG_TOUCHED = 26
-#: Bits for the place of a window within its text; those above tell rows with one doc_id apart.
-_PLACE_BITS = 40
+#: The filters of windows found in several documents and of documents that lose words, as powers of two: 16 and 8 MB.
+LOG_FOUND, LOG_TOUCHED = 27, 26
 
 
 def _windows(block: Block, size: int):
-    """Place (number of its first word in the text), text, and two hashes of each window, each once for a text."""
+    """Of each window, once for each text: place (number of its first word in the text), text, and two hashes."""
     first = block.first_word()
     at, a = block.window_hash(block.word_hash(0), size, 0)
     b = block.window_hash(block.word_hash(1), size, 1)[1]
     doc = block.doc[at]
-    return at - first[doc], doc, a, b
+    kept = np.sort(np.unique(mix(a + mix(doc.astype(np.uint64))), return_index=True)[1])
+    return at[kept] - first[doc[kept]], doc[kept], a[kept], b[kept]
+
+
+def _short(b: np.ndarray) -> np.ndarray:
+    """The upper half of the second hash."""
+    return (b >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def _known(batch, block: Block) -> np.ndarray:
@@ -48,82 +52,106 @@ def sketch_parts(docs: DataFrame, size: int, depth: int, log_cells: int) -> Data
         for batch in batches:
             for block in blocks(batch.column("text")):
                 _, doc, a, b = _windows(block, size)
-                kept = np.unique(mix(a + mix(doc.astype(np.uint64))), return_index=True)[1]
-                kept = kept[_known(batch, block)[doc[kept]]]
+                kept = _known(batch, block)[doc]
                 yield from parts.add(a[kept], b[kept])
         yield from parts.flush()
 
     return docs.select("doc_id", "text").mapInArrow(sketch, PART)
 
 
-def suspected(docs: DataFrame, bits, size: int, firsts: bool) -> DataFrame:
-    """Windows that the sketch estimates repeated: ``a, b`` (96 bits of hash), ``doc_id``, and for all of them
-    ``place``; with ``firsts`` only the smallest doc_id of each window among those a task holds at a time."""
-    schema = "a long, b int, doc_id long" + ("" if firsts else ", place long")
-
-    def batch_of(a, b, doc, place):
-        if firsts:
-            order = np.lexsort((doc, b, a))
-            a, b, doc = a[order], b[order], doc[order]
-            head = np.ones(len(a), bool)
-            head[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-            a, b, doc = a[head], b[head], doc[head]
-        columns = [pa.array(a.view(np.int64)), pa.array(b), pa.array(doc)] + ([] if firsts else [pa.array(place)])
-        return pa.RecordBatch.from_arrays(columns, ["a", "b", "doc_id", "place"][: len(columns)])
+def _suspected(batches, size: int, bits, found=None):
+    """Hashes, id and place of the windows that the sketch, and the filter ``found``, do not rule out, block by block."""
+    for batch in batches:
+        ids = batch.column("doc_id").cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
+        for block in blocks(batch.column("text")):
+            place, doc, a, b = _windows(block, size)
+            ok = np.flatnonzero(_known(batch, block)[doc])
+            ok = ok[bits.value.may_hold(a[ok], b[ok])]
+            if found is not None:
+                ok = ok[found.value.may_hold(a[ok], mix(_short(b[ok]).astype(np.uint64)))]
+            if len(ok):
+                yield a[ok], _short(b[ok]), ids[block.first + doc[ok]], place[ok]
+
+
+def document_ends(docs: DataFrame, bits, size: int) -> DataFrame:
+    """``a, b`` (96 bits of hash) of suspected windows with the smallest and the largest id among those that a task
+    holds at a time."""
+
+    def ends(held):
+        a, b, doc = (np.concatenate(x) for x in list(zip(*held, strict=True))[:3])
+        order = np.lexsort((doc, b, a))
+        a, b, doc = a[order], b[order], doc[order]
+        head = np.ones(len(a), bool)
+        head[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        last = np.append(head[1:], True)
+        columns = [pa.array(a[head].view(np.int64)), pa.array(b[head]), pa.array(doc[head]), pa.array(doc[last])]
+        return pa.RecordBatch.from_arrays(columns, ["a", "b", "least", "most"])
 
     def emit(batches):
         held, n = [], 0
-        for batch in batches:
-            ids = batch.column("doc_id").cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
-            for block in blocks(batch.column("text")):
-                place, doc, a, b = _windows(block, size)
-                ok = np.flatnonzero(_known(batch, block)[doc])
-                ok = ok[bits.value.may_hold(a[ok], b[ok])]
-                if not len(ok):
-                    continue
-                a, b, place, doc = a[ok], (b[ok] >> np.uint64(32)).astype(np.uint32).view(np.int32), place[ok], doc[ok]
-                tie = block.byte_hash(block.bounds[:-1], block.bounds[1:]) >> np.uint64(_PLACE_BITS + 1)
-                held.append((a, b, ids[block.first + doc], place + (tie[doc].astype(np.int64) << _PLACE_BITS)))
-                n += len(a)
-                if n >= (MERGED if firsts else 1 << 17):
-                    yield batch_of(*(np.concatenate(x) for x in zip(*held, strict=True)))
-                    held, n = [], 0
+        for part in _suspected(batches, size, bits):
+            held.append(part)
+            n += len(part[0])
+            if n >= MERGED:
+                yield ends(held)
+                held, n = [], 0
         if n:
-            yield batch_of(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield ends(held)
+
+    return docs.select("doc_id", "text").mapInArrow(emit, "a long, b int, least long, most long")
+
+
+def occurrences(docs: DataFrame, bits, found, size: int) -> DataFrame:
+    """``a, b, doc_id, place`` of the windows that both bitmaps may hold, each once for each text."""
 
-    return docs.select("doc_id", "text").mapInArrow(emit, schema)
+    def emit(batches):
+        for a, b, doc, place in _suspected(batches, size, bits, found):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(a.view(np.int64)), pa.array(b), pa.array(doc), pa.array(place.astype(np.int32))], ["a", "b", "doc_id", "place"])
 
+    return docs.select("doc_id", "text").mapInArrow(emit, "a long, b int, doc_id long, place int")
 
-def repeated_spans(docs: DataFrame, size: int = WINDOW, depth: int = DEPTH, log_cells: int = LOG_CELLS) -> DataFrame:
-    """``doc_id, tie`` and ``starts, ends``: runs of words covered by windows that also start in a document with a
-    smaller id. Documents without any are left out; rows without an id neither lose words nor make others lose any.
 
-    Tasks send cells of windows, which merge into one bitmap of cells hit twice, the only thing all tasks read. What
-    it rules out occurs once. The rest is grouped exactly: the smallest id for each window, tasks sending one row a
-    window, and a join that gives it to every occurrence. A passage that a third of all documents share is thus one
-    row a task in the grouping and a key that Spark can split in the join.
+def repeated_windows(docs: DataFrame, size: int = WINDOW, depth: int = DEPTH, log_cells: int = LOG_CELLS) -> DataFrame:
+    """``doc_id`` and ``places, checks``: windows that also start in a document with a smaller id, by the place where
+    they first start and half a hash. Documents without any are left out; rows without an id neither lose words nor
+    make others lose any.
+
+    Tasks send cells of windows, which merge into one bitmap of cells hit twice. What it rules out occurs once. The
+    rest is grouped exactly: smallest and largest id of each window, tasks sending one row a window; windows of
+    several documents are written. A join gives the smallest id to every occurrence: both sides are plain shuffles,
+    so a passage that a third of all documents share is a key that Spark can split.
     """
     bits = share(sketch_parts(docs, size, depth, log_cells), depth, log_cells, "again")
-    least = suspected(docs, bits, size, True).groupBy("a", "b").agg(F.min("doc_id").alias("least"))
-    found = suspected(docs, bits, size, False).join(least, ["a", "b"]).filter("least < doc_id")
-    places = found.groupBy("doc_id", F.shiftright("place", _PLACE_BITS).alias("tie")).agg(
-        F.collect_list(F.col("place").bitwiseAND((1 << _PLACE_BITS) - 1).cast("int")).alias("places"))  # of one text
+    groups = document_ends(docs, bits, size).groupBy("a", "b").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+    several = cut_lineage(groups.filter("least < most").select("a", "b", "least"), "windows")
 
-    def merge(batches):
+    def keys(batches):
+        parts = Parts(1, LOG_FOUND)
         for batch in batches:
-            starts, ends = [], []
-            for at in batch.column("places"):
-                at = np.unique(at.values.to_numpy())
-                head = np.ones(len(at), bool)
-                head[1:] = at[1:] > at[:-1] + size
-                starts.append(at[head])
-                ends.append(at[np.append(head[1:], True)] + size)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("tie"), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32()))],
-                ["doc_id", "tie", "starts", "ends"],
-            )
+            yield from parts.add(batch.column("a").to_numpy().view(np.uint64), mix(batch.column("b").to_numpy().astype(np.uint64)))
+        yield from parts.flush()
+
+    found = share(several.select("a", "b").mapInArrow(keys, PART), 1, LOG_FOUND, "seen")
+    met = occurrences(docs, bits, found, size).join(several, ["a", "b"]).filter("least < doc_id")
+    pair = F.struct("place", F.col("b").alias("check"))
+    listed = met.groupBy("doc_id").agg(F.collect_list(pair).alias("p"))  # of one document
+    return listed.select("doc_id", F.col("p.place").alias("places"), F.col("p.check").alias("checks"))
 
-    return places.mapInArrow(merge, "doc_id long, tie long, starts array<int>, ends array<int>")
+
+def _covered(first: np.ndarray, hashes, text: int, places: np.ndarray, checks: np.ndarray, size: int) -> np.ndarray:
+    """Which words of a text are covered by the windows that start at ``places`` with these checks, wherever else in
+    the text the same windows start. Places of another text under the same id fail the check."""
+    at, a, b = hashes
+    low, high = np.searchsorted(at, first[text : text + 2])
+    own_a, own_b, start = a[low:high], b[low:high], at[low:high] - first[text]
+    places, checks = places[places < len(start)], checks[places < len(start)]
+    good = places[_short(own_b[places]) == checks]
+    hit = start[np.isin(own_a, own_a[good])]
+    edges = np.zeros(first[text + 1] - first[text] + 1, np.int64)
+    edges[: len(start)][hit] += 1
+    np.add.at(edges, hit + size, -1)
+    return np.cumsum(edges[:-1]) > 0
 
 
 def dedup_substrings(docs: DataFrame, size: int = WINDOW, depth: int = DEPTH, log_cells: int = LOG_CELLS) -> DataFrame:
@@ -131,9 +159,9 @@ def dedup_substrings(docs: DataFrame, size: int = WINDOW, depth: int = DEPTH, lo
     names where taken). Kept words and the white space behind them stay as they are; a text that loses nothing is
     unchanged. Every row stays, if with an empty text; a null text stays null and has no words.
 
-    Texts that lose words are found by a small filter, and only they are joined to their spans.
+    Texts that lose words are found by a small filter, and only they are joined to their windows.
     """
-    spans = cut_lineage(repeated_spans(docs, size, depth, log_cells), "spans")
+    windows = cut_lineage(repeated_windows(docs, size, depth, log_cells), "repeated")
 
     def ids_of(batches):
         parts = Parts(1, LOG_TOUCHED)
@@ -142,11 +170,11 @@ def dedup_substrings(docs: DataFrame, size: int = WINDOW, depth: int = DEPTH, lo
             yield from parts.add(key, key)
         yield from parts.flush()
 
-    touched = share(spans.select("doc_id").mapInArrow(ids_of, PART), 1, LOG_TOUCHED, "seen")
+    touched = share(windows.select("doc_id").mapInArrow(ids_of, PART), 1, LOG_TOUCHED, "seen")
     names = docs.columns
     n_words, n_removed = free_name(docs, "n_words"), free_name(docs, "n_removed")
-    may, tie, starts, ends = (free_name(docs, x) for x in ("may_lose", "text_tie", "span_starts", "span_ends"))
-    schema = T.StructType([*docs.schema.fields, T.StructField(may, T.BooleanType()), T.StructField(tie, T.LongType())])
+    may, places, checks = (free_name(docs, x) for x in ("may_lose", "window_places", "window_checks"))
+    schema = T.StructType([*docs.schema.fields, T.StructField(may, T.BooleanType())])
     text_at, id_at = names.index("text"), names.index("doc_id")
 
     def mark(batches):
@@ -154,41 +182,47 @@ def dedup_substrings(docs: DataFrame, size: int = WINDOW, depth: int = DEPTH, lo
             ids = batch.column(id_at).cast(pa.int64())
             key = mix(ids.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64))
             flag = touched.value.may_hold(key, key) & ~ids.is_null().to_numpy(zero_copy_only=False)
-            ties = [b.byte_hash(b.bounds[:-1], b.bounds[1:]) >> np.uint64(_PLACE_BITS + 1) for b in blocks(batch.column(text_at))]
-            ties = np.concatenate(ties).astype(np.int64) if ties else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(flag), pa.array(ties)], schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(flag)], schema.names)
 
     marked = docs.mapInArrow(mark, schema)
-    cuts = spans.select(F.col("doc_id").alias("span_doc"), F.col("tie").alias("span_tie"), F.col("starts").alias(starts), F.col("ends").alias(ends))
-    hit = marked.filter(F.col(may)).join(cuts, (F.col("doc_id") == F.col("span_doc")) & (F.col(tie) == F.col("span_tie")), "left")
-    columns = [*[F.col(f"`{c}`") for c in names], F.col(starts), F.col(ends)]
+    lost = windows.select(F.col("doc_id").alias("window_doc"), F.col("places").alias(places), F.col("checks").alias(checks))
+    hit = marked.filter(F.col(may)).join(lost, F.col("doc_id") == F.col("window_doc"), "left")
+    columns = [*[F.col(f"`{c}`") for c in names], F.col(places), F.col(checks)]
     none = F.lit(None).cast("array<int>")
-    calm = marked.filter(~F.col(may)).withColumn(starts, none).withColumn(ends, none)
+    calm = marked.filter(~F.col(may)).withColumn(places, none).withColumn(checks, none)
     out = T.StructType([*docs.schema.fields, T.StructField(n_words, T.LongType()), T.StructField(n_removed, T.LongType())])
 
+    def cut_text(block: Block, first: int, text: int, gone: np.ndarray) -> str:
+        opens = np.flatnonzero(gone & ~np.append(False, gone[:-1]))
+        closes = np.flatnonzero(gone & ~np.append(gone[1:], False)) + 1
+        parts, at, stop = [], block.bounds[text], block.bounds[text + 1]
+        for a, b in zip(opens, closes, strict=True):
+            parts.append(block.body[at : block.start[first + a]].tobytes())
+            at = block.start[first + b] if b < len(gone) else stop
+        return b"".join([*parts, block.body[at:stop].tobytes()]).decode("utf-8")
+
     def cut(batches):
         for batch in batches:
             words, removed = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-            column = batch.column(text_at)
-            changed: dict[int, str] = {}
+            column, changed = batch.column(text_at), {}
+            listed = ~batch.column(len(names)).is_null().to_numpy(zero_copy_only=False)
             for block in blocks(column):
+                words[block.first : block.first + block.texts] = block.words_per_text
+                at = block.first + np.flatnonzero(listed[block.first : block.first + block.texts])
                 first = block.first_word()
-                words[block.first : block.first + block.texts] = np.diff(first)
-                for i in range(block.texts):
-                    lost = batch.column(-2)[block.first + i].as_py()
-                    if not lost:
-                        continue
-                    parts, at = [], block.bounds[i]
-                    for a, b in zip(lost, batch.column(-1)[block.first + i].as_py(), strict=True):
-                        removed[block.first + i] += b - a
-                        parts.append(block.body[at : block.start[first[i] + a]].tobytes())
-                        at = block.start[first[i] + b] if first[i] + b < first[i + 1] else block.bounds[i + 1]
-                    parts.append(block.body[at : block.bounds[i + 1]].tobytes())
-                    changed[block.first + i] = b"".join(parts).decode("utf-8")
+                if len(at):
+                    start, a = block.window_hash(block.word_hash(0), size, 0)
+                    hashes = start, a, block.window_hash(block.word_hash(1), size, 1)[1]
+                for row in at:
+                    own = [batch.column(len(names) + k)[row].values.to_numpy() for k in (0, 1)]
+                    gone = _covered(first, hashes, row - block.first, *own, size)
+                    removed[row] = gone.sum()
+                    if removed[row]:
+                        changed[row] = cut_text(block, first[row - block.first], row - block.first, gone)
             if changed:
                 texts = column.to_pylist()
-                for i, text in changed.items():
-                    texts[i] = text
+                for row, text in changed.items():
+                    texts[row] = text
                 column = pa.array(texts, column.type)
             columns = [column if k == text_at else batch.column(k) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(words), pa.array(removed)], out.names)
