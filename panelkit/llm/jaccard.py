@@ -25,6 +25,8 @@ FREQUENT = 1 << 17
 NOTED = 8
 #: Cells of the filters of shingles and of ids, as powers of two: 32 MB and 8 MB at most.
 LOG_TOKENS, LOG_IDS = 28, 26
+#: Words of 64 bits in a set's parity bits.
+PARITY = 16
 #: Pairs of texts compared at a time.
 VERIFIED = 64
 #: Star rounds before the remaining pairs are all tried.
@@ -76,11 +78,12 @@ def frequent_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarra
 
 
 def signatures(docs: DataFrame, size: int, least: int, frequent) -> DataFrame:
-    """``doc_id, n`` (set size), ``a, b`` (128 bits of the set), ``same`` (prefix and size) and ``prefix``: the
-    shingles of which similar sets share at least one, in order. Texts without words have n = 0 and no prefix."""
+    """``doc_id, n`` (set size), ``a, b`` (128 bits of the set), ``same`` (prefix and size), ``prefix``: the shingles of
+    which similar sets share at least one, in order, and ``parity``: bits that each shingle of the set flips one of.
+    Texts without words have n = 0 and no prefix."""
     schema = T.StructType([
         docs.schema["doc_id"], T.StructField("n", T.LongType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType()),
-        T.StructField("same", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType())),
+        T.StructField("same", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("parity", T.ArrayType(T.LongType())),
     ])
 
     def sign(batches):
@@ -110,8 +113,12 @@ def signatures(docs: DataFrame, size: int, least: int, frequent) -> DataFrame:
                 same = mix(total(prefix, 3).view(np.uint64) + n.astype(np.uint64)).view(np.int64)
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(hashes[inside].view(np.int64)))
+                flips = mix(hashes + mix(np.array([4], np.uint64)))
+                parity = np.zeros(block.texts * PARITY, np.uint64)
+                np.bitwise_xor.at(parity, doc * PARITY + (flips & np.uint64(PARITY - 1)).astype(np.int64), np.uint64(1) << (flips >> np.uint64(58)))
+                parities = pa.ListArray.from_arrays(pa.array(np.arange(block.texts + 1, dtype=np.int32) * PARITY), pa.array(parity.view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(block.first, block.texts), pa.array(n), pa.array(a), pa.array(b), pa.array(same), lists],
+                    [batch.column("doc_id").slice(block.first, block.texts), pa.array(n), pa.array(a), pa.array(b), pa.array(same), lists, parities],
                     schema.names,
                 )
 
@@ -196,8 +203,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, least: int = LEAST, ro
        the shuffle.
     3. Star rounds: in each list that holds several components, one drawn member is verified against the members of
        other components. Links join components, so large groups of near copies shrink to one without trying all pairs.
-    4. What is left: group pairs of different components that pass the size and place filters are expanded to members
-       and verified, all of them. Only members outside a list's largest component look for partners in it.
+    4. What is left: pairs of members of different components that pass the size, place and parity filters are verified,
+       all of them. Only members outside a list's largest component look for partners in it.
     """
     spark = docs.sparkSession
     frequent = spark.sparkContext.broadcast(frequent_shingles(docs, size))
@@ -217,7 +224,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, least: int = LEAST, ro
     nodes = cut_lineage(sets.select(F.col("rep").alias("node"), F.col("rep").alias("component")).distinct(), "nodes")
     for turn in range(rounds + 1):
         lists = _open_lists(lists)
-        pairs = _star_pairs(lists, least, turn) if turn < rounds else _remaining_pairs(lists, least)
+        pairs = _star_pairs(lists, least, turn) if turn < rounds else _remaining_pairs(_with_parity(lists, some), least)
         pairs = cut_lineage(pairs.distinct(), "pairs")
         merged = None if pairs.isEmpty() else _merged(nodes, verified(docs, pairs, size, least))
         if merged is not None:
@@ -246,14 +253,28 @@ def _star_pairs(lists: DataFrame, least: int, turn: int) -> DataFrame:
     return star.select(F.least("a.rep", "b.rep").alias("x"), F.greatest("a.rep", "b.rep").alias("y"))
 
 
+def _with_parity(lists: DataFrame, signed: DataFrame) -> DataFrame:
+    """Lists with the parity bits of their members; null where one id has several sets of the same size."""
+    reps = lists.select("rep").distinct()
+    known = signed.select(F.col("doc_id").cast("long").alias("rep"), "n", "a", "parity").join(reps, "rep", "left_semi")
+    one = F.when(F.min("a") == F.max("a"), F.min("parity")).alias("parity")
+    return cut_lineage(lists.join(known.groupBy("rep", "n").agg(one), ["rep", "n"], "left"), "lists")
+
+
 def _remaining_pairs(lists: DataFrame, least: int) -> DataFrame:
     """All pairs of members of different components that share a list and pass the filters. The members of a list's
-    largest component look for no partners; they are found by the others."""
+    largest component look for no partners; they are found by the others.
+
+    Each shingle that only one of two sets has flips one parity bit, so two sets differ in as many shingles at least as
+    in bits. Pairs that differ in more than similar sets can are dropped where they meet.
+    """
     sizes = lists.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k"))
     main = sizes.groupBy("token").agg(F.max(F.struct("k", "component")).alias("m")).select("token", F.col("m.component").alias("main"))
     few = lists.join(main, "token").filter("component <> main").alias("a")
     differ = "a.token = b.token and a.component <> b.component and (b.component = a.main or a.rep < b.rep) and "
-    pairs = few.join(lists.alias("b"), F.expr(differ + _possible(least, "a", "b")))
+    bits = " + ".join(f"bit_count(a.parity[{k}] ^ b.parity[{k}])" for k in range(PARITY))
+    near = f" and coalesce(({bits}) * {100 + least} <= {100 - least} * (a.n + b.n), true)"
+    pairs = few.join(lists.alias("b"), F.expr(differ + _possible(least, "a", "b") + near))
     return pairs.select(F.least("a.rep", "b.rep").alias("x"), F.greatest("a.rep", "b.rep").alias("y"))
 
 
