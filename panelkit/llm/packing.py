@@ -44,8 +44,15 @@ class WordIds:
         self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def ids(self, text: bytes) -> bytes:
-        # the vocabulary lower-cases anyway; only its special strings are told apart by case
-        words = (text if b"<|" in text else text.lower()).split()  # bytes.split() cuts at ASCII white space alone
+        # The vocabulary composes first and lower-cases last, and a capital and its small letter compose with other marks: only
+        # words of ASCII alone may be lowered before it. Its special strings are told apart by case.
+        # bytes.split() cuts at ASCII white space alone.
+        if b"<|" in text:
+            words = text.split()
+        elif text.isascii():
+            words = text.lower().split()
+        else:
+            words = [w.lower() if w.isascii() else w for w in text.split()]
         known = self.known
         try:
             return b"".join(map(known.__getitem__, words))

@@ -225,6 +225,16 @@ def test_word_ids_equal_whole_texts():
         assert np.frombuffer(own.ids(text.encode()), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+def test_word_ids_compose_before_lower_case():
+    """A capital with a mark that has no composed form, though its small letter with the mark has one."""
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    own, whole = packing.WordIds(packing.default_path()), Tokenizer.from_file(packing.default_path())
+    for text in ("H\u0331afiz", "J\u030c", "T\u0308", "W\u030a", "Y\u030a", "The H\u0331AFIZ, J\u030c. AND W\u030aord! <|x T\u0308"):
+        assert np.frombuffer(own.ids(text.encode()), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
+
+
 def test_winnowing_guarantee(docs_of):
     """Texts that share GRAM + WINDOW - 1 units share a fingerprint; positions point at the picked grams."""
     import random
