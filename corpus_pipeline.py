@@ -25,8 +25,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of the n-gram Jaccard join: that of the smallest id."""
-    return keep_one_of_each(docs)
+    """One document of each component of the n-gram Jaccard join: that of the smallest id. Near copies share 80 hundredths
+    of their shingles of five words at least."""
+    return keep_one_of_each(docs, size=5, least=80)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -177,6 +177,21 @@ def test_pipeline_against_plain_versions(spark):
     check_packing(mixed, corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).collect())
 
 
+def test_pipeline_near_copies(spark, docs_of):
+    """Pairs at, just above and below 80 hundredths of five-word shingles, with edits in one passage and scattered."""
+    import corpus_pipeline
+    from test_contracts import plain_components
+
+    rows = []
+    for k, (n, edits) in enumerate([(200, range(90, 107)), (200, range(90, 108)), (184, [30, 70, 110, 150]), (183, [30, 70, 110, 150]), (200, [40, 80, 120, 160])]):
+        base = [f"t{k}_{i}" for i in range(n)]
+        rows.append((10 * k, " ".join(base)))
+        rows.append((10 * k + 1, " ".join(f"e{k}_{i}" if i in edits else w for i, w in enumerate(base))))
+    kept = {r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs_of(rows), SMALL).collect()}
+    assert kept == {i for i, _, c in plain_components(rows, size=5, least=80) if i == c}
+    assert kept != {i for i, _, c in plain_components(rows) if i == c}
+
+
 def test_rest_works_without_this_package(tmp_path):
     """The driver deletes the folders: the entry still lists the other queries."""
     import shutil
