@@ -12,14 +12,18 @@ from .columns import read, text_of
 #: Units of a gram, and grams of a window: a shared run of GRAM + WINDOW - 1 units always shares a fingerprint.
 GRAM = 3
 WINDOW = 8
-#: A unit is a word, or a piece of that many code points of a longer one.
+#: A unit is a word, or any run of that many code points in a longer one: one starts at each of its code points.
 UNIT = 16
 
 _POSITIONS = (1 << 31) - 1
 
 
 def units(text: Column, unit: int = UNIT) -> Column:
-    return F.regexp_extract_all(text, F.lit(rf"[^\x20\x09-\x0D]{{1,{unit}}}"), F.lit(0))
+    """Words of up to ``unit`` code points; of a longer one the pieces of ``unit`` code points at every position, so that
+    they do not depend on where it starts."""
+    inside = r"[^\x20\x09-\x0D]"
+    word = rf"(?<!{inside}){inside}{{1,{unit}}}+(?!{inside})"
+    return F.regexp_extract_all(text, F.lit(rf"(?=({word}|{inside}{{{unit}}}))(?:{word}|{inside})"), F.lit(1))
 
 
 def winnowed(text: Column, gram: int = GRAM, window: int = WINDOW, unit: int = UNIT) -> Column:

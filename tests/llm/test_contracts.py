@@ -262,6 +262,34 @@ def test_winnowing_picks_rightmost_minimum(docs_of):
     assert sorted(r["fingerprint_at"]) == list(range(fingerprints.WINDOW - 1, n)) and len(set(r["fingerprint"])) == 1
 
 
+def test_winnowing_without_spaces(docs_of):
+    """In long runs a unit starts at each code point: a passage's fingerprints do not depend on its offset."""
+    import random
+
+    rng, n = random.Random(7), fingerprints.UNIT
+    shared = n + fingerprints.GRAM + fingerprints.WINDOW - 2  # code points of GRAM + WINDOW - 1 units
+    draw = lambda k, of: "".join(rng.choice(of) for _ in range(k))
+    han, base64 = [chr(0x4E00 + i) for i in range(3000)] + ["\U00020000"], "abcdefghijklmnopqrstuvwxyz0123456789+/"
+    texts = [draw(300, han), draw(300, base64), *(mark.join(draw(6, base64) for _ in range(60)) for mark in "\u00a0\u3000")]
+    for text in texts:
+        cut = text[40:40 + shared]
+        for at in (1, 7, 16):
+            rows = [(1, text), (2, draw(at, han) + text), (3, draw(at + n, han) + cut + draw(n + 1, han))]
+            found = {r["doc_id"]: set(r["fingerprint"]) for r in fingerprints.fingerprint(docs_of(rows, parts=1)).collect()}
+            assert len(found[1] - found[2]) <= 1 and found[1] & found[3]
+    edits = fingerprints.neighbour_edits(docs_of([(1, texts[0]), (2, "x" + texts[0])])).collect()
+    assert all(r["near_next"] > 0.9 for r in edits)
+
+
+def test_units(spark):
+    def plain(text, n=4):
+        return [p for w in split(text) for p in ([w] if len(w) <= n else [w[i:i + n] for i in range(len(w) - n + 1)])]
+
+    texts = ["", " ", "a", "abcd", "abcde", " ab\nabcd abcdef\u00a0\u3000gh x ", "\U0001f600" * 5 + " é\v中文字", "a" * 4 + "\t" + "b" * 9]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert [r[0] for r in frame.coalesce(1).select(fingerprints.units(F.col("text"), 4)).collect()] == [plain(t) for t in texts]
+
+
 def plain_edits(rows):
     """doc_id, n_chars and digest of the edited text, over distinct rows in id order (ids are unique here)."""
     rows = sorted(rows)
