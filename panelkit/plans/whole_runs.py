@@ -42,13 +42,13 @@ def _(t):
 @query("run_classifier_trees", "ML-1 ML-2 RES-1")
 def _(t):
     return flows.run_classifier(
-        t.panel, TRAIN_START, TRAIN_END, TEST_END, "relative_binary", "trees", target="count", case_lookback=6, dense=True
+        t.panel, TRAIN_START, TRAIN_END, TEST_END, "relative_binary", "trees", target="count", dense=True
     )
 
 
 @query("run_classifier_local_report", "ML-4 SPL-5 AGG-20")
 def _(t):
-    run = flows.run_classifier(t.panel, TRAIN_START, TRAIN_END, TEST_END, "relative_ternary", "local", target="count", case_lookback=6, dense=True)
+    run = flows.run_classifier(t.panel, TRAIN_START, TRAIN_END, TEST_END, "relative_ternary", "local", target="count", dense=True)
     return flows.classify_report(run)[1]
 
 

@@ -1,6 +1,7 @@
 """Whole runs on the smallest data."""
 
 import datetime as dt
+import inspect
 
 import pytest
 from pyspark.sql import functions as F
@@ -73,3 +74,21 @@ def test_forecast_frames_fit_the_result_tables(spark, panel):
         tables.append_by_name(frame, name)
         assert spark.table(name).count() == frame.count() > 0
     assert out["predictions"].count() == 3 * out["item_metrics"].count()
+
+
+@pytest.mark.parametrize("name", ["run_classifier_trees", "run_classifier_local_report"])
+def test_classifier_queries_take_24_months(spark, monkeypatch, name):
+    from panelkit.plans import all_queries
+
+    class Called(Exception):
+        pass
+
+    def called(*args, **kwargs):
+        bound = inspect.signature(run).bind(*args, **kwargs)
+        bound.apply_defaults()
+        raise Called(bound.arguments["case_lookback"])
+
+    run = flows.run_classifier
+    monkeypatch.setattr(flows, "run_classifier", called)
+    with pytest.raises(Called, match="^24$"):
+        all_queries()[name](spark, "/root/testdata/sf0.001")
