@@ -141,8 +141,8 @@ def halving_schedule(candidates: int, start: int, most: int, factor: int = 2) ->
 
 
 def random_candidates(n: int, seed: int = 42) -> list[dict]:
-    """Learning rate log-uniform in 0.0001..0.1, leaves, rows of a leaf and penalty uniform (fixed ranges). The depth is the
-    least that gives a tree so many leaves."""
+    """Learning rate log-uniform in 0.0001..0.1, leaves and rows of a leaf uniform (fixed ranges). The depth is the least
+    that gives a tree so many leaves. No penalty is drawn: MLlib's boosted trees have none."""
     rng = random.Random(seed)
     return [
         {
