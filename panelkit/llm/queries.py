@@ -16,6 +16,7 @@ _QUERIES = {
     "op8_warc_revisits": ("revisits", "OP8_SQL"),
     "op9_fingerprints": ("fingerprints", None),
     "op10_source_mix": ("mixing", "OP10_SQL"),
+    "op13_merkle_manifest": ("merkle", None),
 }
 
 
