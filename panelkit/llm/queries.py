@@ -16,6 +16,8 @@ _QUERIES = {
     "op8_warc_revisits": ("revisits", "OP8_SQL"),
     "op9_fingerprints": ("fingerprints", None),
     "op10_source_mix": ("mixing", "OP10_SQL"),
+    "op11_collocations": ("collocations", None),
+    "op12_suffix_dedup": ("suffixes", None),
     "op13_merkle_manifest": ("merkle", None),
 }
 
