@@ -30,9 +30,9 @@ SIZE, GRAM = 100, 40
 #: Bytes of text scanned at once; a longer text is scanned in overlapping pieces.
 PIECE = 1 << 19
 #: Strips a task compares with each other before it sends the first of each kind.
-HELD = 1 << 19
+HELD = 1 << 18
 #: Bytes of strips sorted at once, and the most kinds of strips under one anchor for that. Beyond it strings travel one by one.
-SORTED, KINDS = 1 << 22, 1 << 15
+SORTED, KINDS = 1 << 20, 1 << 12
 
 _BASE = 0x9E3779B97F4A7C15
 _SPREAD = np.uint64(0xD1342543DE82EF95)
