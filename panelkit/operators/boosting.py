@@ -209,7 +209,7 @@ class Boosting:
         wanted = {key: [0] for key in sums}
         settings = {m.name: m.setting for m in alive}
         while wanted:
-            for r in self._best_splits(alive, trees, wanted).collect():  # one row a node
+            for r in self.splits_of(alive, trees, wanted).collect():  # one row a node
                 sums[r["model"], r["output"]][r["node"]] = r.asDict()
             wanted = {}
             for (name, k), known in sums.items():
@@ -231,7 +231,7 @@ class Boosting:
                     tree.value[node] = -setting.step * known[node]["g"] / (known[node]["h"] + setting.l2 + 1e-12)
         return trees
 
-    def _best_splits(self, alive, trees, wanted) -> DataFrame:
+    def splits_of(self, alive, trees, wanted) -> DataFrame:
         """For each wanted node its sums and best split: ``model, output, node, g, h, feature, bin, gain`` (null without any)."""
         view, width, names = self._batches(), len(self.bins.features), [m.name for m in alive]
         size = max([len(e) for e in self.bins.edges], default=0) + 2

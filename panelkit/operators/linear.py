@@ -12,6 +12,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from ..session import cut_lineage
+
 _FLUSH = 256
 
 
@@ -198,3 +200,61 @@ def shrink(models: DataFrame, names: Sequence[str] = ("slope", "intercept"), ent
         weight = F.coalesce(F.try_divide(between, between + F.col(f"{name}_var")), F.lit(1.0))
         out = out.withColumn(f"{name}_shrunk", mean + weight * (F.col(name) - mean))
     return out.select(entity, "n", *names, *[f"{name}_shrunk" for name in names])
+
+
+def pool_correlated(panel: DataFrame, target: str, lag: str, entity: str = "entity", rounds: int = 30) -> DataFrame:
+    """Intercept and slope per entity, pooled with a full 2 x 2 covariance between entities: ``entity, n, intercept, slope``.
+
+    The model is ``target = a + b * lag + noise`` with (a, b) drawn jointly normal for each entity and one noise for all. Its
+    covariance, mean and noise are found by EM from six sums per entity, which are all that the rows leave behind; a
+    round is one aggregate over entities that returns seven numbers. Entities without variation of the lag are pooled too.
+    """
+    x, y = F.col(lag).cast("double"), F.col(target).cast("double")
+    sums = cut_lineage(panel.filter(x.isNotNull() & y.isNotNull()).groupBy(entity).agg(
+        F.count("*").alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * x).alias("sxx"),
+        F.sum(x * y).alias("sxy"), F.sum(y * y).alias("syy"),
+    ), "sums")
+    state = pooled_start(sums)
+    for _ in range(rounds):
+        state = pooled_round(sums, state)
+    return pooled_estimates(sums, state).select(entity, "n", F.col("a").alias("intercept"), F.col("b").alias("slope"))
+
+
+def pooled_start(sums: DataFrame) -> dict[str, float]:
+    """One line through all rows, unit covariance."""
+    t = sums.agg(*[F.sum(c).cast("double").alias(c) for c in ("n", "sx", "sy", "sxx", "sxy", "syy")]).first()
+    dx = t["sxx"] - t["sx"] ** 2 / t["n"]
+    slope = (t["sxy"] - t["sx"] * t["sy"] / t["n"]) / dx if dx else 0.0
+    base = (t["sy"] - slope * t["sx"]) / t["n"]
+    noise = (t["syy"] - base * t["sy"] - slope * t["sxy"]) / t["n"]
+    return {"ma": base, "mb": slope, "vaa": 1.0, "vab": 0.0, "vbb": 1.0, "noise": max(noise, 1e-12)}
+
+
+def pooled_estimates(sums: DataFrame, state: dict[str, float]) -> DataFrame:
+    """``a, b`` of each entity given the state, and the covariance ``paa, pab, pbb`` that is left of them."""
+    s = state
+    det = max(s["vaa"] * s["vbb"] - s["vab"] ** 2, 1e-300)
+    iaa, iab, ibb = s["vbb"] / det, -s["vab"] / det, s["vaa"] / det
+    qaa, qab, qbb = F.col("n") / s["noise"] + iaa, F.col("sx") / s["noise"] + iab, F.col("sxx") / s["noise"] + ibb
+    ra = F.col("sy") / s["noise"] + (iaa * s["ma"] + iab * s["mb"])
+    rb = F.col("sxy") / s["noise"] + (iab * s["ma"] + ibb * s["mb"])
+    inverse = sums.withColumns({"_d": qaa * qbb - qab * qab, "_aa": qaa, "_ab": qab, "_bb": qbb, "_ra": ra, "_rb": rb})
+    held = inverse.withColumns({"paa": F.col("_bb") / F.col("_d"), "pab": -F.col("_ab") / F.col("_d"), "pbb": F.col("_aa") / F.col("_d")})
+    a = F.col("paa") * F.col("_ra") + F.col("pab") * F.col("_rb")
+    b = F.col("pab") * F.col("_ra") + F.col("pbb") * F.col("_rb")
+    return held.withColumns({"a": a, "b": b}).drop("_d", "_aa", "_ab", "_bb", "_ra", "_rb")
+
+
+def pooled_round(sums: DataFrame, state: dict[str, float]) -> dict[str, float]:
+    """One round of EM."""
+    e = pooled_estimates(sums, state)
+    a, b = F.col("a"), F.col("b")
+    left = F.col("syy") - 2 * a * F.col("sy") - 2 * b * F.col("sxy") + a * a * F.col("n") + 2 * a * b * F.col("sx") + b * b * F.col("sxx")
+    spare = F.col("n") * F.col("paa") + 2 * F.col("sx") * F.col("pab") + F.col("sxx") * F.col("pbb")
+    t = e.agg(
+        F.avg("a").alias("ma"), F.avg("b").alias("mb"), F.avg(F.col("paa") + a * a).alias("aa"), F.avg(F.col("pab") + a * b).alias("ab"),
+        F.avg(F.col("pbb") + b * b).alias("bb"), F.sum(left + spare).alias("sse"), F.sum("n").alias("n")).first()
+    return {
+        "ma": t["ma"], "mb": t["mb"], "vaa": t["aa"] - t["ma"] ** 2, "vab": t["ab"] - t["ma"] * t["mb"], "vbb": t["bb"] - t["mb"] ** 2,
+        "noise": max(t["sse"] / t["n"], 1e-12),
+    }

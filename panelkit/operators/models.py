@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -13,9 +13,9 @@ from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut_lineage
-from .metrics import class_report, class_weights, confusion, report_averages
+from .boosting import Setting, boosted_classifier
+from .metrics import class_weights
 from .ranking import exact_quantiles
-from .sweeps import halving_schedule
 
 
 def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -51,13 +51,12 @@ def tree_classifier(
     train: DataFrame, test: DataFrame, features: Sequence[str], classes: int, label: str = "label", iterations: int = 10,
     depth: int = 4, seed: int = 42,
 ) -> DataFrame:
-    """Boosted trees for two classes, a forest for three, with balanced class weights."""
-    weighted = training_rows(class_weights(train, label), features, label, "weight")
-    common = {"labelCol": label, "weightCol": "weight", "maxDepth": depth, "seed": seed}
-    if classes == 2:
-        model = GBTClassifier(maxIter=iterations, **common).fit(weighted)
-    else:
-        model = RandomForestClassifier(numTrees=iterations, **common).fit(weighted)
+    """Boosted trees with balanced class weights: MLlib's for two classes, histogram boosting with softmax for more."""
+    balanced = class_weights(train, label)
+    if classes > 2:
+        return boosted_classifier(balanced, test, features, classes, label, "weight", iterations, Setting(leaves=2**depth))
+    weighted = training_rows(balanced, features, label, "weight")
+    model = GBTClassifier(maxIter=iterations, labelCol=label, weightCol="weight", maxDepth=depth, seed=seed).fit(weighted)
     scored = model.transform(assemble(test, features))
     return scored.withColumn("probabilities", vector_to_array("probability")).drop("features", "rawPrediction", "probability")
 
@@ -145,35 +144,3 @@ def _centers(sided: DataFrame) -> DataFrame:
         F.coalesce(F.max(F.when(F.col("side") == 0, F.col("c"))), F.max("c")).alias("c0"),
         F.max(F.when(F.col("side") == 1, F.col("c"))).alias("c1"),
     )
-
-
-def halving_search(
-    blocks: DataFrame, features: Sequence[str], candidates: Sequence[dict], folds: Sequence[int], start: int, most: int,
-    label: str = "label", block: str = "block", seed: int = 42,
-) -> list[dict]:
-    """Successive halving over boosted-tree settings; the resource is the number of trees.
-
-    Fits are Spark jobs; only one score per fit comes back.
-    """
-    packed = cut_lineage(assemble(blocks, features))
-    alive = [dict(c, candidate=i) for i, c in enumerate(candidates)]
-    history = []
-    for rung, (n, trees) in enumerate(halving_schedule(len(alive), start, most)):
-        alive = alive[:n]
-        scored = []
-        for c in alive:
-            marks = []
-            for fold in folds:
-                train = class_weights(packed.filter(F.col(block) < fold), label)
-                fit = GBTClassifier(
-                    labelCol=label, weightCol="weight", maxIter=trees, stepSize=c["step"], maxDepth=c["depth"],
-                    minInstancesPerNode=c["leaf"], seed=seed,
-                ).fit(train)
-                test = fit.transform(packed.filter(F.col(block) == fold))
-                report = report_averages(class_report(confusion(test, label, "prediction")))
-                marks.append(report.first()["balanced_accuracy"])
-            scored.append(dict(c, rung=rung, resource=trees, score=sum(marks) / len(marks)))
-        history += scored
-        keep = sorted(scored, key=lambda s: (-s["score"], s["candidate"]))
-        alive = [{k: v for k, v in s.items() if k not in ("rung", "resource", "score")} for s in keep]
-    return history

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.arrays import named_fields
 from ..functions.numeric import clip
+from ..session import cut_lineage
 from .metrics import class_report, confusion
+from .ranking import global_position
 from .schema import safe_columns
 
 # Probability columns, highest class first as the reversed list gives them.
@@ -116,14 +117,53 @@ def equal_breaks(df: DataFrame, metric: str, classes: int = 5) -> DataFrame:
     return df.withColumn("class", at)
 
 
-def natural_breaks(df: DataFrame, metric: str, classes: int = 5, seed: int = 42) -> DataFrame:
-    """Class number 1..classes from one-dimensional clusters, numbered from the lowest."""
-    packed = df.withColumn("_v", array_to_vector(F.array(F.col(metric).cast("double"))))
-    fit = KMeans(k=classes, seed=seed, featuresCol="_v", predictionCol="_c").fit(packed)
-    centers = [float(c[0]) for c in fit.clusterCenters()]  # one number per class
-    order = sorted(range(len(centers)), key=centers.__getitem__)
-    at = F.array_position(F.array(*[F.lit(i) for i in order]), F.col("_c")).cast("int")
-    return fit.transform(packed).withColumn("class", at).drop("_v", "_c")
+def natural_breaks(df: DataFrame, metric: str, classes: int = 5, cells: int = 4096) -> DataFrame:
+    """Class number 1..classes with the least sum of squared distances to the class means, exactly.
+
+    Spark merges the rows to distinct values with their counts. A dynamic programme over prefix sums of these finds the
+    breaks; among equal sums the lowest break wins. With more than ``cells`` values neighbouring ones are first merged into
+    so many ranges of even size, and breaks fall between ranges. With fewer values than classes each has its own.
+    """
+    values = df.filter(F.col(metric).isNotNull()).groupBy(F.col(metric).cast("double").alias("v")).agg(F.count("*").cast("double").alias("n"))
+    values = cut_lineage(values, "values")
+    distinct = values.count()
+    if distinct > cells:
+        ranked = global_position(values, "v", name="at")
+        values = ranked.groupBy(F.floor((F.col("at") - 1) * cells / distinct).alias("cell")).agg(
+            F.max("v").alias("v"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("v")).alias("s"), F.sum(F.col("n") * F.col("v") * F.col("v")).alias("q"))
+    else:
+        values = values.select("v", "n", (F.col("n") * F.col("v")).alias("s"), (F.col("n") * F.col("v") * F.col("v")).alias("q"))
+    rows = sorted(values.select("v", "n", "s", "q").collect())  # up to ``cells`` rows
+    uppers = [rows[k][0] for k in break_positions(np.array(rows, float)[:, 1:], classes)] if rows else []
+    at = F.lit(1)
+    for upper in uppers[:-1]:
+        at = at + F.when(F.col(metric).cast("double") > upper, 1).otherwise(0)
+    return df.withColumn("class", F.when(F.col(metric).isNotNull(), at).cast("int"))
+
+
+def break_positions(sums: np.ndarray, classes: int) -> list[int]:
+    """Last item of each class for items with count, sum and sum of squares, in order."""
+    n, s, q = (np.concatenate([[0.0], np.cumsum(c)]) for c in sums.T)
+    m = len(sums)
+
+    def spread(low: np.ndarray, high: int) -> np.ndarray:
+        return q[high] - q[low] - (s[high] - s[low]) ** 2 / (n[high] - n[low])
+
+    best = np.array([np.inf, *(np.round(spread(np.array([0]), k)[0], 6) for k in range(1, m + 1))])
+    chosen = []
+    for k in range(2, min(classes, m) + 1):
+        following, cut = np.full(m + 1, np.inf), np.zeros(m + 1, np.int64)
+        for high in range(k, m + 1):
+            low = np.arange(k - 1, high)
+            total = np.round(best[low] + spread(low, high), 6)
+            cut[high] = low[np.argmin(total)]
+            following[high] = total.min()
+        best = following
+        chosen.append(cut)
+    ends = [m]
+    for cut in reversed(chosen):
+        ends.append(int(cut[ends[-1]]))
+    return [e - 1 for e in reversed(ends)]
 
 
 def run_reports(results: DataFrame, run: str = "run") -> DataFrame:

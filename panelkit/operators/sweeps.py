@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from .boosting import Setting
 from .linear import cross_products, solve
 from .metrics import class_report, report_averages
 
@@ -140,15 +141,8 @@ def halving_schedule(candidates: int, start: int, most: int, factor: int = 2) ->
         n, r = max(1, -(-n // factor)), r * factor
 
 
-def random_candidates(n: int, seed: int = 42) -> list[dict]:
-    """Learning rate log-uniform in 0.0001..0.1, leaves and rows of a leaf uniform (fixed ranges). The depth is the least
-    that gives a tree so many leaves. No penalty is drawn: MLlib's boosted trees have none."""
+def random_candidates(n: int, seed: int = 42) -> list[Setting]:
+    """Learning rate log-uniform in 0.0001..0.1, penalty uniform in 0..2, leaves in 2..99, rows of a leaf in 20..249 (fixed ranges)."""
     rng = random.Random(seed)
-    return [
-        {
-            "step": 10 ** rng.uniform(-4, -1), "depth": max(1, (rng.randint(1, 100) - 1).bit_length()),
-            "leaf": rng.randint(20, 250),
-        }
-        for _ in range(n)
-    ]
+    return [Setting(10 ** rng.uniform(-4, -1), rng.randint(2, 99), rng.randint(20, 249), rng.uniform(0, 2)) for _ in range(n)]
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Window as W, functions as F
 
 from ..functions.numeric import guarded_corr
-from ..operators import association, metrics, periods, zonal
+from ..operators import association, coverage, metrics, periods, zonal
 from ..operators.forecast import seasonal_naive
 from ..operators.lags import add_lags
 from ..operators.ranking import dense_code
@@ -492,6 +492,35 @@ def _(t):
     return zonal.zonal_median(dated, ["region", "period"], "value", "weight")
 
 
+@query(
+    "agg_29_polygon_mean", "AGG-29 SRC-9",
+    """WITH r AS (SELECT entity AS region, entity % 37 + 0.25 AS x0, entity % 37 + 3.25 + nation * 0.125 AS x1, entity % 29 + 0.375 AS y0, entity % 29 + 2.875 + entity % 5 * 0.25 AS y1 FROM entities),
+       p AS (SELECT pixel % 50 AS col, (pixel // 50) % 40 AS row, CAST(date_trunc('month', date) AS DATE) AS period, round(value * 100) AS value FROM pixels),
+       cells AS (SELECT DISTINCT col, row FROM p),
+       s AS (SELECT region, col, row, CAST(greatest(0, least(x1, col + 1) - greatest(x0, col)) * greatest(0, least(y1, row + 1) - greatest(y0, row))
+               - greatest(0, least(x0 + 1.75, col + 1) - greatest(x0 + 1, col)) * greatest(0, least(y0 + 1.25, row + 1) - greatest(y0 + 0.5, row)) AS DOUBLE) AS weight
+             FROM r, cells WHERE x0 < col + 1 AND x1 > col AND y0 < row + 1 AND y1 > row)
+       SELECT region, period, round(sum(weight * value) / sum(weight), 6) AS mean FROM p JOIN s USING (col, row) WHERE weight > 0 GROUP BY 1, 2""",
+    uses="entities pixels",
+)
+def _(t):
+    # each entity's outline is a rectangle with a rectangular hole, parts are pixels of a grid of 50 by 40 cells
+    corners = t.entities.select(
+        F.col("entity").alias("region"), (F.col("entity") % 37 + 0.25).alias("x0"), (F.col("entity") % 37 + 3.25 + F.col("nation") * 0.125).alias("x1"),
+        (F.col("entity") % 29 + 0.375).alias("y0"), (F.col("entity") % 29 + 2.875 + F.col("entity") % 5 * 0.25).alias("y1"))
+    def ring(number, hole, x0, x1, y0, y1):
+        points = [F.struct(x.alias("x"), y.alias("y")) for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1))]
+        return corners.select("region", F.lit(number).alias("ring"), F.lit(hole).alias("hole"), F.posexplode(F.array(*points)).alias("vertex_no", "p")).select(
+            "region", "ring", "hole", "vertex_no", F.col("p.x").cast("double").alias("x"), F.col("p.y").cast("double").alias("y"))
+    x0, x1, y0, y1 = (F.col(c) for c in ("x0", "x1", "y0", "y1"))
+    vertices = ring(0, False, x0, x1, y0, y1).union(ring(1, True, x0 + 1, x0 + 1.75, y0 + 0.5, y0 + 1.25))
+    raster = t.pixels.select(
+        (F.col("pixel") % 50 + 0.5).alias("x"), (F.floor(F.col("pixel") / 50) % 40 + 0.5).alias("y"), periods.period_start(F.col("date"), "month").alias("period"),
+        F.round(F.col("value") * 100).alias("value"))
+    out = zonal.zonal_mean(coverage.region_pixels(raster, vertices, 1.0), ["region", "period"], "value", "weight")
+    return out.withColumn("mean", F.round("mean", 6))
+
+
 _BINS = ", ".join(
     f"CAST(sum(CASE WHEN value >= {10000 * k} AND value < {10000 * (k + 1)} THEN 1 ELSE 0 END) AS BIGINT) AS \"{k + 1}price\"" for k in range(10)
 )

@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Window as W, functions as F
 
 from ..functions.numeric import log_offset
-from ..operators import linear, metrics, models, splits, sweeps, targets, zonal
+from ..operators import boosting, linear, metrics, models, splits, sweeps, targets, zonal
 from ..operators.forecast import seasonal_naive
 from ..operators.joins import salted_join
 from ..operators.lags import add_lags, lag_frame, lag_name
@@ -66,6 +66,36 @@ def _(t):
     return result_frame(scored, "relative_ternary", {"case_lag": 1})
 
 
+_SPLIT_AT = ["month", lag_name(1, "cases"), lag_name(12, "cases")]
+
+
+@query(
+    "ml_2_first_split", "ML-2",
+    f"""WITH g AS (SELECT *, least(lag(count, 1) OVER w, 50) AS a, least(lag(count, 12) OVER w, 50) AS b FROM panel WINDOW w AS (PARTITION BY entity ORDER BY start_date)),
+      fr AS (SELECT * FROM g WHERE b IS NOT NULL AND start_date >= DATE '{TRAIN_START}' AND start_date < DATE '{TRAIN_END}'),
+      ex AS (SELECT entity, month, CAST(sum(count) AS DOUBLE) / count(*) AS e FROM fr GROUP BY 1, 2),
+      lab AS (SELECT month, a, b, CASE WHEN count > e THEN 1.0 ELSE 0.0 END AS y FROM fr JOIN ex USING (entity, month)), s AS (SELECT avg(y) AS p FROM lab),
+      long AS (SELECT 0 AS f, month AS x, y FROM lab UNION ALL SELECT 1, a, y FROM lab UNION ALL SELECT 2, b, y FROM lab),
+      c AS (SELECT f, x, sum(p - y) AS g, sum(p * (1 - p)) AS h, count(*) AS n FROM long, s GROUP BY 1, 2),
+      r AS (SELECT f, x, sum(g) OVER u AS gl, sum(h) OVER u AS hl, sum(n) OVER u AS nl, sum(g) OVER v AS g, sum(h) OVER v AS h, sum(n) OVER v AS n FROM c
+            WINDOW u AS (PARTITION BY f ORDER BY x), v AS (PARTITION BY f)),
+      k AS (SELECT f, x, gl * gl / (hl + 1) + (g - gl) * (g - gl) / (h - hl + 1) - g * g / (h + 1) AS gain FROM r WHERE nl >= 20 AND n - nl >= 20)
+      SELECT ['month', '{_SPLIT_AT[1]}', '{_SPLIT_AT[2]}'][f + 1] AS feature, CAST(x AS DOUBLE) AS threshold, round(gain, 5) AS gain FROM k ORDER BY gain DESC, f, x LIMIT 1""",
+    uses="panel",
+)
+def _(t):
+    # lags over 50 count as 50, so that every value has a bin of its own
+    train, _ = splits.temporal_holdout(_frame(t, 12), TRAIN_START, TRAIN_END, TEST_END)
+    labelled, _ = targets.relative_binary(train)
+    rows = labelled.select(F.col("cat_target").cast("int").alias("label"), *[F.least(F.col(c), F.lit(50)).alias(c) for c in _SPLIT_AT])
+    bins = boosting.fit_bins(rows, _SPLIT_AT)
+    model = boosting.Boosted("model", boosting.Setting(leaves=2, l2=1.0), 2)
+    job = boosting.Boosting(boosting.binned(rows, bins, "label"), bins, [model])
+    best = job.splits_of([model], {"model": [boosting.Tree()]}, {("model", 0): [0]})
+    value = F.array(*[F.array(*[F.lit(float(v)) for v in e]) for e in bins.edges])[F.col("feature")][F.col("bin") - 1]
+    return best.select(F.array(*[F.lit(c) for c in _SPLIT_AT])[F.col("feature")].alias("feature"), value.alias("threshold"), F.round("gain", 5).alias("gain"))
+
+
 @query("ml_3_ridge_classifier", "ML-3")
 def _(t):
     train, test = _labelled(t, "relative_ternary")
@@ -274,6 +304,37 @@ def _(t):
     return models.presence_model(joined, features).select("event_id", "presence", "probability")
 
 
+_EM_ROUNDS = 8
+_EM = ",\n       ".join(
+    f"""k{k} AS MATERIALIZED (SELECT p.*, vbb / (vaa * vbb - vab * vab) AS iaa, -vab / (vaa * vbb - vab * vab) AS iab, vaa / (vaa * vbb - vab * vab) AS ibb FROM p{k} p),
+       q{k} AS MATERIALIZED (SELECT s.*, n / noise + iaa AS qaa, sx / noise + iab AS qab, sxx / noise + ibb AS qbb, sy / noise + iaa * ma + iab * mb AS ra,
+             sxy / noise + iab * ma + ibb * mb AS rb FROM sums s, k{k}),
+       e{k} AS MATERIALIZED (SELECT *, (qbb * ra - qab * rb) / (qaa * qbb - qab * qab) AS a, (qaa * rb - qab * ra) / (qaa * qbb - qab * qab) AS b,
+             qbb / (qaa * qbb - qab * qab) AS paa, -qab / (qaa * qbb - qab * qab) AS pab, qaa / (qaa * qbb - qab * qab) AS pbb FROM q{k}),
+       p{k + 1} AS MATERIALIZED (SELECT avg(a) AS ma, avg(b) AS mb, avg(paa + a * a) - avg(a) * avg(a) AS vaa, avg(pab + a * b) - avg(a) * avg(b) AS vab, avg(pbb + b * b) - avg(b) * avg(b) AS vbb,
+             sum(syy - 2 * a * sy - 2 * b * sxy + a * a * n + 2 * a * b * sx + b * b * sxx + n * paa + 2 * sx * pab + sxx * pbb) / sum(n) AS noise FROM e{k})"""
+    for k in range(_EM_ROUNDS + 1)
+)
+
+
+@query(
+    "ml_10_correlated_pooling", "ML-10",
+    f"""WITH l AS (SELECT entity, ln(count + 0.1) AS y, ln(lag(count) OVER (PARTITION BY entity ORDER BY start_date) + 0.1) AS x FROM dense),
+       sums AS MATERIALIZED (SELECT entity, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy, sum(y * y) AS syy FROM l WHERE x IS NOT NULL GROUP BY 1),
+       p0 AS MATERIALIZED (SELECT regr_intercept(y, x) AS ma, regr_slope(y, x) AS mb, 1.0::DOUBLE AS vaa, 0.0::DOUBLE AS vab, 1.0::DOUBLE AS vbb,
+             (regr_syy(y, x) - regr_slope(y, x) * regr_sxy(y, x)) / count(*) AS noise FROM l WHERE x IS NOT NULL),
+       {_EM}
+       SELECT entity, n, round(a, 6) AS intercept, round(b, 6) AS slope FROM e{_EM_ROUNDS}""",
+    uses="dense",
+)
+def _(t):
+    logged = add_lags(t.dense, {"count": [1]}).withColumns(
+        {"y": log_offset(F.col("count")), "x": log_offset(F.col(lag_name(1, "count")))}
+    )
+    out = linear.pool_correlated(logged, "y", "x", rounds=_EM_ROUNDS)
+    return out.withColumns({c: F.round(c, 6) for c in ("intercept", "slope")})
+
+
 _GRID = {"style": ["threshold"], "lag": [1, 2, 12], "factor": [0.5, 1.0]}
 
 
@@ -416,14 +477,22 @@ def _(t):
     return t.spark.createDataFrame(rows, "style string, step int, feature string, f1_macro double")
 
 
+#: Candidates of the first rung, and trees of the first and of the last rung.
+HALVING = {"candidates": 8, "start": 2, "most": 16}
+
+
 @query("ml_15_successive_halving", "ML-15 SPL-2 AGG-27")
 def _(t):
-    labelled, _ = targets.relative_binary(_frame(t))
-    coded = labelled.withColumn("label", F.col("cat_target").cast("double")).drop("cat_target")
+    labelled, _ = targets.relative_binary(_frame(t, 48))
+    coded = metrics.class_weights(labelled.withColumn("label", F.col("cat_target").cast("int")).drop("cat_target"), "label")
     blocks = cut_lineage(splits.fold_blocks(coded, 4))
-    history = models.halving_search(blocks, CASE_LAGS, sweeps.random_candidates(4), folds=(1, 2, 3, 4), start=1, most=4)
-    rows = [(h["rung"], h["candidate"], h["resource"], h["step"], h["depth"], h["leaf"], h["score"]) for h in history]
-    return t.spark.createDataFrame(rows, "rung int, candidate int, resource int, step double, depth int, leaf int, balanced_accuracy double")
+    names = [*[lag_name(i, "cases") for i in range(1, 49)], "month"]
+    bins = boosting.fit_bins(blocks, names)
+    rows = boosting.binned(blocks, bins, "label", "weight", "block")
+    schedule = sweeps.halving_schedule(HALVING["candidates"], HALVING["start"], HALVING["most"])
+    history = boosting.halving_search(rows, bins, sweeps.random_candidates(HALVING["candidates"]), (1, 2, 3, 4), schedule)
+    out = [(h["rung"], h["candidate"], h["resource"], h["setting"].step, h["setting"].leaves, h["setting"].least, h["setting"].l2, h["score"]) for h in history]
+    return t.spark.createDataFrame(out, "rung int, candidate int, resource int, step double, leaves int, least int, l2 double, balanced_accuracy double")
 
 
 @query(

@@ -110,7 +110,25 @@ def _(t):
     return results.equal_breaks(t.counts.groupBy("entity").agg(F.sum("count").cast("double").alias("metric")), "metric")
 
 
-@query("res_7_natural_breaks", "RES-7")
+_LEVELS = ",\n       ".join(
+    f"""r{k} AS MATERIALIZED (SELECT c.hi, round(p.total + c.cost, 6) AS total, c.lo, p.ends FROM r{k - 1}b p JOIN c ON c.lo = p.hi),
+       r{k}b AS MATERIALIZED (SELECT hi, arg_min(total, (total, lo)) AS total, arg_min(list_append(ends, hi), (total, lo)) AS ends FROM r{k} GROUP BY 1)"""
+    for k in range(2, 6)
+)
+
+
+@query(
+    "res_7_natural_breaks", "RES-7",
+    f"""WITH m AS (SELECT entity, CAST(sum(count) AS DOUBLE) AS metric FROM counts GROUP BY 1), v AS (SELECT metric, CAST(count(*) AS DOUBLE) AS n FROM m GROUP BY 1),
+       z AS MATERIALIZED (SELECT row_number() OVER o AS i, metric, sum(n) OVER o AS n, sum(n * metric) OVER o AS s, sum(n * metric * metric) OVER o AS q FROM v
+             WINDOW o AS (ORDER BY metric) UNION ALL SELECT 0, NULL, 0, 0, 0),
+       c AS MATERIALIZED (SELECT a.i AS lo, b.i AS hi, b.q - a.q - (b.s - a.s) * (b.s - a.s) / (b.n - a.n) AS cost FROM z a JOIN z b ON a.i < b.i),
+       r1b AS MATERIALIZED (SELECT hi, round(cost, 6) AS total, [hi] AS ends FROM c WHERE lo = 0),
+       {_LEVELS},
+       e AS (SELECT unnest(ends) AS hi FROM r5b WHERE hi = (SELECT max(i) FROM z)), u AS (SELECT z.metric FROM e JOIN z ON z.i = e.hi)
+       SELECT entity, metric, CAST(1 + (SELECT count(*) FROM u WHERE u.metric < m.metric) AS INTEGER) AS class FROM m""",
+    uses="counts",
+)
 def _(t):
     rows = t.counts.groupBy("entity").agg(F.sum("count").cast("double").alias("metric"))
     return results.natural_breaks(rows, "metric")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from ..functions.arrays import ewm_mean
-from ..operators import fills, lags, periods, ranking, series
+from ..operators import association, fills, lags, periods, ranking, series
+from ..operators.series import collect_series
+from ..session import cut_lineage
 from .registry import query
 
 
@@ -145,21 +147,20 @@ def _(t):
 
 @query(
     "win_11_neighbour_matrix", "WIN-11",
-    """WITH s AS (SELECT entity, nation, row_number() OVER (PARTITION BY nation ORDER BY entity) AS pos FROM entities),
-       nb AS (SELECT a.entity, b.entity AS neighbour, b.pos - a.pos AS rank FROM s a JOIN s b ON a.nation = b.nation AND b.pos - a.pos IN (1, 2)),
-       h AS (SELECT entity, start_date, count, list(count) OVER (PARTITION BY entity ORDER BY start_date ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS l FROM dense),
-       own AS (SELECT entity, start_date, count, array_to_string(l[1:5], ',') AS o FROM h WHERE len(l) = 6),
+    """WITH d AS (SELECT a.entity, b.entity AS neighbour, sum((a.count - b.count) * (a.count - b.count)) AS d2 FROM dense a JOIN dense b USING (start_date)
+             WHERE a.entity <> b.entity GROUP BY 1, 2),
+       nb AS (SELECT entity, neighbour, row_number() OVER (PARTITION BY entity ORDER BY d2, neighbour) AS rank FROM d QUALIFY rank <= 14),
+       h AS (SELECT entity, start_date, count, list(count) OVER (PARTITION BY entity ORDER BY start_date ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) AS l FROM dense),
+       own AS (SELECT entity, start_date, count, array_to_string(l[1:23], ',') AS o FROM h WHERE len(l) = 24),
        th AS (SELECT nb.entity, own.start_date, string_agg(own.o, ',' ORDER BY rank) AS o FROM nb JOIN own ON own.entity = nb.neighbour GROUP BY 1, 2)
        SELECT own.entity, own.start_date, own.count, own.o || ',' || th.o AS features FROM own JOIN th USING (entity, start_date)""",
-    uses="entities dense",
+    uses="dense",
 )
 def _(t):
-    # the next two suppliers of the same nation serve as neighbours
-    w = W.partitionBy("nation").orderBy("entity")
-    ahead = t.entities.select("entity", F.array(F.lead("entity", 1).over(w), F.lead("entity", 2).over(w)).alias("n"))
-    neighbours = ahead.select("entity", F.posexplode("n").alias("p", "neighbour")).filter(F.col("neighbour").isNotNull())
-    neighbours = neighbours.select("entity", "neighbour", (F.col("p") + 1).alias("rank"))
-    out = lags.neighbour_matrix(t.dense, neighbours, "count", 6)
+    # the entity itself and its 14 nearest by the whole series, 24 months
+    near = association.nearest(collect_series(t.dense, ["count"]), "count", 14, include_self=False)
+    neighbours = cut_lineage(near.select(F.col("i").alias("entity"), F.col("j").alias("neighbour"), "rank"), "near")
+    out = lags.neighbour_matrix(t.dense, neighbours, "count", 24)
     return out.withColumn("features", F.array_join(F.col("features").cast("array<string>"), ","))
 
 

@@ -303,7 +303,7 @@ def test_halving_schedule():
     assert sweeps.halving_schedule(8, 100, 250) == [(8, 100), (4, 200)]
     drawn = sweeps.random_candidates(50)
     assert drawn == sweeps.random_candidates(50)
-    assert all(1e-4 <= c["step"] <= 0.1 and 20 <= c["leaf"] <= 250 for c in drawn)
+    assert all(1e-4 <= c.step <= 0.1 and 2 <= c.leaves <= 99 and 20 <= c.least <= 249 and 0 <= c.l2 <= 2 for c in drawn)
 
 
 @pytest.mark.parametrize("closed", [True, False])
