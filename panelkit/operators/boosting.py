@@ -28,12 +28,13 @@ LEAST_HESSIAN = 1e-3
 
 @dataclass(frozen=True)
 class Setting:
-    """Learning rate, leaves of a tree at most, rows of a leaf at least, L2 penalty on leaf values."""
+    """Learning rate, leaves of a tree at most, rows of a leaf at least, L2 penalty on leaf values, levels at most (0: any)."""
 
     step: float = 0.1
     leaves: int = 31
     least: int = 20
     l2: float = 0.0
+    depth: int = 0
 
 
 @dataclass
@@ -206,19 +207,25 @@ class Boosting:
         if no better one turns up below, so that passes are as many as levels, not as leaves."""
         trees = {m.name: [Tree() for _ in range(m.outputs)] for m in alive}
         sums: dict[tuple[str, int], dict[int, dict]] = {(m.name, k): {} for m in alive for k in range(m.outputs)}
-        wanted = {key: [0] for key in sums}
+        wanted, levels = {key: [0] for key in sums}, {key: {0: 0} for key in sums}
         settings = {m.name: m.setting for m in alive}
         while wanted:
             for r in self.splits_of(alive, trees, wanted).collect():  # one row a node
                 sums[r["model"], r["output"]][r["node"]] = r.asDict()
             wanted = {}
             for (name, k), known in sums.items():
-                tree, new = trees[name][k], []
+                tree, new, level = trees[name][k], [], levels[name, k]
                 for node in _chosen(tree, known, settings[name].leaves):
                     if tree.left[node] < 0:
-                        tree.feature[node], tree.bin[node] = known[node]["feature"], known[node]["bin"]
-                        tree.left[node], tree.right[node] = tree.add(), tree.add()
-                        new += [tree.left[node], tree.right[node]]
+                        own = known[node]
+                        tree.feature[node], tree.bin[node] = own["feature"], own["bin"]
+                        tree.left[node], tree.right[node] = sides = tree.add(), tree.add()
+                        # sums of both sides follow from the split; without a pass they have no split of their own
+                        known[sides[0]] = {"g": own["g_l"], "h": own["h_l"], "gain": None}
+                        known[sides[1]] = {"g": own["g"] - own["g_l"], "h": own["h"] - own["h_l"], "gain": None}
+                        level[sides[0]] = level[sides[1]] = level[node] + 1
+                        if not 0 < settings[name].depth <= level[node] + 1:
+                            new += sides
                 if new:
                     wanted[name, k] = new
         for (name, k), known in sums.items():
@@ -232,7 +239,7 @@ class Boosting:
         return trees
 
     def splits_of(self, alive, trees, wanted) -> DataFrame:
-        """For each wanted node its sums and best split: ``model, output, node, g, h, feature, bin, gain`` (null without any)."""
+        """For each wanted node its sums and best split: ``model, output, node, g, h, feature, bin, gain, g_l, h_l`` (null without any)."""
         view, width, names = self._batches(), len(self.bins.features), [m.name for m in alive]
         size = max([len(e) for e in self.bins.edges], default=0) + 2
         models = list(alive)
@@ -257,7 +264,7 @@ class Boosting:
                         cell = (slot[inside, None] * width + np.arange(width)) * size + codes[rows][inside]
                         n = len(wanted[m.name, k]) * width * size
                         sums = [np.bincount(cell.ravel(), np.repeat(x[inside], width), n) for x in (g, h, np.ones(len(rows)))]
-                        total[m.name, k] = total.get((m.name, k), 0) + np.stack(sums)
+                        total[m.name, k] = total.get((m.name, k), 0) + np.stack(sums).astype(float)  # no rows give whole numbers
             for (name, k), sums in total.items():
                 used = np.flatnonzero(sums[2])
                 slot, rest = np.divmod(used, width * size)
@@ -295,10 +302,11 @@ class Boosting:
 def best_splits(cells: DataFrame, settings: dict[str, Setting]) -> DataFrame:
     """Best split of each node from its cells (``model, output, node, feature, bin, g, h, n``), which may be parts to be summed.
 
-    The gain is the fall of the penalised loss. Of equal gains the first feature and the lowest bin win.
+    The gain is the fall of the penalised loss. Of equal gains the first feature and the lowest bin win. Cells are dealt out
+    by node once, for the sums, the running sums and the choice: a node has as many cells as features have bins.
     """
     node = ["model", "output", "node"]
-    merged = cells.groupBy(*node, "feature", "bin").agg(*[F.sum(c).alias(c) for c in ("g", "h", "n")])
+    merged = cells.repartition(*node).groupBy(*node, "feature", "bin").agg(*[F.sum(c).alias(c) for c in ("g", "h", "n")])
     upto = W.partitionBy(*node, "feature").orderBy("bin")
     whole = W.partitionBy(*node, "feature")
     spread = merged.select(*node, "feature", "bin", *[F.sum(c).over(w).alias(c + side) for c in ("g", "h", "n") for w, side in ((upto, "_l"), (whole, ""))])
@@ -308,11 +316,11 @@ def best_splits(cells: DataFrame, settings: dict[str, Setting]) -> DataFrame:
     loss = lambda g, h: g * g / (h + l2 + 1e-12)
     gain = loss(F.col("g_l"), left) + loss(F.col("g") - F.col("g_l"), right) - loss(F.col("g"), F.col("h"))
     allowed = (F.col("n_l") >= least) & (F.col("n") - F.col("n_l") >= least) & (left >= LEAST_HESSIAN) & (right >= LEAST_HESSIAN) & (gain > 1e-9)
-    split = F.when(allowed, F.struct((-F.round(gain, 9)).alias("loss"), "feature", "bin"))
+    split = F.when(allowed, F.struct((-F.round(gain, 9)).alias("loss"), "feature", "bin", "g_l", "h_l"))
     one = F.col("feature") == F.min("feature").over(W.partitionBy(*node))
     marked = spread.withColumns({"split": split, "one": one})
     best = marked.groupBy(*node).agg(F.max(F.when(F.col("one"), F.col("g"))).alias("g"), F.max(F.when(F.col("one"), F.col("h"))).alias("h"), F.min("split").alias("s"))
-    return best.select(*node, "g", "h", F.col("s.feature").alias("feature"), F.col("s.bin").alias("bin"), (-F.col("s.loss")).alias("gain"))
+    return best.select(*node, "g", "h", F.col("s.feature").alias("feature"), F.col("s.bin").alias("bin"), (-F.col("s.loss")).alias("gain"), F.col("s.g_l").alias("g_l"), F.col("s.h_l").alias("h_l"))
 
 
 def _chosen(tree: Tree, known: dict[int, dict], leaves: int) -> list[int]:

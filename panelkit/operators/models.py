@@ -54,7 +54,7 @@ def tree_classifier(
     """Boosted trees with balanced class weights: MLlib's for two classes, histogram boosting with softmax for more."""
     balanced = class_weights(train, label)
     if classes > 2:
-        return boosted_classifier(balanced, test, features, classes, label, "weight", iterations, Setting(leaves=2**depth))
+        return boosted_classifier(balanced, test, features, classes, label, "weight", iterations, Setting(leaves=2**depth, depth=depth))
     weighted = training_rows(balanced, features, label, "weight")
     model = GBTClassifier(maxIter=iterations, labelCol=label, weightCol="weight", maxDepth=depth, seed=seed).fit(weighted)
     scored = model.transform(assemble(test, features))

@@ -478,7 +478,7 @@ def _(t):
 
 
 #: Candidates of the first rung, and trees of the first and of the last rung.
-HALVING = {"candidates": 8, "start": 2, "most": 16}
+HALVING = {"candidates": 8, "start": 1, "most": 8}
 
 
 @query("ml_15_successive_halving", "ML-15 SPL-2 AGG-27")
