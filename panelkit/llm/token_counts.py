@@ -9,6 +9,7 @@ from functools import cache
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+from tokenizers import Tokenizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +18,8 @@ from .columns import read
 
 #: Fixed value: how the byte-level vocabulary cuts texts before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Code points up to here are letters and digits alike for the pattern and for the library; texts with others are cut by the library.
+STABLE = 0x52F
 #: Pieces of text whose counts a worker remembers.
 REMEMBERED = 1_000_000
 #: Tokens above which a text is over the limit.
@@ -44,6 +47,9 @@ class Merger:
         special = [regex.escape(x["content"]) for x in spec["added_tokens"]]
         self.special = regex.compile("|".join(special)) if special else None
         self.pieces = regex.compile(PATTERN)
+        self.beyond = regex.compile(f"[^\\x00-{chr(STABLE)}]")
+        self.cut = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+        self.letter = {letter: b for b, letter in enumerate(byte_letters())}
         self.known: dict[str, int] = {}
 
     def merged(self, piece: str) -> int:
@@ -89,9 +95,15 @@ class Merger:
         parts = self.special.split(text) if special else (text,)
         return special + sum(self._plain(part) for part in parts)
 
+    def pieces_of(self, text: str) -> list[str]:
+        """Pieces that merges stay within."""
+        if text.isascii() or not self.beyond.search(text):
+            return self.pieces.findall(text)
+        return [bytes(map(self.letter.__getitem__, piece)).decode() for piece, _ in self.cut(text)]
+
     def _plain(self, text: str) -> int:
         known, total = self.known, 0
-        for piece in self.pieces.findall(text):
+        for piece in self.pieces_of(text):
             n = known.get(piece)
             if n is None:
                 n = self.merged(piece)
@@ -108,6 +120,10 @@ def merger(path: str) -> Merger:
     return Merger(path)
 
 
+def forget() -> None:
+    merger.cache_clear()
+
+
 def default_path() -> str:
     import public_tokenizers
 
