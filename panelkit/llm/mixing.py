@@ -119,17 +119,24 @@ def mix_documents(docs: DataFrame, ordered: bool = False, **options) -> DataFram
 
 
 def op10_source_mix(spark, sf_dir: str) -> DataFrame:
-    narrow = cut_lineage(sized(read(spark, sf_dir, "documents")), "sized")
+    return taken_words(read(spark, sf_dir, "documents"))
+
+
+def taken_words(docs: DataFrame) -> DataFrame:
+    """``doc_id, size, source_size, target, taken``, one row for each row of ``docs``: rows of one id, or without an id, are
+    documents of their own. Null and empty texts have size 0."""
+    rows = sized(docs).withColumn("tie", F.monotonically_increasing_id())
     taken = F.sum(F.when(F.col("taken"), F.col("size")).otherwise(0)).alias("taken")
-    return fair_queue(narrow).groupBy("doc_id").agg(
-        F.max("size").alias("size"), F.max("source_size").alias("source_size"), F.max("target").alias("target"), taken,
+    per_row = fair_queue(cut_lineage(rows, "sized")).groupBy("tie").agg(
+        F.max("doc_id").alias("doc_id"), F.max("size").alias("size"), F.max("source_size").alias("source_size"), F.max("target").alias("target"), taken,
     )
+    return per_row.drop("tie")
 
 
 OP10_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5('mix-1:' || CAST(doc_id AS VARCHAR)) AS key
+         md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key, row_number() OVER () AS tie
   FROM documents
 ), sources AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
@@ -147,15 +154,15 @@ WITH sized AS (
     THEN max(CASE WHEN level < ratio THEN level END) OVER () * weight ELSE most END AS target
   FROM leveled
 ), queued AS (
-  SELECT d.doc_id, d.size, d.key, t.source_size, t.target, p.pass,
-    (p.pass * t.source_size + sum(d.size) OVER (PARTITION BY d.source, p.pass ORDER BY d.key, d.doc_id
+  SELECT d.doc_id, d.size, d.key, d.tie, t.source_size, t.target, p.pass,
+    (p.pass * t.source_size + sum(d.size) OVER (PARTITION BY d.source, p.pass ORDER BY d.key, d.doc_id NULLS FIRST, d.size, d.tie
       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::DOUBLE / t.target AS finish
   FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source CROSS JOIN (VALUES (0), (1)) AS p(pass)
 ), cut AS (
-  SELECT *, sum(size) OVER (ORDER BY finish, pass, key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run
+  SELECT *, sum(size) OVER (ORDER BY finish, pass, key, doc_id NULLS FIRST, size, tie ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run
   FROM queued
 )
-SELECT doc_id, max(size) AS size, max(source_size) AS source_size, max(target) AS target,
+SELECT max(doc_id) AS doc_id, max(size) AS size, max(source_size) AS source_size, max(target) AS target,
   CAST(sum(CASE WHEN run <= (SELECT sum(source_size) * 1.5::DOUBLE FROM sources) THEN size ELSE 0 END) AS BIGINT) AS taken
-FROM cut GROUP BY doc_id
+FROM cut GROUP BY tie
 """
