@@ -101,6 +101,10 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
+def forget() -> None:
+    word_ids.cache_clear()
+
+
 def default_path() -> str:
     import public_tokenizers
 

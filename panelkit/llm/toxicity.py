@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from .chain import LOG_FEATURES, Chain, logistic
 from .columns import free_name, read
 from .textarrays import Block, blocks, mix
+from .workers import forget_words
 
 #: Labelled documents of each class the field is fitted on at most, those with the lowest hash of their id.
 SAMPLE = 1_000
@@ -21,7 +22,7 @@ WEIGHT = 0.7
 #: Words of a chain while fitting; documents are scored as one chain each.
 FIT_CHAIN = 256
 #: Bytes of text whose chains step together.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 #: Chance from which a word is part of a span, and a document toxic.
 TAGGED = 0.5
 REJECT = 0.5
@@ -59,6 +60,8 @@ def word_features(block: Block) -> tuple[np.ndarray, np.ndarray]:
 class Tagger:
     chain: Chain
     score_weights: np.ndarray
+    #: without labels of both classes nothing is learned, and every score is 0.5
+    fitted: bool = True
 
     def documents(self, chances: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Score of each document from the chances of its words."""
@@ -73,8 +76,9 @@ def _evidence(chances: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def _weights(code: np.ndarray, before: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """Careful estimate (two standard errors down) of the log odds of each token's code in toxic documents."""
-    context, n = np.stack([code, before]), int(code.max()) + 1
-    bad, good = (np.bincount(np.unique(context[:, toxic == y], axis=1)[0], minlength=n) for y in (1, 0))
+    n = int(code.max()) + 1
+    wide = int(before.max()) + 2
+    bad, good = (np.bincount(np.unique(code[toxic == y].astype(np.int64) * wide + before[toxic == y] + 1) // wide, minlength=n) for y in (1, 0))
     weight = np.log((bad + 0.5) / (bad.sum() + 1)) - np.log((good + 0.5) / (good.sum() + 1))
     return (weight - 2 * np.sqrt(1 / (bad + 0.5) + 1 / (good + 0.5)))[code]
 
@@ -108,7 +112,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, sample: int) -> DataFram
 
 
 def fit_tagger(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Tagger:
-    """Fit on words of the sample's texts as hashes; no text reaches the driver. Without labels all scores are 0.5."""
+    """Fit on words of the sample's texts as hashes; no text reaches the driver. Without labels of both classes, all scores are 0.5."""
     schema = T.StructType([
         T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("toxic", T.IntegerType()),
         T.StructField("words", T.BinaryType()), T.StructField("features", T.BinaryType()),
@@ -129,8 +133,8 @@ def fit_tagger(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Tagg
     rows = training_sample(docs, labels, sample).mapInArrow(hashed, schema).toPandas()
     rows = rows.sort_values("doc_id", kind="stable")  # the order of tasks must not move the sums
     toxic = rows["toxic"].to_numpy(float)
-    if not len(rows):
-        return Tagger(Chain(), np.zeros(2))
+    if len(np.unique(toxic)) < 2:
+        return Tagger(Chain(), np.zeros(2), False)
     words = np.frombuffer(b"".join(rows["words"]), np.uint64)
     features = np.frombuffer(b"".join(rows["features"]), np.int32).reshape(-1, 4).astype(np.int64)
     first = np.concatenate([[0], np.cumsum([len(w) // 8 for w in rows["words"]])])
@@ -143,8 +147,10 @@ def fit_tagger(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Tagg
 def tag(docs: DataFrame, tagger: Tagger, score: str = "score", spans: str | None = "spans") -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``spans``: runs of tagged words as code point offsets [start, end).
 
-    One pass over whole texts, no shuffle. An empty or null text has the score of no tagged word and no spans.
+    One pass over whole texts, no shuffle. An empty or null text has the score of no tagged word and no spans. Underscores
+    are added to the names where taken.
     """
+    score, spans = free_name(docs, score), free_name(docs, spans) if spans else None
     shared = docs.sparkSession.sparkContext.broadcast(tagger)
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     added = [T.StructField(score, T.DoubleType())] + ([T.StructField(spans, span)] if spans else [])
@@ -153,6 +159,7 @@ def tag(docs: DataFrame, tagger: Tagger, score: str = "score", spans: str | None
 
     def tagged(batches):
         own = shared.value
+        forget_words()
         for batch in batches:
             for block in blocks(batch.column(place), lower=True, limit=BLOCK):
                 features = word_features(block)[1]
@@ -181,9 +188,13 @@ def _spans(block: Block, flagged: np.ndarray) -> pa.Array:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, reject: float = REJECT, sample: int = SAMPLE) -> DataFrame:
-    """Rows of ``docs`` with a score under ``reject``."""
+    """Rows of ``docs`` with a score under ``reject``; all rows where the labels hold less than two classes. Null and empty texts
+    are scored as texts without a tagged word, repeated rows alike."""
+    tagger = fit_tagger(docs, labels, sample)
+    if not tagger.fitted:
+        return docs
     score = free_name(docs, "toxicity")
-    scored = tag(docs, fit_tagger(docs, labels, sample), score, spans=None)
+    scored = tag(docs, tagger, score, spans=None)
     return scored.filter(F.col(score) < reject).drop(score)
 
 
