@@ -13,9 +13,12 @@ from panelkit.session import cut_lineage
 from .columns import WORD, free_name, read
 from .sketches import PART, Parts, share
 from .textarrays import Block, blocks, mix
+from .workers import forget_words
 
 #: Words of a window.
 WINDOW = 50
+#: Bytes of text handled as one block of arrays.
+BLOCK = 1 << 19
 #: The sketch: rows, and cells of a row as a power of two. Its bitmap has DEPTH * 2**LOG_CELLS bits, 64 MB.
 DEPTH, LOG_CELLS = 2, 28
 #: Suspected windows a task merges before it sends their smallest ids.
@@ -48,9 +51,10 @@ def sketch_parts(docs: DataFrame, size: int, depth: int, log_cells: int) -> Data
     """Parts of the count-min sketch of windows; a window counts once for each text."""
 
     def sketch(batches):
+        forget_words()
         parts = Parts(depth, log_cells)
         for batch in batches:
-            for block in blocks(batch.column("text")):
+            for block in blocks(batch.column("text"), limit=BLOCK):
                 _, doc, a, b = _windows(block, size)
                 kept = _known(batch, block)[doc]
                 yield from parts.add(a[kept], b[kept])
@@ -63,7 +67,7 @@ def _suspected(batches, size: int, bits, found=None):
     """Hashes, id and place of the windows that the sketch, and the filter ``found``, do not rule out, block by block."""
     for batch in batches:
         ids = batch.column("doc_id").cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
-        for block in blocks(batch.column("text")):
+        for block in blocks(batch.column("text"), limit=BLOCK):
             place, doc, a, b = _windows(block, size)
             ok = np.flatnonzero(_known(batch, block)[doc])
             ok = ok[bits.value.may_hold(a[ok], b[ok])]
@@ -206,7 +210,7 @@ def dedup_substrings(docs: DataFrame, size: int = WINDOW, depth: int = DEPTH, lo
             words, removed = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             column, changed = batch.column(text_at), {}
             listed = ~batch.column(len(names)).is_null().to_numpy(zero_copy_only=False)
-            for block in blocks(column):
+            for block in blocks(column, limit=BLOCK):
                 words[block.first : block.first + block.texts] = block.words_per_text
                 at = block.first + np.flatnonzero(listed[block.first : block.first + block.texts])
                 first = block.first_word()
