@@ -13,7 +13,7 @@ from panelkit.session import cut_lineage
 from .columns import WORD, free_name, read
 from .sketches import PART, Parts, share
 from .textarrays import Block, blocks, mix
-from .workers import forget_words
+from .workers import tidy
 
 #: Words of a window.
 WINDOW = 50
@@ -50,8 +50,8 @@ def _known(batch, block: Block) -> np.ndarray:
 def sketch_parts(docs: DataFrame, size: int, depth: int, log_cells: int) -> DataFrame:
     """Parts of the count-min sketch of windows; a window counts once for each text."""
 
+    @tidy
     def sketch(batches):
-        forget_words()
         parts = Parts(depth, log_cells)
         for batch in batches:
             for block in blocks(batch.column("text"), limit=BLOCK):
@@ -91,6 +91,7 @@ def document_ends(docs: DataFrame, bits, size: int) -> DataFrame:
         columns = [pa.array(a[head].view(np.int64)), pa.array(b[head]), pa.array(doc[head]), pa.array(doc[last])]
         return pa.RecordBatch.from_arrays(columns, ["a", "b", "least", "most"])
 
+    @tidy
     def emit(batches):
         held, n = [], 0
         for part in _suspected(batches, size, bits):
@@ -108,6 +109,7 @@ def document_ends(docs: DataFrame, bits, size: int) -> DataFrame:
 def occurrences(docs: DataFrame, bits, found, size: int) -> DataFrame:
     """``a, b, doc_id, place`` of the windows that both bitmaps may hold, each once for each text."""
 
+    @tidy
     def emit(batches):
         for a, b, doc, place in _suspected(batches, size, bits, found):
             yield pa.RecordBatch.from_arrays(
@@ -130,6 +132,7 @@ def repeated_windows(docs: DataFrame, size: int = WINDOW, depth: int = DEPTH, lo
     groups = document_ends(docs, bits, size).groupBy("a", "b").agg(F.min("least").alias("least"), F.max("most").alias("most"))
     several = cut_lineage(groups.filter("least < most").select("a", "b", "least"), "windows")
 
+    @tidy
     def keys(batches):
         parts = Parts(1, LOG_FOUND)
         for batch in batches:
@@ -167,6 +170,7 @@ def dedup_substrings(docs: DataFrame, size: int = WINDOW, depth: int = DEPTH, lo
     """
     windows = cut_lineage(repeated_windows(docs, size, depth, log_cells), "repeated")
 
+    @tidy
     def ids_of(batches):
         parts = Parts(1, LOG_TOUCHED)
         for batch in batches:
@@ -181,6 +185,7 @@ def dedup_substrings(docs: DataFrame, size: int = WINDOW, depth: int = DEPTH, lo
     schema = T.StructType([*docs.schema.fields, T.StructField(may, T.BooleanType())])
     text_at, id_at = names.index("text"), names.index("doc_id")
 
+    @tidy
     def mark(batches):
         for batch in batches:
             ids = batch.column(id_at).cast(pa.int64())
@@ -205,6 +210,7 @@ def dedup_substrings(docs: DataFrame, size: int = WINDOW, depth: int = DEPTH, lo
             at = block.start[first + b] if b < len(gone) else stop
         return b"".join([*parts, block.body[at:stop].tobytes()]).decode("utf-8")
 
+    @tidy
     def cut(batches):
         for batch in batches:
             words, removed = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from .chain import LOG_FEATURES, Chain, logistic
 from .columns import free_name, read
 from .textarrays import Block, blocks, mix
-from .workers import forget_words
+from .workers import tidy
 
 #: Labelled documents of each class the field is fitted on at most, those with the lowest hash of their id.
 SAMPLE = 1_000
@@ -118,6 +118,7 @@ def fit_tagger(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Tagg
         T.StructField("words", T.BinaryType()), T.StructField("features", T.BinaryType()),
     ])
 
+    @tidy
     def hashed(batches):
         for batch in batches:
             for block in blocks(batch.column("text"), lower=True):
@@ -157,9 +158,9 @@ def tag(docs: DataFrame, tagger: Tagger, score: str = "score", spans: str | None
     schema = T.StructType([*docs.schema.fields, *added])
     place = docs.columns.index("text")
 
+    @tidy
     def tagged(batches):
         own = shared.value
-        forget_words()
         for batch in batches:
             for block in blocks(batch.column(place), lower=True, limit=BLOCK):
                 features = word_features(block)[1]
