@@ -364,6 +364,44 @@ def test_revisits(spark):
     assert revisits.resolve(df.limit(0)).count() == 0
 
 
+REVISIT_KINDS = "record_id long, url string, time long, kind string, etag string, last_modified string, headers map<string,string>, digest string"
+
+
+def test_revisits_header_case_and_repeated_rows(spark):
+    """Names that differ in case only: the last in byte order counts. Rows given twice multiply nothing; null ids and other kinds are allowed."""
+    url = "http://h.org/a"
+    full = (1, url, 10, "response", '"1"', None, {"ETag": '"0"', "etag": '"1"', "X": "1", "x": "2"}, "one")
+    again = (2, url, 20, "revisit", '"1"', None, {"Date": "d1", "date": "d2"}, None)
+    rows = [full, full, again, again, (None, url, 21, "revisit", '"1"', None, None, None), (None, "http://n.org", 1, "response", None, "m", None, "two"),
+            (5, "http://n.org", 2, "revisit", None, "m", None, None), (6, url, 30, "request", None, None, None, None)]
+    got = [(r["record_id"], r["target_id"], r["outcome"], r["headers"], r["digest"]) for r in revisits.resolve(spark.createDataFrame(rows, REVISIT_KINDS)).collect()]
+    stored = {"etag": '"1"', "x": "2"}
+    assert sorted(got, key=str) == sorted([
+        (2, 1, "resolved", stored | {"date": "d2"}, "one"), (2, 1, "resolved", stored | {"date": "d2"}, "one"),
+        (None, 1, "resolved", stored, "one"), (5, None, "resolved", {}, "two"),
+    ], key=str)
+
+
+def test_revisits_of_one_time_and_id(spark):
+    """Of responses of one time and id the last by tag counts, wherever rows lie; one of the revisit's own time and id does not."""
+    rows = [(1, "u.org", 5, "response", tag, None, {}, tag) for tag in ("a", "c", "b")]
+    rows += [(2, "u.org", 6, "revisit", "c", None, {}, None), (2, "u.org", 6, "response", "z", None, {}, "z")]
+    for order in (rows, rows[::-1]):
+        got = revisits.resolve(spark.createDataFrame(order, REVISIT_KINDS).repartition(3)).collect()
+        assert [(r["record_id"], r["target_id"], r["outcome"], r["digest"]) for r in got] == [(2, 1, "resolved", "c")]
+
+
+@pytest.mark.parametrize("a, b, same", [
+    ("http://h.org:80/a%7Eb", "https://www.H.org/a~b/", True), ("http://h.org/?x=1&y=2", "http://h.org?y=2&x=1#t", True),
+    ("http://h.org:443", "h.org", True), ("http://h.org:8080/", "http://h.org/", False), ("http://h.org/%2fa", "http://h.org/%2Fa", True),
+    ("http://h.org/%2fa", "http://h.org//a", False), ("http://h.org/a?ref=1&b=2&utm_x=3", "http://h.org/a?b=2", True), ("http://h.org/a?preref=1", "http://h.org/a", False),
+    ("http://h.org/a?b", "http://h.org/a", False), ("http://h.org/100%", "http://h.org/100", False), ("http://h.org/%C3%a9", "http://h.org/%c3%A9", True), ("", "http://", True),
+])
+def test_canonical_urls(spark, a, b, same):
+    row = spark.createDataFrame([(a, b)], "a string, b string").select(revisits.canonical_url(F.col("a")), revisits.canonical_url(F.col("b"))).first()
+    assert row[0] is not None and (row[0] == row[1]) == same
+
+
 def test_revisits_of_one_hot_url(spark):
     """One site over many ranges: what a range inherits comes from the one before."""
     n = 3000
