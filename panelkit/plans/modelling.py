@@ -29,6 +29,13 @@ def _frame(t, lookback: int = 6):
 
 
 LAGS_24 = [lag_name(i, "cases") for i in range(1, 25)]
+#: Lags of a sweep: windows of 24 months that begin at each of them.
+SWEPT = (1, 2, 3, 4)
+
+
+def window_of(column: str, lag: int, size: int = 24) -> list[str]:
+    """Names of ``size`` lags of a column from ``lag`` on: a larger lag moves the window, it does not shorten it."""
+    return [lag_name(i, column) for i in range(lag, lag + size)]
 
 
 def _labelled(t, style: str, lookback: int = 24):
@@ -99,7 +106,7 @@ def _(t):
 @query("ml_3_ridge_classifier", "ML-3")
 def _(t):
     train, test = _labelled(t, "relative_ternary")
-    scored = models.ridge_classifier(train, test, LAGS_24, 3)
+    scored = models.ridge_classifier(train, test, [*LAGS_24, "month"], 3)
     return result_frame(scored, "relative_ternary", {"case_lag": 1}, probabilities=None)
 
 
@@ -142,15 +149,15 @@ def _(t):
     train, test = _labelled(t, "relative_binary")
     zero = splits.zero_entities(train)
     rows = train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
-    fitted = linear.local_ridge_classes(rows.join(zero, "entity", "left_anti"), LAGS_24, "relative_binary_local")
+    fitted = linear.local_ridge_classes(rows.join(zero, "entity", "left_anti"), [*LAGS_24, "month"], "relative_binary_local")
     return fitted.unionByName(splits.bypass_rows(zero).drop("probabilities"))
 
 
 @query("ml_5_poisson_regression", "ML-5")
 def _(t):
-    logged = _frame(t).withColumns({c: log_offset(F.col(c)) for c in CASE_LAGS})
+    logged = _frame(t, 24).withColumns({c: log_offset(F.col(c)) for c in LAGS_24})
     train, test = splits.temporal_holdout(logged, TRAIN_START, TRAIN_END, TEST_END)
-    out = models.poisson_regression(train, test, CASE_LAGS, "target")
+    out = models.poisson_regression(train, test, LAGS_24, "target")
     return out.select("entity", "start_date", "target", "prediction")
 
 
@@ -200,7 +207,7 @@ def _(t):
     return reduce(lambda a, b: a.unionByName(b), scores)
 
 
-def _cluster_forecast(t, lags: int = 12):
+def _cluster_forecast(t, lags: int = 24):
     """One ridge per cluster (nation) on the history, rolled 3 months past its end on its own forecasts, with quantiles."""
     lagged = add_lags(t.dense, {"count": range(1, lags + 1)})
     names = [lag_name(i, "count") for i in range(1, lags + 1)]
@@ -397,16 +404,16 @@ def _sweep_frames(t, lookback: int):
     return train, test
 
 
+def lag_target_grid() -> list[sweeps.Model]:
+    """Target styles by lags: 24 case lags from the lag on, and the month."""
+    return [sweeps.Model(f"{style}/lag{lag}", (*window_of("cases", lag), "month"), style) for style in STYLES for lag in SWEPT]
+
+
 @query("ml_13_lag_target_sweep", "ML-13")
 def _(t):
-    train, test = _sweep_frames(t, 9)
-    names = [lag_name(i, "cases") for i in range(1, 10)]
-    sweep = sweeps.RidgeSweep(train, names, STYLES)
-    grid = [
-        sweeps.Model(f"{style}/lag{lag}", tuple(lag_name(i, "cases") for i in range(lag, lag + 6)), style)
-        for style in STYLES for lag in (1, 2, 3, 4)
-    ]
-    return sweep.scores(test, grid)
+    train, test = _sweep_frames(t, 23 + max(SWEPT))
+    sweep = sweeps.RidgeSweep(train, [*window_of("cases", 1, 23 + max(SWEPT)), "month"], STYLES)
+    return sweep.scores(test, lag_target_grid())
 
 
 @query(
@@ -426,8 +433,8 @@ def _(t):
 def _(t):
     train, test = _sweep_frames(t, 48)
     names = [lag_name(i, "cases") for i in range(1, 49)]
-    sweep = sweeps.RidgeSweep(train, names, STYLES)
-    grid = [sweeps.Model(f"{style}/lookback{k}", tuple(names[:k]), style) for style in STYLES for k in range(1, 49)]
+    sweep = sweeps.RidgeSweep(train, [*names, "month"], STYLES)
+    grid = [sweeps.Model(f"{style}/lookback{k}", (*names[:k], "month"), style) for style in STYLES for k in range(1, 49)]
     return sweep.scores(test, grid)
 
 
@@ -435,30 +442,34 @@ COVARIATES = ["volume", "top_price", "low_tax"]
 ALL_COVARIATES = [*COVARIATES, "mean_price", "low_quantity"]
 
 
-def _covariate_rows(t, covariates=COVARIATES, parameters=None):
+def _covariate_rows(t, covariates=COVARIATES, parameters=None, lookback: int = 6):
     """Counts with lags of counts and of covariates, labelled relative to the training mean."""
     table = t.parameters if parameters is None else parameters
     joined = t.panel.join(table.select("entity", "start_date", *covariates), ["entity", "start_date"], "left")
     filled = joined.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in covariates})
     frame = lag_frame(
-        filled, TRAIN_START, TEST_END, "count", case_lookback=6, env_list=covariates, env_lookback=6, env_lag=1, dense=True
+        filled, TRAIN_START, TEST_END, "count", case_lookback=lookback, env_list=covariates, env_lookback=lookback, env_lag=1, dense=True
     )
     train, test = splits.temporal_holdout(cut_lineage(frame), TRAIN_START, TRAIN_END, TEST_END)
     a, b = targets.label_splits(train, test, "relative_binary")
     return a.withColumn("label", F.col("cat_target").cast("int")), b.withColumn("label", F.col("cat_target").cast("int"))
 
 
+def covariate_grid() -> list[sweeps.Model]:
+    """All 32 sets of covariates by lags: 24 lags of cases and of each covariate from the lag on, and the month."""
+    sets = [s for k in range(len(ALL_COVARIATES) + 1) for s in combinations(ALL_COVARIATES, k)]
+    return [
+        sweeps.Model(f"{'+'.join(s) or 'none'}/lag{lag}", (*[x for c in ("cases", *s) for x in window_of(c, lag)], "month"), "label")
+        for s in sets for lag in SWEPT
+    ]
+
+
 @query("ml_13_covariate_sweep", "ML-13")
 def _(t):
-    train, test = _covariate_rows(t, ALL_COVARIATES, t.wide_parameters)
-    env = {c: [lag_name(i, c) for i in range(1, 7)] for c in ALL_COVARIATES}
-    sweep = sweeps.RidgeSweep(train, [*CASE_LAGS, *sum(env.values(), [])], {"label": 2})
-    sets = [s for k in range(len(ALL_COVARIATES) + 1) for s in combinations(ALL_COVARIATES, k)]  # all 32
-    grid = [
-        sweeps.Model(f"{'+'.join(s) or 'none'}/lag{lag}", tuple(CASE_LAGS[lag - 1:]) + tuple(sum((env[c] for c in s), [])), "label")
-        for s in sets for lag in (1, 2, 3, 4)
-    ]
-    return sweep.scores(test, grid)
+    widest = 23 + max(SWEPT)
+    train, test = _covariate_rows(t, ALL_COVARIATES, t.wide_parameters, widest)
+    sweep = sweeps.RidgeSweep(train, [*[x for c in ("cases", *ALL_COVARIATES) for x in window_of(c, 1, widest)], "month"], {"label": 2})
+    return sweep.scores(test, covariate_grid())
 
 
 @query("ml_14_forward_selection", "ML-14 SPL-2 AGG-21")
@@ -517,9 +528,13 @@ def _(t):
     return sweep.confusion(test, [sweeps.Model(c, (lag_name(1, c),), "label") for c in COVARIATES])
 
 
+def feature_grid() -> list[sweeps.Model]:
+    """A model for each covariate: 24 lags of cases and of the covariate, and the month."""
+    return [sweeps.Model(c, (*window_of("cases", 1), *window_of(c, 1), "month"), "label") for c in COVARIATES]
+
+
 @query("ml_16_model_per_feature", "ML-16")
 def _(t):
-    train, test = _covariate_rows(t)
-    env = {c: [lag_name(i, c) for i in range(1, 7)] for c in COVARIATES}
-    sweep = sweeps.RidgeSweep(train, [*CASE_LAGS, *sum(env.values(), [])], {"label": 2})
-    return sweep.scores(test, [sweeps.Model(c, (*CASE_LAGS, *env[c]), "label") for c in COVARIATES])
+    train, test = _covariate_rows(t, lookback=24)
+    sweep = sweeps.RidgeSweep(train, [*[x for c in ("cases", *COVARIATES) for x in window_of(c, 1)], "month"], {"label": 2})
+    return sweep.scores(test, feature_grid())

@@ -205,6 +205,19 @@ def _(t):
     return t.spark.table(name).select("item_id", "MSE", "QuantileLoss_0_5_", "model_id", "task_id")
 
 
+@query(
+    "snk_4_retried_append", "SNK-3 SNK-4",
+    f"WITH f AS ({_FORECAST_SQL}) SELECT *, 'run1' AS run_key FROM f UNION ALL SELECT *, 'run2' FROM f WHERE step > 0",
+    uses="counts",
+)
+def _(t):
+    path = scratch_path(t.spark, "runs")
+    forecasts = _forecasts(t)
+    for key, rows in (("run1", forecasts), ("run2", forecasts.filter("step > 0")), ("run1", forecasts)):  # the last one is a retry
+        tables.append_once(rows, "predictions", path, key)
+    return tables.read_runs(t.spark, "predictions", path)
+
+
 @query("snk_5_export_table", "SNK-5", _FORECAST_SQL, uses="counts")
 def _(t):
     name = _result_table(t, "predictions")

@@ -1,7 +1,9 @@
 """Readers, writers, tables and the stream."""
 
 import datetime as dt
+import shutil
 
+import pytest
 from pyspark.sql import functions as F
 
 from panelkit.operators.periods import count_by_period
@@ -38,6 +40,31 @@ def test_append_goes_by_name(spark):
     assert (row["model_id"], row["muni_id"], row["mean"], row["task_id"]) == ("run", "m1", 2.5, None)
 
 
+def test_append_once_survives_failures_and_retries(spark, rows):
+    path = scratch_path(spark, "t-runs")
+    good = spark.range(4).selectExpr("CAST(id AS STRING) AS muni_id", "id / 2 AS mean", "'other' AS extra")
+    bad = good.withColumn("mean", F.when(F.col("muni_id") == "3", F.raise_error(F.lit("lost"))).otherwise(F.col("mean")))
+    assert tables.append_once(good, "predictions", path, "a.1")
+    with pytest.raises(Exception, match="lost"):
+        tables.append_once(bad, "predictions", path, "b")
+    read = lambda: rows(tables.read_runs(spark, "predictions", path), "run_key", "muni_id", "mean")
+    first = [("a.1", str(i), i / 2) for i in range(4)]
+    assert read() == first  # nothing of the failed run shows
+    assert tables.append_once(good, "predictions", path, "b")
+    assert not tables.append_once(good, "predictions", path, "b")
+    assert not tables.append_once(bad, "predictions", path, "a.1")  # committed: not even computed
+    assert read() == first + [("b", i, m) for _, i, m in first]
+    assert tables.append_once(good.limit(0), "predictions", path, "none")
+    assert len(read()) == 8
+    late = f"{path}/_staged-late"
+    good.write.parquet(late)
+    shutil.move(late.removeprefix("file:"), f"{path}/run_key=b/".removeprefix("file:"))  # a writer that lost the race
+    assert len(read()) == 8
+    for key in ("", "a/b", "a=b", "\u00e9"):
+        with pytest.raises(ValueError, match="run key"):
+            tables.append_once(good, "predictions", path, key)
+
+
 def test_result_tables_hold_the_expected_columns():
     assert len(tables.SCHEMAS["agg_metrics"].fields) == 27
     assert len(tables.SCHEMAS["item_metrics"].fields) == 20

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelkit.operators import coverage, linear, results, zonal
+from panelkit.plans import modelling
 
 VERTICES = "region string, ring int, hole boolean, vertex_no int, x double, y double"
 
@@ -171,3 +172,21 @@ def test_correlated_pooling(spark):
     assert {r["entity"]: r["n"] for r in got} == {k: len(g) for k, g in groups.items()}
     for r in got:
         assert (r["intercept"], r["slope"]) == pytest.approx(want[r["entity"]], abs=1e-6)
+
+
+def test_sweeps_move_their_windows():
+    """Every grid point has whole windows of 24 lags from its own lag on, and the month."""
+    lags = lambda column, lag: [f"{i}_shifted_{column}" for i in range(lag, lag + 24)]
+    by_target = {m.name: m for m in modelling.lag_target_grid()}
+    assert len(by_target) == 16
+    for name, model in by_target.items():
+        style, lag = name.split("/lag")
+        assert model.label == style and list(model.features) == [*lags("cases", int(lag)), "month"]
+    by_set = {m.name: list(m.features) for m in modelling.covariate_grid()}
+    assert len(by_set) == 128
+    for name, features in by_set.items():
+        names, lag = name.split("/lag")
+        picked = [] if names == "none" else names.split("+")
+        assert features == [*[x for c in ("cases", *picked) for x in lags(c, int(lag))], "month"]
+    assert {m.name: list(m.features) for m in modelling.feature_grid()} == {
+        c: [*lags("cases", 1), *lags(c, 1), "month"] for c in modelling.COVARIATES}
