@@ -14,6 +14,7 @@ from .columns import free_name, read
 from .components import components
 from .sketches import HELD, PART, Parts, share
 from .textarrays import Block, blocks, mix
+from .workers import tidy
 
 #: Words of a shingle, and the least similarity in hundredths.
 SHINGLE = 4
@@ -51,6 +52,7 @@ def shingle_sets(block: Block, size: int) -> tuple[np.ndarray, np.ndarray]:
 def frequent_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of the FREQUENT most counted shingles, and their places from rare to frequent."""
 
+    @tidy
     def note(batches):
         held, n = [], 0
 
@@ -86,6 +88,7 @@ def signatures(docs: DataFrame, size: int, least: int, frequent) -> DataFrame:
         T.StructField("same", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("parity", T.ArrayType(T.LongType())),
     ])
 
+    @tidy
     def sign(batches):
         known, place = frequent.value
         for batch in batches:
@@ -129,6 +132,7 @@ def may_hold(df: DataFrame, column: str, bits) -> DataFrame:
     """Rows whose ``column`` (long, last in no way) a shared bitmap may hold."""
     at, names = df.columns.index(column), df.columns
 
+    @tidy
     def keep(batches):
         for batch in batches:
             values = batch.column(at).cast(pa.int64())
@@ -142,6 +146,7 @@ def may_hold(df: DataFrame, column: str, bits) -> DataFrame:
 def bitmap(df: DataFrame, column: str, log_cells: int, which: str = "seen"):
     """Shared bitmap of the values of a long column."""
 
+    @tidy
     def sketch(batches):
         parts = Parts(1, log_cells)
         for batch in batches:
@@ -166,6 +171,7 @@ def verified(docs: DataFrame, pairs: DataFrame, size: int, least: int) -> DataFr
             hashes.append(h)
         return np.concatenate(rows), np.concatenate(hashes)
 
+    @tidy
     def similar(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, VERIFIED):
@@ -304,6 +310,7 @@ def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
     schema = T.StructType([*docs.schema.fields, T.StructField(flag, T.BooleanType())])
     at = docs.columns.index("doc_id")
 
+    @tidy
     def mark(batches):
         for batch in batches:
             values = batch.column(at).cast(pa.int64())
