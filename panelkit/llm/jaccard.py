@@ -26,7 +26,7 @@ FREQUENT = 1 << 17
 NOTED = 8
 #: Cells of the filters of shingles and of ids, as powers of two: 32 MB and 8 MB at most.
 LOG_TOKENS, LOG_IDS = 28, 26
-#: Words of 64 bits in a set's parity bits.
+#: Least words of 64 bits in a set's parity bits. Larger sets have a power of two of them, as many bits as shingles at least.
 PARITY = 16
 #: Pairs of texts compared at a time.
 VERIFIED = 64
@@ -117,9 +117,12 @@ def signatures(docs: DataFrame, size: int, least: int, frequent) -> DataFrame:
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(hashes[inside].view(np.int64)))
                 flips = mix(hashes + mix(np.array([4], np.uint64)))
-                parity = np.zeros(block.texts * PARITY, np.uint64)
-                np.bitwise_xor.at(parity, doc * PARITY + (flips & np.uint64(PARITY - 1)).astype(np.int64), np.uint64(1) << (flips >> np.uint64(58)))
-                parities = pa.ListArray.from_arrays(pa.array(np.arange(block.texts + 1, dtype=np.int32) * PARITY), pa.array(parity.view(np.int64)))
+                width = PARITY << np.ceil(np.log2(np.maximum(n / (64 * PARITY), 1))).astype(np.int64)
+                start = np.concatenate([[0], np.cumsum(width)])
+                parity = np.zeros(start[-1], np.uint64)
+                word = (flips & (width[doc] - 1).astype(np.uint64)).astype(np.int64)
+                np.bitwise_xor.at(parity, start[doc] + word, np.uint64(1) << (flips >> np.uint64(58)))
+                parities = pa.ListArray.from_arrays(pa.array(start.astype(np.int32)), pa.array(parity.view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(block.first, block.texts), pa.array(n), pa.array(a), pa.array(b), pa.array(same), lists, parities],
                     schema.names,
@@ -206,11 +209,13 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, least: int = LEAST, ro
 
     1. Equal sets collapse to their smallest id (mergeable), equal prefixes and sizes to groups.
     2. Groups are listed under the shingles of their prefix; a bitmap of shingles seen twice drops the others before
-       the shuffle.
-    3. Star rounds: in each list that holds several components, one drawn member is verified against the members of
-       other components. Links join components, so large groups of near copies shrink to one without trying all pairs.
-    4. What is left: pairs of members of different components that pass the size, place and parity filters are verified,
-       all of them. Only members outside a list's largest component look for partners in it.
+       the shuffle. A group of several sets is a list of its own, of its members.
+    3. Star rounds: in each list that holds several components, one drawn group meets the groups of other components.
+       Pairs of groups that pass the size and place filters are expanded to their members, pairs of members that pass the
+       parity filter are verified. Links join components, so large groups of near copies shrink to one without trying
+       all pairs.
+    4. What is left: all pairs of groups of different components that pass the filters are expanded and verified. Only
+       groups outside a list's largest component look for partners in it.
     """
     spark = docs.sparkSession
     frequent = spark.sparkContext.broadcast(frequent_shingles(docs, size))
@@ -219,22 +224,31 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, least: int = LEAST, ro
     some = signed.filter("n > 0 and doc_id is not null")
     sets = some.groupBy("a", "b", "n").agg(F.min(node).alias("rep"), F.min("same").alias("same"))
     sets = cut_lineage(sets, "sets")
-    # a group's prefix is listed once, whatever its members; a group of several sets is a list of its own
     tokens = some.select("same", "n", F.posexplode("prefix").alias("place", "token"))
     again = bitmap(tokens, "token", LOG_TOKENS, "again")
     tokens = may_hold(tokens.select("token", "place", "same", "n"), "token", again).distinct()
-    own = sets.groupBy("same", "n").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
-    listed = tokens.unionByName(own.select(F.col("same").alias("token"), F.lit(0).alias("place"), "same", "n"))
-    lists = listed.join(sets.select("same", "n", "rep"), ["same", "n"]).select("token", "place", "n", "rep", F.col("rep").alias("component"))
-    lists = cut_lineage(lists, "lists")
+    groups = sets.groupBy("same", "n").agg(F.count(F.lit(1)).alias("k"), F.min("rep").alias("rep"))
+    crowd = groups.filter("k > 1").select(F.col("same").alias("crowd"), "n")
+    members = sets.select(F.col("same").alias("crowd"), "n", "rep", F.col("rep").alias("component"))
+    members = cut_lineage(members.join(crowd, ["crowd", "n"], "left_semi"), "members")
+    lists = tokens.join(groups, ["same", "n"]).select(
+        "token", "place", "n", "rep", F.expr("if(k = 1, rep, null)").alias("component"), F.expr("if(k > 1, same, null)").alias("crowd"))
+    own = members.select(F.col("crowd").alias("token"), F.lit(0).alias("place"), "n", "rep", "component", F.lit(None).cast("long").alias("crowd"))
+    lists = cut_lineage(lists.unionByName(own), "lists")
     nodes = cut_lineage(sets.select(F.col("rep").alias("node"), F.col("rep").alias("component")).distinct(), "nodes")
     for turn in range(rounds + 1):
         lists = _open_lists(lists)
-        pairs = _star_pairs(lists, least, turn) if turn < rounds else _remaining_pairs(_with_parity(lists, some), least)
+        if turn < rounds:
+            pairs = _expanded(_star_pairs(lists, least, turn), members, turn)
+        else:
+            pairs = _expanded(_remaining_pairs(_with_parity(lists, some), least), members)
         pairs = cut_lineage(pairs.distinct(), "pairs")
-        merged = None if pairs.isEmpty() else _merged(nodes, verified(docs, pairs, size, least))
+        merged = None if pairs.isEmpty() else _merged(nodes, verified(docs, _near(pairs, some, least), size, least))
+        if merged is not None and turn < rounds:
+            members = cut_lineage(_moved(members, merged), "members")
+            lists = _moved_lists(lists, members, merged)
         if merged is not None:
-            nodes, lists = cut_lineage(_moved(nodes, merged), "nodes"), _moved(lists, merged)
+            nodes = cut_lineage(_moved(nodes, merged), "nodes")
 
     reps = sets.select("a", "b", "n", "rep")
     placed = signed.select("doc_id", "n", "a", "b").join(reps, ["a", "b", "n"], "left")
@@ -246,42 +260,84 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, least: int = LEAST, ro
 
 
 def _open_lists(lists: DataFrame) -> DataFrame:
-    """Rows of the lists that still hold several components."""
-    held = lists.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
+    """Rows of the lists that still hold several components; a group without one has members of several."""
+    n, known = F.count(F.lit(1)), F.count("component")
+    held = lists.groupBy("token").agg(((F.min("component") < F.max("component")) | ((known < n) & (n > 1))).alias("open")).filter("open")
     return cut_lineage(lists.join(held.select("token"), "token", "left_semi"), "lists")
 
 
+_PAIR = [f"{side}.{c} AS {side}_{c}" for side in "ab" for c in ("rep", "n", "component", "crowd")]
+
+
 def _star_pairs(lists: DataFrame, least: int, turn: int) -> DataFrame:
-    """In each list, the member of a draw against all members of other components that pass the filters."""
+    """In each list, all groups of other components that pass the filters (a) with the group of a draw (b)."""
     draw = F.xxhash64("rep", F.lit(turn))
-    center = lists.groupBy("token").agg(F.min(F.struct(draw.alias("draw"), "rep", "n", "place", "component")).alias("b"))
-    star = lists.alias("a").join(center, "token").filter("a.component <> b.component").filter(_possible(least, "a", "b"))
-    return star.select(F.least("a.rep", "b.rep").alias("x"), F.greatest("a.rep", "b.rep").alias("y"))
+    center = lists.groupBy("token").agg(F.min(F.struct(draw.alias("draw"), "rep", "n", "place", "component", "crowd")).alias("b"))
+    star = lists.alias("a").join(center, "token").filter("a.rep <> b.rep and coalesce(a.component <> b.component, true)")
+    return star.filter(_possible(least, "a", "b")).selectExpr(*_PAIR).distinct()
+
+
+def _expanded(pairs: DataFrame, members: DataFrame, turn: int | None = None) -> DataFrame:
+    """Pairs of groups -> pairs ``x, y`` of members of different components: each member of one with each of the other, or,
+    with ``turn``, with a drawn one."""
+    drawn = members
+    if turn is not None:
+        draw = F.xxhash64("rep", F.lit(turn))
+        drawn = members.groupBy("crowd", "n").agg(F.min_by(F.struct("rep", "component"), draw).alias("m")).select("crowd", "n", "m.*")
+    out = pairs
+    for side, held in (("a", members), ("b", drawn)):
+        one = out.filter(f"{side}_crowd is null")
+        several = out.filter(f"{side}_crowd is not null").drop(f"{side}_rep", f"{side}_component")
+        held = held.select(*[F.col(c).alias(f"{side}_{c}") for c in held.columns])
+        out = one.unionByName(several.join(held, [f"{side}_crowd", f"{side}_n"]))
+    met = out.filter("a_rep <> b_rep and a_component <> b_component")
+    return met.select(F.least("a_rep", "b_rep").alias("x"), F.greatest("a_rep", "b_rep").alias("y"))
+
+
+def _folded(bits: str, words: str) -> str:
+    """Parity bits as they are in that many words: a power of two, and no more than there are."""
+    folded = f"transform(sequence(0, {words} - 1), i -> aggregate(sequence(i, size({bits}) - 1, {words}), 0L, (s, k) -> s ^ {bits}[k]))"
+    return f"if(size({bits}) = {words}, {bits}, {folded})"
+
+
+def _near(pairs: DataFrame, signed: DataFrame, least: int) -> DataFrame:
+    """Pairs of ids whose sets may be similar by all their parity bits. Ids with several sets pass."""
+    ids = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
+    known = signed.select(F.col("doc_id").cast("long").alias("id"), "n", "a", "parity").join(ids, "id", "left_semi")
+    one = F.when((F.min("a") == F.max("a")) & (F.min("n") == F.max("n")), F.min("parity")).alias("p")
+    bits = cut_lineage(known.groupBy("id").agg(F.min("n").alias("n"), one), "parity")
+    met = pairs
+    for k in "xy":
+        met = met.join(bits.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("p").alias(f"p{k}")), k)
+    words = "least(size(px), size(py))"
+    odd = f"aggregate(zip_with({_folded('px', words)}, {_folded('py', words)}, (u, v) -> bit_count(u ^ v)), 0, (s, c) -> s + c)"
+    # each shingle that only one of two sets has flips one bit: sets differ in as many shingles at least as in bits
+    near = met.filter(f"px is null or py is null or ({odd}) * {100 + least} <= {100 - least} * (nx + ny)")
+    return cut_lineage(near.select("x", "y"), "near")
 
 
 def _with_parity(lists: DataFrame, signed: DataFrame) -> DataFrame:
-    """Lists with the parity bits of their members; null where one id has several sets of the same size."""
+    """Lists with PARITY words of parity bits of single sets; null for groups of several, and for an id's several sets of
+    one size."""
     reps = lists.select("rep").distinct()
     known = signed.select(F.col("doc_id").cast("long").alias("rep"), "n", "a", "parity").join(reps, "rep", "left_semi")
+    known = known.withColumn("parity", F.expr(_folded("parity", str(PARITY))))
     one = F.when(F.min("a") == F.max("a"), F.min("parity")).alias("parity")
-    return cut_lineage(lists.join(known.groupBy("rep", "n").agg(one), ["rep", "n"], "left"), "lists")
+    placed = lists.join(known.groupBy("rep", "n").agg(one), ["rep", "n"], "left")
+    return cut_lineage(placed.withColumn("parity", F.expr("if(crowd is null, parity, null)")), "lists")
 
 
 def _remaining_pairs(lists: DataFrame, least: int) -> DataFrame:
-    """All pairs of members of different components that share a list and pass the filters. The members of a list's
-    largest component look for no partners; they are found by the others.
-
-    Each shingle that only one of two sets has flips one parity bit, so two sets differ in as many shingles at least as
-    in bits. Pairs that differ in more than similar sets can are dropped where they meet.
-    """
-    sizes = lists.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k"))
+    """All pairs of groups of different components that share a list and pass the filters. The groups of a list's
+    largest component look for no partners; they are found by the others. Pairs that differ in more parity bits than
+    similar sets can are dropped where they meet."""
+    sizes = lists.filter("component is not null").groupBy("token", "component").agg(F.count(F.lit(1)).alias("k"))
     main = sizes.groupBy("token").agg(F.max(F.struct("k", "component")).alias("m")).select("token", F.col("m.component").alias("main"))
-    few = lists.join(main, "token").filter("component <> main").alias("a")
-    differ = "a.token = b.token and a.component <> b.component and (b.component = a.main or a.rep < b.rep) and "
+    few = lists.join(main, "token", "left").filter("coalesce(component <> main, true)").alias("a")
+    differ = "a.token = b.token and coalesce(a.component <> b.component, true) and (coalesce(b.component = a.main, false) or a.rep < b.rep) and "
     bits = " + ".join(f"bit_count(a.parity[{k}] ^ b.parity[{k}])" for k in range(PARITY))
     near = f" and coalesce(({bits}) * {100 + least} <= {100 - least} * (a.n + b.n), true)"
-    pairs = few.join(lists.alias("b"), F.expr(differ + _possible(least, "a", "b") + near))
-    return pairs.select(F.least("a.rep", "b.rep").alias("x"), F.greatest("a.rep", "b.rep").alias("y"))
+    return few.join(lists.alias("b"), F.expr(differ + _possible(least, "a", "b") + near)).selectExpr(*_PAIR).distinct()
 
 
 def _merged(nodes: DataFrame, links: DataFrame) -> DataFrame | None:
@@ -298,6 +354,15 @@ def _moved(rows: DataFrame, merged: DataFrame) -> DataFrame:
     return rows.join(merged, "component", "left").select(*others, F.coalesce("lower", "component").alias("component"))
 
 
+def _moved_lists(lists: DataFrame, members: DataFrame, merged: DataFrame) -> DataFrame:
+    """Lists after a merge; a group of several sets has a component once all its members share it."""
+    one = _moved(lists.filter("crowd is null"), merged)
+    low, high = F.min("component"), F.max("component")
+    now = members.groupBy("crowd", "n").agg(F.when(low == high, low).alias("component"))
+    several = lists.filter("crowd is not null").drop("component").join(now, ["crowd", "n"], "left")
+    return one.unionByName(several)
+
+
 def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
     """Rows of ``docs``, one for each component: that of the smallest id. Rows with one id count once; rows without
     an id, and one for each id without words, stay."""

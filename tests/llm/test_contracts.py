@@ -1,11 +1,13 @@
 """Contract queries against plain versions, on the smallest data and on odd rows."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,10 +140,34 @@ def test_jaccard_odd_rows(docs_of, odd_rows):
     assert got == plain_components([r[:2] for r in odd_rows])
 
 
+def test_jaccard_groups_of_several_sets(docs_of):
+    """Copies with one word changed, of which many share prefix and size, and texts whose parity bits differ in width."""
+    rng = random.Random(11)
+    rows = []
+    for k in range(3):
+        base = [f"b{k}_{rng.randrange(400)}" for _ in range(150)]
+        for _ in range(40):
+            copy = list(base)
+            copy[rng.randrange(len(copy))] = f"z{rng.randrange(10**6)}"
+            rows.append(" ".join(copy))
+    for k in range(4):
+        base = [f"l{k}_{rng.randrange(5000)}" for _ in range(1000 + 30 * k)]
+        for n in (1, 20, 45, 60, 90):
+            rows.append(" ".join([f"y{rng.randrange(10**6)}" if i % (len(base) // n) == 0 else w for i, w in enumerate(base)]))
+        rows.append(" ".join(base + [f"q{i}" for i in range(110)]))
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    expected = plain_components(rows)
+    assert len({c for _, _, c in expected}) > 6
+    for rounds in (0, 2):
+        assert Counter(tuple(r) for r in jaccard.near_duplicates(docs_of(rows), rounds=rounds).collect()) == expected
+    signed = jaccard.signatures(docs_of(rows), 4, 85, docs_of(rows).sparkSession.sparkContext.broadcast((np.empty(0, np.uint64), np.empty(0, np.int64))))
+    groups = signed.groupBy("same", "n").agg(F.countDistinct("a", "b").alias("k"))
+    assert groups.filter("k > 1").count() > 5 and {r[0] for r in signed.selectExpr("size(parity)").distinct().collect()} == {16, 32}
+
+
 def test_jaccard_chains_and_stars(docs_of):
     """Near copies around one text, a chain whose ends are unlike, and strangers with a common line."""
-    import random
-
     rng = random.Random(5)
     base = [f"b{i}" for i in range(150)]
     rows = [(1000, " ".join(base))]
@@ -212,8 +238,6 @@ def test_plan_fills_exactly():
 
 
 def test_word_ids_equal_whole_texts():
-    import random
-
     import numpy as np
     from tokenizers import Tokenizer
 
@@ -237,8 +261,6 @@ def test_word_ids_compose_before_lower_case():
 
 def test_winnowing_guarantee(docs_of):
     """Texts that share GRAM + WINDOW - 1 units share a fingerprint; positions point at the picked grams."""
-    import random
-
     rng = random.Random(2)
     shared = [f"s{i}" for i in range(fingerprints.GRAM + fingerprints.WINDOW - 1)]
     rows = []
@@ -264,8 +286,6 @@ def test_winnowing_picks_rightmost_minimum(docs_of):
 
 def test_winnowing_without_spaces(docs_of):
     """In long runs a unit starts at each code point: a passage's fingerprints do not depend on its offset."""
-    import random
-
     rng, n = random.Random(7), fingerprints.UNIT
     shared = n + fingerprints.GRAM + fingerprints.WINDOW - 2  # code points of GRAM + WINDOW - 1 units
     draw = lambda k, of: "".join(rng.choice(of) for _ in range(k))
