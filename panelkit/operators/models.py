@@ -100,6 +100,21 @@ def presence_model(rows: DataFrame, features: Sequence[str], label: str = "prese
     return out.withColumn("probability", F.get(vector_to_array("probability"), F.lit(1))).drop("features", "rawPrediction")
 
 
+def presence_out_of_block(rows: DataFrame, features: Sequence[str], block: Sequence[str], folds: int = 4, label: str = "presence") -> DataFrame:
+    """Probability of presence by a model that saw no row of the same block, such as a place and year, with its ``fold``.
+
+    Blocks go to folds by hash. A fold is scored by the rows of all others, so ``rows`` must have blocks in two folds at least.
+    """
+    fold = F.pmod(F.xxhash64(*block), F.lit(folds)).cast("int")
+    placed = cut_lineage(assemble(rows, features).withColumn("fold", fold), "folds")
+    scored = []
+    for k in [r["fold"] for r in placed.select("fold").distinct().orderBy("fold").collect()]:  # at most ``folds`` rows
+        fit = LogisticRegression(labelCol=label, regParam=0.01, maxIter=50).fit(placed.filter(F.col("fold") != k))
+        scored.append(fit.transform(placed.filter(F.col("fold") == k)))
+    out = reduce(lambda a, b: a.unionByName(b), scored)
+    return out.withColumn("probability", F.get(vector_to_array("probability"), F.lit(1))).drop("features", "rawPrediction", "prediction")
+
+
 def flat_clusters(series: DataFrame, values: str, k: int = 10, entity: str = "entity", seed: int = 42) -> DataFrame:
     """``k`` clusters of the series vectors."""
     packed = cut_lineage(

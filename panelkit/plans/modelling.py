@@ -300,17 +300,27 @@ def _(t):
     return out.withColumns({c: F.round(c, 5) for c in out.columns if c not in ("entity", "n")})
 
 
-@query("ml_11_presence_model", "ML-11 CAL-5 AGG-30 SET-4")
-def _(t):
+def _presence_points(t):
     rows = t.daily.select("event_id", "entity", F.col("event_date").alias("date"), "kind")
     here, away = rows.filter(F.col("kind") == "error"), rows.filter(F.col("kind") != "error")
     points = zonal.presence_records(here.drop("kind"), away.drop("kind"), 10)
     bins = zonal.lookback_histogram(points, t.daily, ["entity"], "date", "event_date", "value", 10, 0, 100, 5, "value")
-    features = [f"{k}value" for k in range(1, 6)]
-    joined = points.join(bins, ["entity", "date"])
+    return points.join(bins, ["entity", "date"]), [f"{k}value" for k in range(1, 6)]
+
+
+@query("ml_11_presence_model", "ML-11 CAL-5 AGG-30 SET-4")
+def _(t):
+    joined, features = _presence_points(t)
     return models.presence_model(joined, features).select("event_id", "presence", "probability")
 
 
+@query("ml_11_presence_out_of_block", "ML-11")
+def _(t):
+    joined, features = _presence_points(t)
+    rows = joined.withColumn("month", F.trunc("date", "month"))
+    return models.presence_out_of_block(rows, features, ["entity", "month"]).select("event_id", "presence", "fold", "probability")
+
+
 _EM_ROUNDS = 8
 _EM = ",\n       ".join(
     f"""k{k} AS MATERIALIZED (SELECT p.*, vbb / (vaa * vbb - vab * vab) AS iaa, -vab / (vaa * vbb - vab * vab) AS iab, vaa / (vaa * vbb - vab * vab) AS ibb FROM p{k} p),

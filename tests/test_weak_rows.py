@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelkit.operators import coverage, linear, results, zonal
+from panelkit.operators import coverage, linear, models, results, zonal
 from panelkit.plans import modelling
 
 VERTICES = "region string, ring int, hole boolean, vertex_no int, x double, y double"
@@ -190,3 +190,24 @@ def test_sweeps_move_their_windows():
         assert features == [*[x for c in ("cases", *picked) for x in lags(c, int(lag))], "month"]
     assert {m.name: list(m.features) for m in modelling.feature_grid()} == {
         c: [*lags("cases", 1), *lags(c, 1), "month"] for c in modelling.COVARIATES}
+
+
+def test_presence_out_of_block(spark):
+    """Every row has the score of a model fitted without its fold; blocks stay whole."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(400):
+        x = rng.random()
+        rows.append((i, f"e{i % 20}", int(rng.random() < x), x))
+    df = spark.createDataFrame(rows, "id int, entity string, presence int, x double")
+    got = models.presence_out_of_block(df, ["x"], ["entity"], folds=3)
+    assert got.count() == 400
+    assert got.groupBy("entity").agg(F.countDistinct("fold").alias("k")).filter("k > 1").count() == 0
+    folds = [r["fold"] for r in got.select("fold").distinct().collect()]
+    assert len(folds) == 3
+    held = got.filter(F.col("fold") == folds[0])
+    others = got.filter(F.col("fold") != folds[0]).select("x", "presence")
+    both = models.presence_model(others.unionByName(held.select("x", "presence").limit(0)), ["x"])
+    low, high = both.agg(F.min_by("probability", "x"), F.max_by("probability", "x")).first()
+    near = held.agg(F.min("probability"), F.max("probability")).first()
+    assert low < high and abs(near[0] - low) < 0.1 and abs(near[1] - high) < 0.1
