@@ -46,15 +46,19 @@ class Parts:
     def flush(self):
         if not self.n:
             return
-        keys, other = (np.concatenate(x) for x in zip(*self.held, strict=True))
-        self.held, self.n = [], 0
+        held, n, self.held, self.n = self.held, self.n, [], 0
         log_block = min(LOG_BLOCK, self.log_cells)
         per_row = 1 << (self.log_cells - log_block)
+        cell = np.empty(n, np.uint32 if self.log_cells <= 32 else np.int64)
         for row in range(self.depth):
-            cell = np.sort(cells(keys, other, row, self.log_cells))
-            first = np.ones(len(cell), bool)
-            first[1:] = cell[1:] != cell[:-1]
-            once, more = cell[first], np.unique(cell[~first])
+            at = 0
+            for keys, other in held:  # as they were added: few numbers beside the keys at a time
+                cell[at : at + len(keys)] = cells(keys, other, row, self.log_cells)
+                at += len(keys)
+            cell.sort()
+            again = np.zeros(n, bool)
+            again[1:] = cell[1:] == cell[:-1]
+            once, more = cell[~again].astype(np.int64), np.unique(cell[again]).astype(np.int64)
             limits = np.arange(per_row + 1) << log_block
             a, b = np.searchsorted(once, limits), np.searchsorted(more, limits)
             kept = [k for k in range(per_row) if a[k + 1] > a[k]]

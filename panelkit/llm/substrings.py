@@ -181,25 +181,31 @@ def dedup_substrings(docs: DataFrame, size: int = WINDOW, depth: int = DEPTH, lo
     touched = share(windows.select("doc_id").mapInArrow(ids_of, PART), 1, LOG_TOUCHED, "seen")
     names = docs.columns
     n_words, n_removed = free_name(docs, "n_words"), free_name(docs, "n_removed")
-    may, places, checks = (free_name(docs, x) for x in ("may_lose", "window_places", "window_checks"))
-    schema = T.StructType([*docs.schema.fields, T.StructField(may, T.BooleanType())])
+    places, checks = (free_name(docs, x) for x in ("window_places", "window_checks"))
+    out = T.StructType([*docs.schema.fields, T.StructField(n_words, T.LongType()), T.StructField(n_removed, T.LongType())])
     text_at, id_at = names.index("text"), names.index("doc_id")
 
+    def may_lose(batch) -> np.ndarray:
+        ids = batch.column(id_at).cast(pa.int64())
+        key = mix(ids.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64))
+        return touched.value.may_hold(key, key) & ~ids.is_null().to_numpy(zero_copy_only=False)
+
+    @tidy
+    def losing(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(may_lose(batch)))
+
     @tidy
-    def mark(batches):
+    def whole(batches):
         for batch in batches:
-            ids = batch.column(id_at).cast(pa.int64())
-            key = mix(ids.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64))
-            flag = touched.value.may_hold(key, key) & ~ids.is_null().to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(flag)], schema.names)
+            kept = batch.filter(pa.array(~may_lose(batch)))
+            for block in blocks(kept.column(text_at), limit=BLOCK):
+                columns = kept.slice(block.first, block.texts).columns
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(block.words_per_text), pa.array(np.zeros(block.texts, np.int64))], out.names)
 
-    marked = docs.mapInArrow(mark, schema)
     lost = windows.select(F.col("doc_id").alias("window_doc"), F.col("places").alias(places), F.col("checks").alias(checks))
-    hit = marked.filter(F.col(may)).join(lost, F.col("doc_id") == F.col("window_doc"), "left")
+    hit = docs.mapInArrow(losing, docs.schema).join(lost, F.col("doc_id") == F.col("window_doc"), "left")
     columns = [*[F.col(f"`{c}`") for c in names], F.col(places), F.col(checks)]
-    none = F.lit(None).cast("array<int>")
-    calm = marked.filter(~F.col(may)).withColumn(places, none).withColumn(checks, none)
-    out = T.StructType([*docs.schema.fields, T.StructField(n_words, T.LongType()), T.StructField(n_removed, T.LongType())])
 
     def cut_text(block: Block, first: int, text: int, gone: np.ndarray) -> str:
         opens = np.flatnonzero(gone & ~np.append(False, gone[:-1]))
@@ -213,31 +219,31 @@ def dedup_substrings(docs: DataFrame, size: int = WINDOW, depth: int = DEPTH, lo
     @tidy
     def cut(batches):
         for batch in batches:
-            words, removed = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-            column, changed = batch.column(text_at), {}
-            listed = ~batch.column(len(names)).is_null().to_numpy(zero_copy_only=False)
-            for block in blocks(column, limit=BLOCK):
-                words[block.first : block.first + block.texts] = block.words_per_text
-                at = block.first + np.flatnonzero(listed[block.first : block.first + block.texts])
+            for block in blocks(batch.column(text_at), limit=BLOCK):
+                rows = batch.slice(block.first, block.texts)
+                removed = np.zeros(block.texts, np.int64)
+                column, changed = rows.column(text_at), {}
+                listed = np.flatnonzero(~rows.column(len(names)).is_null().to_numpy(zero_copy_only=False))
                 first = block.first_word()
-                if len(at):
+                if len(listed):
                     start, a = block.window_hash(block.word_hash(0), size, 0)
                     hashes = start, a, block.window_hash(block.word_hash(1), size, 1)[1]
-                for row in at:
-                    own = [batch.column(len(names) + k)[row].values.to_numpy() for k in (0, 1)]
-                    gone = _covered(first, hashes, row - block.first, *own, size)
+                for row in listed:
+                    own = [rows.column(len(names) + k)[row].values.to_numpy() for k in (0, 1)]
+                    gone = _covered(first, hashes, row, *own, size)
                     removed[row] = gone.sum()
                     if removed[row]:
-                        changed[row] = cut_text(block, first[row - block.first], row - block.first, gone)
-            if changed:
-                texts = column.to_pylist()
-                for row, text in changed.items():
-                    texts[row] = text
-                column = pa.array(texts, column.type)
-            columns = [column if k == text_at else batch.column(k) for k in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(words), pa.array(removed)], out.names)
-
-    return hit.select(*columns).unionByName(calm.select(*columns)).mapInArrow(cut, out)
+                        changed[row] = cut_text(block, first[row], row, gone)
+                if changed:
+                    texts = column.to_pylist()
+                    for row, text in changed.items():
+                        texts[row] = text
+                    column = pa.array(texts, column.type)
+                columns = [column if k == text_at else rows.column(k) for k in range(len(names))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(block.words_per_text), pa.array(removed)], out.names)
+
+    # rows that lose nothing pass one worker, once: no task has two workers at a time
+    return hit.select(*columns).mapInArrow(cut, out).unionByName(docs.mapInArrow(whole, out))
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
