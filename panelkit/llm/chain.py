@@ -12,6 +12,8 @@ import numpy as np
 
 #: Weights of hashed features.
 LOG_FEATURES = 18
+#: Positions whose features or pairs are looked at together: several numbers for each would outweigh the chains themselves.
+PIECE = 1 << 16
 
 
 @dataclass
@@ -21,7 +23,10 @@ class Chain:
     moves: np.ndarray = field(default_factory=lambda: np.array([-4.0, 0.0, -1.0, 0.0, 0.0]))
 
     def emissions(self, features: np.ndarray) -> np.ndarray:
-        return self.weights[features].sum(1) + self.moves[0]
+        out = np.empty(len(features))
+        for at in range(0, len(features), PIECE):
+            out[at : at + PIECE] = self.weights[features[at : at + PIECE]].sum(1) + self.moves[0]
+        return out
 
     def messages(self, d: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Forward and backward log odds of each position. ``first``: bounds of the chains in ``d``."""
@@ -49,6 +54,20 @@ class Chain:
         forward, backward = self.messages(self.emissions(features), first)
         return 1 / (1 + np.exp(-np.clip(forward + backward, -50, 50)))
 
+    def _pairs(self, d: np.ndarray, forward: np.ndarray, backward: np.ndarray, tail: np.ndarray) -> np.ndarray:
+        """Expected moves from 0 to 1, 1 to 0 and 1 to 1 into the positions ``tail``."""
+        sums = np.zeros(3)
+        for start in range(0, len(tail), PIECE):
+            at = tail[start : start + PIECE]
+            # log weights of (0,0), (0,1), (1,0), (1,1) before normalising
+            r, ahead = forward[at - 1], d[at] + backward[at]
+            logs = np.stack([np.zeros(len(at)), ahead + self.moves[2], r + self.moves[3], r + ahead + self.moves[4]])
+            logs -= logs.max(0)
+            joint = np.exp(logs)
+            joint /= joint.sum(0)
+            sums += joint[1:].sum(1)
+        return sums
+
     def fit(self, features: np.ndarray, first: np.ndarray, state: np.ndarray, steps: int = 25, rate: float = 0.4, l2: float = 1e-6) -> Chain:
         """Maximum likelihood of the given states by Adam on observed less expected counts."""
         n = len(state)
@@ -70,16 +89,11 @@ class Chain:
             d = self.emissions(features)
             forward, backward = self.messages(d, first)
             p = 1 / (1 + np.exp(-np.clip(forward + backward, -50, 50)))
-            # pairs: log weights of (0,0), (0,1), (1,0), (1,1) before normalising
-            r, ahead = forward[tail - 1], d[tail] + backward[tail]
-            logs = np.stack([np.zeros(len(tail)), ahead + self.moves[2], r + self.moves[3], r + ahead + self.moves[4]])
-            logs -= logs.max(0)
-            joint = np.exp(logs)
-            joint /= joint.sum(0)
+            joint = self._pairs(d, forward, backward, tail)
             counts = np.zeros(size)
             for j in range(features.shape[1]):
                 counts += np.bincount(features[:, j], p, size)
-            expected = np.concatenate([[p.sum(), p[head].sum(), *joint[1:].sum(1)], counts])
+            expected = np.concatenate([[p.sum(), p[head].sum(), *joint], counts])
             gradient = (observed - expected) * scale - l2 * theta
             mean = 0.9 * mean + 0.1 * gradient
             square = 0.999 * square + 0.001 * gradient**2

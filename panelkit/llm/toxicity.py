@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,7 +14,7 @@ from pyspark.sql import types as T
 from .chain import LOG_FEATURES, Chain, logistic
 from .columns import free_name, read
 from .textarrays import Block, blocks, mix
-from .workers import tidy
+from .workers import give_back, tidy
 
 #: Labelled documents of each class the field is fitted on at most, those with the lowest hash of their id.
 SAMPLE = 1_000
@@ -131,17 +132,29 @@ def fit_tagger(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Tagg
                     pa.array([w for w, _ in cut], pa.binary()), pa.array([f for _, f in cut], pa.binary()),
                 ], schema.names)
 
-    rows = training_sample(docs, labels, sample).mapInArrow(hashed, schema).toPandas()
-    rows = rows.sort_values("doc_id", kind="stable")  # the order of tasks must not move the sums
-    toxic = rows["toxic"].to_numpy(float)
+    tagger = _fitted(training_sample(docs, labels, sample).mapInArrow(hashed, schema).toArrow())
+    give_back()  # the driver lives on
+    return tagger
+
+
+def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    """The numbers of all rows of a binary column, one after the other."""
+    return np.frombuffer(b"".join(x.as_buffer() for x in column), kind)
+
+
+def _fitted(rows: pa.Table) -> Tagger:
+    rows = rows.take(pc.sort_indices(rows["doc_id"]))  # stable: the order of tasks must not move the sums
+    toxic = rows["toxic"].to_numpy().astype(float)
     if len(np.unique(toxic)) < 2:
         return Tagger(Chain(), np.zeros(2), False)
-    words = np.frombuffer(b"".join(rows["words"]), np.uint64)
-    features = np.frombuffer(b"".join(rows["features"]), np.int32).reshape(-1, 4).astype(np.int64)
-    first = np.concatenate([[0], np.cumsum([len(w) // 8 for w in rows["words"]])])
+    words, features = _joined(rows["words"], np.uint64), _joined(rows["features"], np.int32).reshape(-1, 4)
+    first = np.concatenate([[0], np.cumsum(pc.binary_length(rows["words"]).to_numpy() // 8)])
+    del rows  # hashes are held once
     # only for fitting, chains are cut every FIT_CHAIN words, so that a step is short
     cuts = np.unique(np.concatenate([first, *[np.arange(a, b, FIT_CHAIN) for a, b in zip(first[:-1], first[1:], strict=True)]]))
-    chain = Chain().fit(features, cuts, labelled_tokens(words, features[:, 1], first, toxic))
+    state = labelled_tokens(words, features[:, 1], first, toxic)
+    del words
+    chain = Chain().fit(features, cuts, state)
     return Tagger(chain, logistic(_evidence(chain.marginals(features, first), first)[:, None], toxic))
 
 

@@ -1,8 +1,11 @@
 """Memory and disk that operators take beside their results."""
 
+import tracemalloc
+
 import numpy as np
 
 from panelkit.llm import substrings
+from panelkit.llm.chain import Chain
 from panelkit.llm.sketches import Parts, _unpack, cells
 
 
@@ -35,3 +38,15 @@ def test_no_task_that_cuts_passages_has_two_python_workers(spark):
             workers.append(depth)
     got = {r.doc_id: (r.text, r.n_words, r.n_removed) for r in cut.collect()}
     assert got == {1: (passage, 60, 0), 2: ("x y", 62, 60), 3: ("a b", 2, 0), 4: (None, 0, 0), None: (passage, 60, 0), 5: ("", 0, 0)}
+
+
+def test_fit_of_a_chain_holds_few_numbers_for_each_word():
+    rng, n = np.random.default_rng(2), 400_000
+    features, state = rng.integers(0, 1 << 18, (n, 4)).astype(np.int32), (rng.random(n) < 0.05).astype(np.int64)
+    tracemalloc.start()
+    try:
+        Chain().fit(features, np.append(np.arange(0, n, 256), n), state, steps=1)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 120 * n, peak / n  # bytes for each word, weights included
