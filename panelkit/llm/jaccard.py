@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelkit.session import cut_lineage
+from panelkit.session import cut_lineage, drop_frames
 
 from .columns import free_name, read
 from .components import components
@@ -28,6 +28,8 @@ NOTED = 8
 LOG_TOKENS, LOG_IDS = 28, 26
 #: Least words of 64 bits in a set's parity bits. Larger sets have a power of two of them, as many bits as shingles at least.
 PARITY = 16
+#: Words of them that go with each row of a list, where rows are many; the pairs found are held against all bits.
+LISTED = 8
 #: Pairs of texts compared at a time.
 VERIFIED = 64
 #: Star rounds before the remaining pairs are all tried.
@@ -234,16 +236,27 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, least: int = LEAST, ro
     lists = tokens.join(groups, ["same", "n"]).select(
         "token", "place", "n", "rep", F.expr("if(k = 1, rep, null)").alias("component"), F.expr("if(k > 1, same, null)").alias("crowd"))
     own = members.select(F.col("crowd").alias("token"), F.lit(0).alias("place"), "n", "rep", "component", F.lit(None).cast("long").alias("crowd"))
-    lists = cut_lineage(lists.unionByName(own), "lists")
+    written = lists = cut_lineage(lists.unionByName(own), "lists")
     nodes = cut_lineage(sets.select(F.col("rep").alias("node"), F.col("rep").alias("component")).distinct(), "nodes")
     for turn in range(rounds + 1):
-        lists = _open_lists(lists)
+        # each state of the lists replaces the one before
+        before, lists = written, _open_lists(lists)
+        written = lists
+        drop_frames(before)
         if turn < rounds:
             pairs = _expanded(_star_pairs(lists, least, turn), members, turn)
         else:
-            pairs = _expanded(_remaining_pairs(_with_parity(lists, some), least), members)
+            written = _with_parity(lists, some)
+            drop_frames(lists)
+            pairs = _expanded(_remaining_pairs(written, least), members)
         pairs = cut_lineage(pairs.distinct(), "pairs")
-        merged = None if pairs.isEmpty() else _merged(nodes, verified(docs, _near(pairs, some, least), size, least))
+        if turn == rounds:
+            drop_frames(written)
+        merged = None
+        if not pairs.isEmpty():
+            near = _near(pairs, some, least)
+            drop_frames(pairs)
+            merged = _merged(nodes, verified(docs, near, size, least))
         if merged is not None and turn < rounds:
             members = cut_lineage(_moved(members, merged), "members")
             lists = _moved_lists(lists, members, merged)
@@ -313,15 +326,17 @@ def _near(pairs: DataFrame, signed: DataFrame, least: int) -> DataFrame:
     odd = f"aggregate(zip_with({_folded('px', words)}, {_folded('py', words)}, (u, v) -> bit_count(u ^ v)), 0, (s, c) -> s + c)"
     # each shingle that only one of two sets has flips one bit: sets differ in as many shingles at least as in bits
     near = met.filter(f"px is null or py is null or ({odd}) * {100 + least} <= {100 - least} * (nx + ny)")
-    return cut_lineage(near.select("x", "y"), "near")
+    near = cut_lineage(near.select("x", "y"), "near")
+    drop_frames(bits)
+    return near
 
 
 def _with_parity(lists: DataFrame, signed: DataFrame) -> DataFrame:
-    """Lists with PARITY words of parity bits of single sets; null for groups of several, and for an id's several sets of
+    """Lists with LISTED words of parity bits of single sets; null for groups of several, and for an id's several sets of
     one size."""
     reps = lists.select("rep").distinct()
     known = signed.select(F.col("doc_id").cast("long").alias("rep"), "n", "a", "parity").join(reps, "rep", "left_semi")
-    known = known.withColumn("parity", F.expr(_folded("parity", str(PARITY))))
+    known = known.withColumn("parity", F.expr(_folded("parity", str(LISTED))))
     one = F.when(F.min("a") == F.max("a"), F.min("parity")).alias("parity")
     placed = lists.join(known.groupBy("rep", "n").agg(one), ["rep", "n"], "left")
     return cut_lineage(placed.withColumn("parity", F.expr("if(crowd is null, parity, null)")), "lists")
@@ -335,7 +350,7 @@ def _remaining_pairs(lists: DataFrame, least: int) -> DataFrame:
     main = sizes.groupBy("token").agg(F.max(F.struct("k", "component")).alias("m")).select("token", F.col("m.component").alias("main"))
     few = lists.join(main, "token", "left").filter("coalesce(component <> main, true)").alias("a")
     differ = "a.token = b.token and coalesce(a.component <> b.component, true) and (coalesce(b.component = a.main, false) or a.rep < b.rep) and "
-    bits = " + ".join(f"bit_count(a.parity[{k}] ^ b.parity[{k}])" for k in range(PARITY))
+    bits = " + ".join(f"bit_count(a.parity[{k}] ^ b.parity[{k}])" for k in range(LISTED))
     near = f" and coalesce(({bits}) * {100 + least} <= {100 - least} * (a.n + b.n), true)"
     return few.join(lists.alias("b"), F.expr(differ + _possible(least, "a", "b") + near)).selectExpr(*_PAIR).distinct()
 

@@ -4,7 +4,8 @@ import tracemalloc
 
 import numpy as np
 
-from panelkit.llm import substrings
+from panelkit import session
+from panelkit.llm import jaccard, substrings
 from panelkit.llm.chain import Chain
 from panelkit.llm.sketches import Parts, _unpack, cells
 
@@ -50,3 +51,14 @@ def test_fit_of_a_chain_holds_few_numbers_for_each_word():
     finally:
         tracemalloc.stop()
     assert peak < 120 * n, peak / n  # bytes for each word, weights included
+
+
+def test_jaccard_join_leaves_no_older_states_of_its_lists(spark):
+    common = " ".join(f"c{i}" for i in range(40))
+    rows = [(i, f"{common} a{i // 3} b{i // 3} x{i}") for i in range(30)] + [(90, "no other has this"), (91, None)]
+    before = len(session._WRITTEN)
+    found = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    names = [path.rsplit("/", 1)[1].split("-")[0] for path in session._WRITTEN[before:]]
+    assert not {"lists", "parity"} & set(names), names
+    got = {r.doc_id: r.component_id for r in found.collect()}
+    assert got == {i: 0 for i in range(30)} | {90: 90, 91: 91}
