@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from panelkit.session import cut_lineage, drop_frames
 
 from .columns import free_name, read
-from .components import components
+from .components import stars
 from .sketches import HELD, PART, Parts, share
 from .textarrays import Block, blocks, mix
 from .workers import tidy
@@ -163,8 +163,9 @@ def bitmap(df: DataFrame, column: str, log_cells: int, which: str = "seen"):
 
 
 def verified(docs: DataFrame, pairs: DataFrame, size: int, least: int) -> DataFrame:
-    """Pairs ``x, y`` of ids whose texts' shingle sets are similar. Only texts of these ids are shuffled."""
-    bits = bitmap(pairs.select("x").union(pairs.select("y")).distinct(), "x", LOG_IDS)
+    """Rows of ``pairs``, pairs ``x, y`` of ids with their components ``u, v``, whose texts' shingle sets are similar. Only
+    texts of these ids are shuffled."""
+    bits = bitmap(pairs.select("x").union(pairs.select("y")), "x", LOG_IDS)
     texts = may_hold(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", bits)
     left, right = (texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}")) for k in "xy")
 
@@ -189,10 +190,10 @@ def verified(docs: DataFrame, pairs: DataFrame, size: int, least: int) -> DataFr
                 both = np.bincount(row[again], minlength=batch.num_rows)
                 either = np.bincount(row, minlength=batch.num_rows) - both
                 ok = pa.array((100 * both >= least * either) & (both > 0))
-                yield pa.RecordBatch.from_arrays([batch.column("x").filter(ok), batch.column("y").filter(ok)], ["x", "y"])
+                yield pa.RecordBatch.from_arrays([batch.column(c).filter(ok) for c in "xyuv"], [*"xyuv"])
 
-    met = pairs.join(left, "x").join(right, "y").select("x", "y", "text_x", "text_y")
-    return met.mapInArrow(similar, "x long, y long")
+    met = pairs.join(left, "x").join(right, "y").select("x", "y", "u", "v", "text_x", "text_y")
+    return met.mapInArrow(similar, "x long, y long, u long, v long")
 
 
 def _possible(least: int, one: str, other: str) -> str:
@@ -239,7 +240,6 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, least: int = LEAST, ro
     written = lists = cut_lineage(lists.unionByName(own), "lists")
     nodes = cut_lineage(sets.select(F.col("rep").alias("node"), F.col("rep").alias("component")).distinct(), "nodes")
     for turn in range(rounds + 1):
-        # each state of the lists replaces the one before
         before, lists = written, _open_lists(lists)
         written = lists
         drop_frames(before)
@@ -256,10 +256,13 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, least: int = LEAST, ro
         if not pairs.isEmpty():
             near = _near(pairs, some, least)
             drop_frames(pairs)
-            merged = _merged(nodes, verified(docs, near, size, least))
+            merged = _merged(verified(docs, near, size, least))
         if merged is not None and turn < rounds:
             members = cut_lineage(_moved(members, merged), "members")
-            lists = _moved_lists(lists, members, merged)
+            # each state of the lists replaces the one before
+            lists = cut_lineage(_moved_lists(lists, members, merged), "lists")
+            drop_frames(written)
+            written = lists
         if merged is not None:
             nodes = cut_lineage(_moved(nodes, merged), "nodes")
 
@@ -268,7 +271,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, least: int = LEAST, ro
     placed = placed.join(nodes.withColumnRenamed("node", "rep"), "rep", "left")
     # rows with one id share their component
     least_of = placed.filter("doc_id is not null and component is not null").groupBy("doc_id").agg(F.min("component").alias("component_id"))
-    out = placed.select("doc_id", F.col("n").alias("n_shingles")).join(least_of, "doc_id", "left")
+    out = signed.select("doc_id", F.col("n").alias("n_shingles")).join(least_of, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce(F.col("component_id"), F.col("doc_id").cast("long")).alias("component_id"))
 
 
@@ -291,20 +294,25 @@ def _star_pairs(lists: DataFrame, least: int, turn: int) -> DataFrame:
 
 
 def _expanded(pairs: DataFrame, members: DataFrame, turn: int | None = None) -> DataFrame:
-    """Pairs of groups -> pairs ``x, y`` of members of different components: each member of one with each of the other, or,
-    with ``turn``, with a drawn one."""
+    """Pairs of groups -> pairs ``x, y`` of members of different components ``u, v``: each member of one with each of the
+    other, or, with ``turn``, with a drawn one."""
     drawn = members
     if turn is not None:
         draw = F.xxhash64("rep", F.lit(turn))
         drawn = members.groupBy("crowd", "n").agg(F.min_by(F.struct("rep", "component"), draw).alias("m")).select("crowd", "n", "m.*")
     out = pairs
-    for side, held in (("a", members), ("b", drawn)):
-        one = out.filter(f"{side}_crowd is null")
-        several = out.filter(f"{side}_crowd is not null").drop(f"{side}_rep", f"{side}_component")
-        held = held.select(*[F.col(c).alias(f"{side}_{c}") for c in held.columns])
-        out = one.unionByName(several.join(held, [f"{side}_crowd", f"{side}_n"]))
+    for side, held in (("b", drawn), ("a", members)):
+        held = held.select(F.col("crowd").alias("key"), F.col("n").alias(f"{side}_n"), F.col("rep").alias("held_rep"), F.col("component").alias("held_component"))
+        # groups of one set meet no member; their rows are spread by a hash and not all under null
+        spread = out.withColumn("key", F.coalesce(f"{side}_crowd", F.xxhash64("a_rep", "b_rep"))).alias("p")
+        held = held.alias("h")
+        same = (F.col("p.key") == F.col("h.key")) & (F.col(f"p.{side}_n") == F.col(f"h.{side}_n")) & F.col(f"p.{side}_crowd").isNotNull()
+        met = spread.join(held, same, "left").filter(F.col(f"p.{side}_crowd").isNull() | F.col("held_rep").isNotNull())
+        own = {f"{side}_{c}": F.when(F.col(f"p.{side}_crowd").isNotNull(), F.col(f"held_{c}")).otherwise(F.col(f"p.{side}_{c}")) for c in ("rep", "component")}
+        out = met.select(*[own.get(c, F.col(f"p.{c}")).alias(c) for c in out.columns])
     met = out.filter("a_rep <> b_rep and a_component <> b_component")
-    return met.select(F.least("a_rep", "b_rep").alias("x"), F.greatest("a_rep", "b_rep").alias("y"))
+    low, high = ([F.when(F.expr("a_rep < b_rep"), F.col(f"{p}_{c}")).otherwise(F.col(f"{q}_{c}")) for c in ("rep", "component")] for p, q in ("ab", "ba"))
+    return met.select(low[0].alias("x"), high[0].alias("y"), low[1].alias("u"), high[1].alias("v"))
 
 
 def _folded(bits: str, words: str) -> str:
@@ -326,7 +334,7 @@ def _near(pairs: DataFrame, signed: DataFrame, least: int) -> DataFrame:
     odd = f"aggregate(zip_with({_folded('px', words)}, {_folded('py', words)}, (u, v) -> bit_count(u ^ v)), 0, (s, c) -> s + c)"
     # each shingle that only one of two sets has flips one bit: sets differ in as many shingles at least as in bits
     near = met.filter(f"px is null or py is null or ({odd}) * {100 + least} <= {100 - least} * (nx + ny)")
-    near = cut_lineage(near.select("x", "y"), "near")
+    near = cut_lineage(near.select("x", "y", "u", "v"), "near")
     drop_frames(bits)
     return near
 
@@ -355,13 +363,10 @@ def _remaining_pairs(lists: DataFrame, least: int) -> DataFrame:
     return few.join(lists.alias("b"), F.expr(differ + _possible(least, "a", "b") + near)).selectExpr(*_PAIR).distinct()
 
 
-def _merged(nodes: DataFrame, links: DataFrame) -> DataFrame | None:
-    """``component, lower`` of the components that links join; None without links."""
-    a, b = nodes.select(F.col("node").alias("x"), F.col("component").alias("u")), nodes.select(F.col("node").alias("y"), F.col("component").alias("v"))
-    edges = cut_lineage(links.join(a, "x").join(b, "y").select("u", "v").filter("u <> v").distinct(), "links")
-    if edges.isEmpty():
-        return None
-    return components(edges).select(F.col("node").alias("component"), F.col("component").alias("lower"))
+def _merged(links: DataFrame) -> DataFrame | None:
+    """``component, lower`` of the components ``u, v`` that links join to lower ones; None without links."""
+    found = stars(links.select("u", "v"))
+    return None if found.isEmpty() else found.select(F.col("u").alias("component"), F.col("v").alias("lower"))
 
 
 def _moved(rows: DataFrame, merged: DataFrame) -> DataFrame:

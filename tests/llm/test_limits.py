@@ -7,6 +7,7 @@ import numpy as np
 from panelkit import session
 from panelkit.llm import jaccard, substrings
 from panelkit.llm.chain import Chain
+from panelkit.llm.components import components, stars
 from panelkit.llm.sketches import Parts, _unpack, cells
 
 
@@ -62,3 +63,27 @@ def test_jaccard_join_leaves_no_older_states_of_its_lists(spark):
     assert not {"lists", "parity"} & set(names), names
     got = {r.doc_id: r.component_id for r in found.collect()}
     assert got == {i: 0 for i in range(30)} | {90: 90, 91: 91}
+
+
+def test_components_of_a_star_take_one_look_and_chains_end(spark):
+    before = len(session._WRITTEN)
+    star = spark.createDataFrame([(7, 1), (1, 5), (7, 1), (3, 3), (9, 8)], "u long, v long")
+    assert sorted(map(tuple, stars(star).collect())) == [(5, 1), (7, 1), (9, 8)]
+    assert len(session._WRITTEN) == before + 1  # the links, and no state after them
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(101, 100)], "u int, v int")
+    assert {tuple(r) for r in components(chain).collect()} == {(i, 0) for i in range(41)} | {(100, 100), (101, 100)}
+
+
+def test_jaccard_join_runs_few_tasks(spark):
+    common = " ".join(f"c{i}" for i in range(40))
+    rows = [(i, f"{common} a{i // 3} b{i // 3} x{i}") for i in range(30)] + [(90, "no other has this"), (91, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    sc, tracker = spark.sparkContext, spark.sparkContext.statusTracker()
+    sc.setJobGroup("few", "few")
+    try:
+        got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs).collect()}
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    ran = {i for job in tracker.getJobIdsForGroup("few") for i in tracker.getJobInfo(job).stageIds}
+    assert got == {i: 0 for i in range(30)} | {90: 90, 91: 91}
+    assert 0 < len(ran) < 160, len(ran)
