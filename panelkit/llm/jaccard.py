@@ -14,7 +14,7 @@ from .columns import free_name, read
 from .components import stars
 from .sketches import HELD, PART, Parts, share
 from .textarrays import Block, blocks, mix
-from .workers import tidy
+from .workers import short_batches, tidy
 
 #: Words of a shingle, and the least similarity in hundredths.
 SHINGLE = 4
@@ -221,6 +221,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, least: int = LEAST, ro
        groups outside a list's largest component look for partners in it.
     """
     spark = docs.sparkSession
+    short_batches(spark)
     frequent = spark.sparkContext.broadcast(frequent_shingles(docs, size))
     signed = cut_lineage(signatures(docs, size, least, frequent), "signed")
     node = F.col("doc_id").cast("long")

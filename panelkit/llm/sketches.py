@@ -32,13 +32,15 @@ def cells(keys: np.ndarray, other: np.ndarray, row: int, log_cells: int) -> np.n
 
 
 class Parts:
-    """Collects keys of a task and gives Arrow batches of PART."""
+    """Collects cells of a task's keys and gives Arrow batches of PART."""
 
     def __init__(self, depth: int, log_cells: int):
-        self.depth, self.log_cells, self.held, self.n = depth, log_cells, [], 0
+        self.depth, self.log_cells, self.held, self.n = depth, log_cells, [[] for _ in range(depth)], 0
 
     def add(self, keys: np.ndarray, other: np.ndarray):
-        self.held.append((keys, other))
+        kind = np.uint32 if self.log_cells <= 32 else np.int64
+        for row, held in enumerate(self.held):
+            held.append(cells(keys, other, row, self.log_cells).astype(kind))
         self.n += len(keys)
         if self.n >= HELD:
             yield from self.flush()
@@ -46,26 +48,23 @@ class Parts:
     def flush(self):
         if not self.n:
             return
-        held, n, self.held, self.n = self.held, self.n, [], 0
+        self.n = 0
         log_block = min(LOG_BLOCK, self.log_cells)
         per_row = 1 << (self.log_cells - log_block)
-        cell = np.empty(n, np.uint32 if self.log_cells <= 32 else np.int64)
+        starts = np.arange(per_row) << log_block
         for row in range(self.depth):
-            at = 0
-            for keys, other in held:  # as they were added: few numbers beside the keys at a time
-                cell[at : at + len(keys)] = cells(keys, other, row, self.log_cells)
-                at += len(keys)
+            cell, self.held[row] = np.concatenate(self.held[row]), []
             cell.sort()
-            again = np.zeros(n, bool)
+            again = np.zeros(len(cell), bool)
             again[1:] = cell[1:] == cell[:-1]
-            once, more = cell[~again].astype(np.int64), np.unique(cell[again]).astype(np.int64)
-            limits = np.arange(per_row + 1) << log_block
-            a, b = np.searchsorted(once, limits), np.searchsorted(more, limits)
+            more = np.unique(cell[again])
+            cell = cell[~again]
+            a, b = (np.append(np.searchsorted(x, starts.astype(x.dtype)), len(x)) for x in (cell, more))
             kept = [k for k in range(per_row) if a[k + 1] > a[k]]
             yield pa.RecordBatch.from_pydict({
                 "block": pa.array([row * per_row + k for k in kept], pa.int64()),
-                "seen": pa.array([_pack(once[a[k] : a[k + 1]] - limits[k]) for k in kept], pa.binary()),
-                "again": pa.array([_pack(more[b[k] : b[k + 1]] - limits[k]) for k in kept], pa.binary()),
+                "seen": pa.array([_pack(cell[a[k] : a[k + 1]].astype(np.int64) - starts[k]) for k in kept], pa.binary()),
+                "again": pa.array([_pack(more[b[k] : b[k + 1]].astype(np.int64) - starts[k]) for k in kept], pa.binary()),
             })
 
 

@@ -13,7 +13,7 @@ from panelkit.session import cut_lineage
 from .columns import WORD, free_name, read
 from .sketches import PART, Parts, share
 from .textarrays import Block, blocks, mix
-from .workers import tidy
+from .workers import short_batches, tidy
 
 #: Words of a window.
 WINDOW = 50
@@ -168,6 +168,7 @@ def dedup_substrings(docs: DataFrame, size: int = WINDOW, depth: int = DEPTH, lo
 
     Texts that lose words are found by a small filter, and only they are joined to their windows.
     """
+    short_batches(docs.sparkSession)
     windows = cut_lineage(repeated_windows(docs, size, depth, log_cells), "repeated")
 
     @tidy

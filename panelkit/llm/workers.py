@@ -7,6 +7,18 @@ import functools
 import sys
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
+
+#: Rows of a batch of texts. Tasks cut batches into blocks of bytes, so longer ones only take memory, in the executor's
+#: process (its buffers double as they grow) as well as in the worker.
+ROWS = 2000
+
+
+def short_batches(spark: SparkSession) -> None:
+    """From here on, batches that this session sends to workers have ROWS rows at most."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ROWS:
+        spark.conf.set(name, str(ROWS))
 
 
 def forget_words() -> None:

@@ -3,9 +3,10 @@
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 
 from panelkit import session
-from panelkit.llm import jaccard, substrings
+from panelkit.llm import jaccard, substrings, workers
 from panelkit.llm.chain import Chain
 from panelkit.llm.components import components, stars
 from panelkit.llm.sketches import Parts, _unpack, cells
@@ -65,6 +66,39 @@ def test_jaccard_join_leaves_no_older_states_of_its_lists(spark):
     assert got == {i: 0 for i in range(30)} | {90: 90, 91: 91}
 
 
+def test_a_sketch_holds_the_cells_and_not_the_keys_of_a_task():
+    n = 1 << 19
+    tracemalloc.start()
+    try:
+        rng, parts = np.random.default_rng(3), Parts(2, 28)
+        for _ in range(0, n, 1 << 14):
+            list(parts.add(*rng.integers(0, 1 << 63, (2, 1 << 14), dtype=np.uint64)))
+        held = tracemalloc.get_traced_memory()[0]
+        tracemalloc.reset_peak()
+        for _ in parts.flush():
+            pass
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert held < 10 * n and peak < 20 * n, (held / n, peak / n)  # bytes for each key
+
+
+def test_workers_that_cut_passages_get_short_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "10000")
+        docs = spark.range(0, 5000, 1, 1).selectExpr("id AS doc_id", "concat('word ', id) AS text")
+        assert substrings.dedup_substrings(docs, log_cells=20).filter("n_removed = 0").count() == 5000
+        sizes = [r.n for r in docs.mapInArrow(lambda batches: (pa.record_batch({"n": [b.num_rows]}) for b in batches), "n long").collect()]
+        assert max(sizes) <= workers.ROWS and sum(sizes) == 5000
+        spark.conf.set(name, "100")
+        workers.short_batches(spark)
+        assert spark.conf.get(name) == "100"
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_components_of_a_star_take_one_look_and_chains_end(spark):
     before = len(session._WRITTEN)
     star = spark.createDataFrame([(7, 1), (1, 5), (7, 1), (3, 3), (9, 8)], "u long, v long")
