@@ -6,6 +6,7 @@ import os
 import struct
 import unicodedata
 import zlib
+from collections.abc import Iterable
 from functools import cache
 
 import numpy as np
@@ -17,6 +18,7 @@ from pyspark.sql import types as T
 from panelkit.session import cut_lineage
 
 from .columns import read
+from .workers import give_back, short_batches, tidy
 
 #: Tokens of a sequence.
 SIZE = 2048
@@ -24,8 +26,8 @@ SIZE = 2048
 END = 0
 #: Slices in which pieces of one length are numbered, each in a task of its own.
 SLICES = 1024
-#: Words whose ids a worker remembers.
-REMEMBERED = 1_000_000
+#: Words whose ids a worker remembers since it last forgot; it holds as many older ones again.
+REMEMBERED = 1 << 18
 
 
 class WordIds:
@@ -38,7 +40,7 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)  # ids at the end of a piece
         self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -58,21 +60,25 @@ class WordIds:
             return b"".join(map(known.__getitem__, words))
         except KeyError:
             fresh = [w for w in dict.fromkeys(words) if w not in known]
-        if len(known) + 2 * len(fresh) > REMEMBERED:
-            known.clear()
-            fresh = list(dict.fromkeys(words))
-        self._learn(fresh)
+        if len(known) + 2 * len(fresh) > REMEMBERED:  # words not met since the last time are dropped
+            self.older, self.known = known, {}
+            known, fresh = self.known, list(dict.fromkeys(words))
+        self._learn(self._recalled(fresh))
         return b"".join(map(known.__getitem__, words))
 
+    def _recalled(self, words: Iterable[bytes]) -> list[bytes]:
+        """Takes words over from the older ones; returns those that are not there."""
+        known, older = self.known, self.older
+        known.update((w, older[w]) for w in words if w in older)
+        return [w for w in words if w not in known]
+
     def _learn(self, fresh: list[bytes]) -> None:
         """A mark after an ASCII letter or digit is a piece of its own, so only the word before it has to be known."""
         known = self.known
         cores = {w: w[:-1] for w in fresh if w[-1] in b".,!;:?" and w[-2:-1].isalnum()}
         wanted = dict.fromkeys([*(cores.get(w, w) for w in fresh), *(w[-1:] for w in cores)])
         joined, others, merge = [], [], self.tokenizer.model.tokenize
-        for w in wanted:
-            if w in known:
-                continue
+        for w in self._recalled(wanted):
             if w.isalpha():  # ASCII letters in lower case go through the merges as they are
                 ids = [token.id for token in merge(w.decode("ascii").lower())]
                 known[w] = struct.pack(f"<{len(ids)}I", *ids)
@@ -122,6 +128,7 @@ def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE) -> DataFr
     end = np.array([END], "<u4").tobytes()
 
     def cut(batches):
+        give_back()  # what tasks before left; words stay for the next task
         words = word_ids(path)
         for batch in batches:
             rows, piece, start, length, crc = [], [], [], [], []
@@ -249,6 +256,7 @@ def pack(docs: DataFrame, path: str | None = None, size: int = SIZE) -> DataFram
     The driver sees only how many pieces each length has; it plans patterns, and pieces find their places by
     length and number. Repeated rows are packed each for itself. No documents: no rows.
     """
+    short_batches(docs.sparkSession)
     cut = cut_lineage(pieces(docs, path, size), "pieces")
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     places = docs.sparkSession.sparkContext.broadcast(Plan(counts, size).places())
@@ -257,6 +265,7 @@ def pack(docs: DataFrame, path: str | None = None, size: int = SIZE) -> DataFram
 
     names = cut.columns
 
+    @tidy
     def place(batches):
         key, sequence, offset = places.value
         for batch in batches:

@@ -18,11 +18,11 @@ from .workers import short_batches, tidy
 #: Words of a window.
 WINDOW = 50
 #: Bytes of text handled as one block of arrays.
-BLOCK = 1 << 19
+BLOCK = 1 << 18
 #: The sketch: rows, and cells of a row as a power of two. Its bitmap has DEPTH * 2**LOG_CELLS bits, 64 MB.
 DEPTH, LOG_CELLS = 2, 28
 #: Suspected windows a task merges before it sends their smallest ids.
-MERGED = 1 << 19
+MERGED = 1 << 17
 #: The filters of windows found in several documents and of documents that lose words, as powers of two: 16 and 8 MB.
 LOG_FOUND, LOG_TOUCHED = 27, 26
 

@@ -42,6 +42,11 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return known
 
 
+def forget_powers() -> None:
+    """Powers are as many as the bytes of the largest block so far."""
+    _POWERS.clear()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit over all."""
     x = x.astype(np.uint64, copy=True)

@@ -23,7 +23,7 @@ WEIGHT = 0.7
 #: Words of a chain while fitting; documents are scored as one chain each.
 FIT_CHAIN = 256
 #: Bytes of text whose chains step together.
-BLOCK = 2 << 20
+BLOCK = 1 << 19
 #: Chance from which a word is part of a span, and a document toxic.
 TAGGED = 0.5
 REJECT = 0.5

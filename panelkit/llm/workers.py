@@ -9,6 +9,8 @@ import sys
 import pyarrow as pa
 from pyspark.sql import SparkSession
 
+from .textarrays import forget_powers
+
 #: Rows of a batch of texts. Tasks cut batches into blocks of bytes, so longer ones only take memory, in the executor's
 #: process (its buffers double as they grow) as well as in the worker.
 ROWS = 2000
@@ -45,8 +47,10 @@ def tidy(task):
     @functools.wraps(task)
     def run(batches):
         forget_words()
+        forget_powers()
         give_back()
         yield from task(batches)
+        forget_powers()
         give_back()
 
     return run

@@ -4,12 +4,13 @@ import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import types as T
 
 from panelkit import session
-from panelkit.llm import jaccard, substrings, workers
+from panelkit.llm import jaccard, packing, substrings, textarrays, toxicity, workers
 from panelkit.llm.chain import Chain
 from panelkit.llm.components import components, stars
-from panelkit.llm.sketches import Parts, _unpack, cells
+from panelkit.llm.sketches import Bits, Parts, _unpack, cells
 
 
 def test_parts_of_a_sketch_hold_the_cells_of_their_keys():
@@ -121,3 +122,78 @@ def test_jaccard_join_runs_few_tasks(spark):
     ran = {i for job in tracker.getJobIdsForGroup("few") for i in tracker.getJobInfo(job).stageIds}
     assert got == {i: 0 for i in range(30)} | {90: 90, 91: 91}
     assert 0 < len(ran) < 160, len(ran)
+
+
+class _Handed:
+    """Stands for a frame and its session: ``mapInArrow`` hands out the task itself."""
+
+    columns = ["doc_id", "text"]
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
+    value = None
+
+    @property
+    def sparkSession(self):
+        return self
+
+    sparkContext = sparkSession
+
+    def broadcast(self, value):
+        shared = _Handed()
+        shared.value = value
+        return shared
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, task, _):
+        return task
+
+
+def _batch(seed: int, texts: int = 2000, words: int = 300) -> pa.RecordBatch:
+    rng = np.random.default_rng(seed)
+    text = [" ".join(f"w{x}" for x in rng.integers(0, 10**5, words)) for _ in range(texts)]
+    return pa.record_batch({"doc_id": pa.array(range(texts), pa.int64()), "text": pa.array(text)})
+
+
+def _peak(task, batches) -> int:
+    tracemalloc.start()
+    try:
+        for _ in task(batches):
+            pass
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_packing_remembers_a_bounded_number_of_words_and_keeps_common_ones(monkeypatch):
+    own, whole = packing.WordIds(packing.default_path()), packing.WordIds(packing.default_path()).tokenizer
+    for at in range(0, 900_000, 3000):
+        own.ids(" ".join(str(at + i) for i in range(3000)).encode())
+    assert sum(len(held) for held in (own.known, getattr(own, "older", {}))) < 600_000
+
+    monkeypatch.setattr(packing, "REMEMBERED", 100)
+    own, learned = packing.WordIds(packing.default_path()), []
+    learn = own._learn
+    monkeypatch.setattr(own, "_learn", lambda fresh: (learned.extend(fresh), learn(fresh)))
+    for i in range(300):
+        text = f"common Other. n{i} m{i}, é{i} common"
+        assert np.frombuffer(own.ids(text.encode()), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+    assert learned.count(b"common") == learned.count(b"other.") == 1
+    assert len(own.known) <= 110 and len(own.older) <= 110
+
+
+def test_tasks_hold_little_beside_their_batch():
+    batch = _batch(1)
+    size = batch.nbytes
+    scored = toxicity.tag(_Handed(), toxicity.Tagger(Chain(), np.zeros(2)), spans=None)
+    assert 3 << 20 < size < 5 << 20
+    assert _peak(scored, [batch]) < 70 << 20
+    every = _Handed().broadcast(Bits([np.full(1 << 17, 255, np.uint8)] * 2, 20))
+    assert _peak(substrings.document_ends(_Handed(), every, 50), [batch]) < 40 << 20
+
+
+def test_tasks_leave_no_powers_to_the_next():
+    hashes = workers.tidy(lambda batches: ([x.word_hash() for x in textarrays.blocks(b["text"])] for b in batches))
+    for _ in hashes([_batch(2, 20)]):
+        assert textarrays._POWERS
+    assert not textarrays._POWERS
