@@ -111,7 +111,10 @@ class Bits:
         return [zlib.compress(row, 1) for row in self.rows], self.log_cells
 
     def __setstate__(self, state):
-        self.rows, self.log_cells = [np.frombuffer(zlib.decompress(row), np.uint8) for row in state[0]], state[1]
+        packed, self.log_cells = state
+        self.rows, size = [], 1 << max(0, self.log_cells - 3)  # told the size, zlib doesn't hold a row twice
+        while packed:
+            self.rows.append(np.frombuffer(zlib.decompress(packed.pop(0), bufsize=size), np.uint8))
 
     def may_hold(self, keys: np.ndarray, other: np.ndarray) -> np.ndarray:
         held = np.arange(len(keys))

@@ -13,7 +13,7 @@ from .textarrays import forget_powers
 
 #: Rows of a batch of texts. Tasks cut batches into blocks of bytes, so longer ones only take memory, in the executor's
 #: process (its buffers double as they grow) as well as in the worker.
-ROWS = 2000
+ROWS = 500
 
 
 def short_batches(spark: SparkSession) -> None:

@@ -1,5 +1,6 @@
 """Memory and disk that operators take beside their results."""
 
+import pickle
 import tracemalloc
 
 import numpy as np
@@ -197,3 +198,17 @@ def test_tasks_leave_no_powers_to_the_next():
     for _ in hashes([_batch(2, 20)]):
         assert textarrays._POWERS
     assert not textarrays._POWERS
+
+
+def test_a_bitmap_arrives_without_a_second_copy_of_its_rows():
+    rng = np.random.default_rng(4)
+    rows = [np.where(rng.random(1 << 20) < 0.05, 8, 0).astype(np.uint8) for _ in range(4)]
+    sent = pickle.dumps(Bits(rows, 23))
+    tracemalloc.start()
+    try:
+        got = pickle.loads(sent)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert got.log_cells == 23 and all(np.array_equal(a, b) for a, b in zip(got.rows, rows, strict=True))
+    assert peak < (4 << 20) + 2 * len(sent), (peak, len(sent))
