@@ -24,6 +24,25 @@ def test_vector_is_copied_once_a_stripe(spark, symmetric):
     assert tagged.groupBy("entity", "side").count().agg(F.max("count")).first()[0] <= 8
 
 
+@pytest.mark.parametrize("find", [association.cross_corr, association.top_correlated])
+def test_series_of_both_sides_are_made_once(spark, find):
+    made = spark.sparkContext.accumulator(0)
+
+    def make(batches):
+        for pdf in batches:
+            made.add(len(pdf))
+            yield pdf
+
+    x = np.random.default_rng(6).integers(0, 9, size=(40, 9)).astype(float)
+    df = vectors(spark, x).mapInPandas(make, "entity long, v array<double>")
+    both = df.select("entity", F.slice("v", 2, 8).alias("now"), F.slice("v", 1, 8).alias("before"))
+    got = {(r["i"], r["j"]): r["corr"] for r in find(both, "now", "before", block=5).collect()}
+    assert made.value == 40
+    assert len(got) == (1600 if find is association.cross_corr else 40)
+    for (i, j), value in got.items():
+        assert value == pytest.approx(np.corrcoef(x[i, 1:], x[j, :-1])[0, 1], abs=1e-12)
+
+
 @pytest.mark.parametrize("block", [7, 64])
 def test_nearest_far_from_origin(spark, block):
     """Squares of 1e14 with differences of 1e-3: products alone would lose the order and the ties."""
