@@ -3,6 +3,7 @@
 import datetime as dt
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,6 +72,19 @@ def test_pairs_leave_the_task_in_parts(spark):
     assert max(len(f) for f in frames) <= 100
 
 
+@pytest.mark.parametrize("ordered", [True, False])
+def test_files_of_pairs_hold_little_besides_scores(spark, tmp_path, ordered):
+    x = np.random.default_rng(8).random((1500, 6))
+    df = vectors(spark, x).orderBy(F.xxhash64("entity"))
+    both = df.select("entity", F.col("v").alias("now"), F.reverse("v").alias("before"))
+    pairs = association.cross_corr(both, "now", "before") if ordered else association.pairwise_corr(df, "v")
+    pairs.write.parquet(str(tmp_path / "pairs"))
+    files = [pq.ParquetFile(f).metadata for f in (tmp_path / "pairs").glob("*.parquet")]
+    groups = [m.row_group(g) for m in files for g in range(m.num_row_groups)]
+    rows, ids = sum(g.num_rows for g in groups), sum(g.column(c).total_compressed_size for g in groups for c in (0, 1))
+    assert rows == (1500 * 1500 if ordered else 1500 * 1499 // 2) and ids < 0.3 * rows
+
+
 def test_repeated_side_is_not_taken_for_small(spark, tmp_path):
     path = str(tmp_path / "ids")
     spark.range(4000).select("id", F.col("id").alias("code")).coalesce(1).write.parquet(path)
